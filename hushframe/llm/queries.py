@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import fresh_path, table, written
 from .exact_dedup import exact_dedup
+from .piece_codec import encode_pieces
 from .token_counts import token_counts
+from .warc import pages_of, read_warc, write_warc
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +23,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, copies=True).select("doc_id", "n_copies", "content_hash")
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under merge-dropout, each decoded again and compared with its text."""
+    return encode_pieces(table(spark, sf_dir, "documents"), dropout=0.1, seed=20)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC files in the shared folder and read back in byte ranges."""
+    folder = fresh_path(spark, "warc")
+    files = written(write_warc(table(spark, sf_dir, "pages"), folder), "warc-files")
+    return pages_of(read_warc(files.select("file", "size")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_piece_codec": op9_piece_codec,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +47,5 @@ ORACLES: dict[str, str] = {
         SELECT min(doc_id) AS doc_id, count(*) AS n_copies, md5(text) AS content_hash
         FROM documents WHERE text IS NOT NULL GROUP BY text
         UNION ALL SELECT doc_id, 1, NULL FROM documents WHERE text IS NULL""",
+    "op10_warc": "SELECT page_id, url, html FROM pages",
 }
