@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import fresh_path, table, written
 from .exact_dedup import exact_dedup
 from .piece_codec import encode_pieces
+from .sstable import shards
 from .token_counts import token_counts
 from .warc import pages_of, read_warc, write_warc
 
@@ -23,6 +24,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, copies=True).select("doc_id", "n_copies", "content_hash")
 
 
+def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids as the segments of sorted-string-table shards."""
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under merge-dropout, each decoded again and compared with its text."""
     return encode_pieces(table(spark, sf_dir, "documents"), dropout=0.1, seed=20)
@@ -38,6 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sstable": op8_sstable,
     "op9_piece_codec": op9_piece_codec,
     "op10_warc": op10_warc,
 }
