@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import fresh_path, table, written
 from .exact_dedup import exact_dedup
+from .mixing import facets, mix, word_count
 from .piece_codec import encode_pieces
+from .quality_rules import accepted_scores
 from .sstable import shards
 from .token_counts import token_counts
 from .warc import pages_of, read_warc, write_warc
@@ -18,6 +21,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a mix of sources and languages, smoothed by the power 0.7, takes, and how often."""
+    docs = table(spark, sf_dir, "documents")
+    marked, _ = mix(docs.select("doc_id", "source", "lang", "text"), facets(docs), word_count(F.col("text")), seed=4)
+    return marked.where("n_epochs > 0").select("doc_id", "source", "lang", "n_epochs")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the risk-controlled rules accept, with their scores."""
+    return accepted_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay, by id, with the number of rows each stands for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +58,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_mixing": op4_mixing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sstable": op8_sstable,
     "op9_piece_codec": op9_piece_codec,
