@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, table, written
 from .exact_dedup import exact_dedup
 from .mixing import facets, mix, word_count
+from .ngram_join import jaccard_pairs
 from .piece_codec import encode_pieces
 from .quality_rules import accepted_scores
 from .sstable import shards
@@ -21,6 +22,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose word 3-grams have a Jaccard similarity of at least one half."""
+    return jaccard_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a mix of sources and languages, smoothed by the power 0.7, takes, and how often."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
