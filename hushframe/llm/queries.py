@@ -14,10 +14,16 @@ from .ngram_join import jaccard_pairs
 from .piece_codec import encode_pieces
 from .quality_rules import accepted_scores
 from .sstable import shards
+from .substring_dedup import substring_spans
 from .token_counts import token_counts
 from .warc import pages_of, read_warc, write_warc
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of at least 50 words that also stand in another document."""
+    return substring_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
