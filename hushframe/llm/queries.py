@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, table, written
 from .exact_dedup import exact_dedup
+from .lm_score import lm_scores
 from .mixing import facets, mix, word_count
 from .ngram_join import jaccard_pairs
 from .piece_codec import encode_pieces
@@ -40,6 +41,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.where("n_epochs > 0").select("doc_id", "source", "lang", "n_epochs")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under a trigram model of all documents."""
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the risk-controlled rules accept, with their scores."""
     return accepted_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
+    "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sstable": op8_sstable,
