@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import corpus, detection, intervals, scoring, training
+
+_MODULES = (detection, intervals, scoring, training, corpus)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
