@@ -137,6 +137,12 @@ class _Markdown(HTMLParser):
     def put(self, s: str) -> None:
         (self.row[-1] if self.row else self.out).append(s)
 
+    def close_cell(self) -> None:
+        """A cell ends with its end tag, or where the next cell, row or the table's end comes without one."""
+        if self.row and self.rows:
+            self.rows[-1].append(" ".join("".join(self.row[0]).split()).replace("|", "\\|"))
+        self.row = None
+
     def handle_starttag(self, tag, attrs):
         if self.skip:
             if tag == self.skip[-1]:
@@ -178,8 +184,10 @@ class _Markdown(HTMLParser):
         elif tag == "table":
             self.rows = []
         elif tag == "tr" and self.rows is not None:
+            self.close_cell()
             self.rows.append([])
         elif tag in ("td", "th") and self.rows:
+            self.close_cell()
             self.row = [[]]
 
     def handle_endtag(self, tag):
@@ -204,10 +212,10 @@ class _Markdown(HTMLParser):
             self.put("\n\n" if not self.lists else "")
         elif re.fullmatch("h[1-6]|p|div|section|article|blockquote", tag):
             self.put("\n\n")
-        elif tag in ("td", "th") and self.row and self.rows:
-            self.rows[-1].append(" ".join("".join(self.row[0]).split()).replace("|", "\\|"))
-            self.row = None
+        elif tag in ("td", "th"):
+            self.close_cell()
         elif tag == "table" and self.rows is not None:
+            self.close_cell()
             rows, self.rows, self.row = [r for r in self.rows if r], None, None
             if rows:
                 width = max(map(len, rows))

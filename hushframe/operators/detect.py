@@ -107,6 +107,11 @@ def register_detector(name: str, label: str, pattern: str | None = None, group:
     CUSTOM[name] = label, code
 
 
+def install(own: dict) -> None:
+    """Makes detectors known in a worker, whose module has its own register."""
+    CUSTOM.update(own)
+
+
 def detect_text(text: str, names: Iterable[str]) -> list[dict]:
     """R1 for one text."""
     folded = Canonical(text)
@@ -125,7 +130,7 @@ def detect_udf(names: Iterable[str] = tuple(DEFAULT)):
 
     @F.pandas_udf(SPAN)
     def run(texts: pd.Series) -> pd.Series:
-        CUSTOM.update(own)
+        install(own)
         return texts.map(lambda t: None if t is None else detect_text(t, names))
 
     return run

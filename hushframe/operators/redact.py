@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import DEFAULT, PRIORITY
-from .detect import CUSTOM, FIELDS, SPAN, detect_text
+from .detect import CUSTOM, FIELDS, SPAN, detect_text, install
 
 TEMPLATE = "[{label}_{n}]"
 RESULT = T.StructType(
@@ -126,7 +126,7 @@ def redact(c: Column, names: Iterable[str] = tuple(DEFAULT), template: str = TEM
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        CUSTOM.update(own)
+        install(own)
         rows = [{"text": None, "redactions": None, "map": None} if t is None else redact_text(t, names, template) for t in texts]
         return pd.DataFrame(rows, columns=["text", "redactions", "map"])
 
