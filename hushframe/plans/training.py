@@ -105,7 +105,7 @@ ORACLES = {
         SELECT doc_id, min(i)::INT AS start, (max(i) + 1)::INT AS "end", any_value(substr(tag, 3)) AS label FROM k WHERE tag <> 'O' GROUP BY doc_id, isl""",
     "remap_tags": f"WITH {_TAGGED} SELECT doc_id, i::INT AS i, CASE WHEN tag = 'O' OR substr(tag, 3) = 'ORG' THEN 'O' ELSE replace(tag, 'LOC', 'PLACE') END AS tag FROM r",
     "audit_rows": f"""WITH {_TAGGED}, f AS (SELECT *, (tag[1] = 'I' AND substr({_BEFORE}, 3) <> substr(tag, 3)) AS orphan FROM r), d AS (SELECT doc_id, string_agg(w, chr(31) ORDER BY i) AS k, bool_or(orphan) AS orphan FROM f GROUP BY doc_id),
-        t AS (SELECT count(*) AS n, 0 AS bad_tags, 0 AS bad_lengths, count(*) FILTER (orphan) AS orphans, count(DISTINCT k) AS distinct_rows FROM d WHERE doc_id % 10 > 0),
+        t AS (SELECT count(*) AS n, 0::BIGINT AS bad_tags, 0::BIGINT AS bad_lengths, count(*) FILTER (orphan) AS orphans, count(DISTINCT k) AS distinct_rows FROM d WHERE doc_id % 10 > 0),
         v AS (SELECT round(avg((k IN (SELECT k FROM d WHERE doc_id % 10 > 0))::INT), 6) AS overlap_share FROM d WHERE doc_id % 10 = 0)
         SELECT n, bad_tags, bad_lengths, orphans, distinct_rows, round((n - distinct_rows) / n, 6) AS duplicate_share, overlap_share FROM t, v""",
     "dedupe_first": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",

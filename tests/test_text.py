@@ -123,3 +123,19 @@ def test_html_negotiation_and_difference():
     assert co.negotiate("text/html;q=0.5, text/markdown", ["text/html", "text/markdown"]) == "text/markdown"
     assert co.negotiate("text/html;q=0", ["text/html"]) is None
     assert co.first_difference({"a": [1, 2]}, {"a": [1, 3]}) == "$.a[1]" and co.first_difference([1], [1]) is None
+
+
+def test_unapproved_identifiers():
+    from hushframe.operators.detect import unapproved
+
+    t = "ip 192.0.2.7 mejl a@example.com ring 070-174 06 05\nip 10.1.2.3 org 202100-4748"
+    assert [(d["label"], d["line"]) for d in unapproved(t, known=["202100-4748"])] == [("IP_ADRESS", 2)]
+    assert unapproved(t, known=["202100-4748"], protected=[(50, 65)]) == []
+
+
+def test_uncovered_terms(spark):
+    from hushframe.operators.training import uncovered_terms
+
+    rows = [(["Svea", "Bolags", "x"], ["B-ORG", "I-ORG", "O"]), (["svea", "bolags"], ["B-ORG", "O"]), (["svea"], ["O"]), ([], [])]
+    df = spark.createDataFrame(rows, "tokens array<string>, tags array<string>")
+    assert [r.u for r in df.select(uncovered_terms(df.tokens, df.tags, [["Svea", "Bolag"]]).alias("u")).collect()] == [False, True, False, False]
