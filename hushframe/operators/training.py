@@ -201,18 +201,22 @@ def align_pieces(tags: list[str], word_ids: list[int | None], continue_inside: b
 def uncovered_terms(tokens: Column, tags: Column, terms: list[list[str]]) -> Column:
     """Whether a term of one or more words stands in a row, its last word in the genitive or not, with a word that no tag covers."""
     low = F.transform(tokens, F.lower)
-    found = F.lit(False)
-    for term in terms:
+
+    def stands(term: list[str]):
         *head, last = [w.lower() for w in term]
-        n = len(term)
         ends = [last] if last[-1] in "sxz" else [last, last + "s"]
-        at = F.when(F.size(low) >= n, F.sequence(F.lit(0), F.greatest(F.size(low) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-        def stands(i, head=head, n=n, ends=ends):
-            fits = F.get(low, i + (n - 1)).isin(*ends)
+        def at(i):
+            fits = F.get(low, i + len(head)).isin(*ends)
             for k, w in enumerate(head):
                 fits = fits & (F.get(low, i + k) == w)
-            return fits & F.exists(F.slice(tags, i + 1, n), lambda t: t == "O")
+            return fits & F.exists(F.slice(tags, i + 1, len(term)), lambda t: t == "O")
 
-        found = found | F.exists(at, stands)
+        return at
+
+    found = F.lit(False)
+    for term in terms:
+        n = F.size(low) - len(term)
+        starts = F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        found = found | F.exists(starts, stands(term))
     return found
