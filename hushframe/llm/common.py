@@ -7,6 +7,8 @@ local test session) a folder under the system's temporary one is used.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words kept in a worker's memo before it is emptied; results don't depend on it.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 150_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -131,8 +133,19 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * _powers(_INVERSE, k - n + 1))
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of this worker freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(items: Iterator[pa.RecordBatch], rows: int = 2000, nbytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches so small that work on them holds little memory."""
+    release()
     for b in items:
         step = max(1, min(rows, int(b.num_rows * nbytes / max(1, b.nbytes))))
         for i in range(0, b.num_rows, step):

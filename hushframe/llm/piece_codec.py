@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, mix
-from .vocab import PIECES, SPACE, loaded
+from .vocab import PIECES, SPACE, pieces
 
 LONG = 64
 NONE = np.int32(2**31 - 1)
@@ -44,7 +44,7 @@ class Merges:
     """Merge tables of a vocabulary in flat arrays."""
 
     def __init__(self, path: str = PIECES) -> None:
-        p = loaded(path)[0]
+        p = pieces(path)
         self.pieces = p
         order = {s: r for r, s in enumerate(sorted({p.score[i] for i in p.normal.values()}, reverse=True))}
         self.rank = np.full(p.size, NONE, np.int32)
@@ -279,7 +279,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(items):
         raw = merges(vocab).raw
-        for b in batches(items, 1000, 1 << 20):
+        for b in batches(items, 500, 384 << 10):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids, counts = encode_batch(keys, texts, vocab, dropout, seed)
             null = np.array([t is None for t in texts])

@@ -46,7 +46,7 @@ from .common import batches, written
 SHARES = [round(0.6 * 0.8**k, 6) for k in range(28)]  # 0.6 down to 0.0015
 COUNTS = [k + 0.5 for k in range(39, -1, -1)]
 PLAIN = frozenset(".,;:'’\"!?()-")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 _FIELD = (1 << 40) - 1
 _LETTERS = re.compile(r"[^\W\d_]+")
 NO_STRATUM = "(null)"

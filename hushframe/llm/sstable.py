@@ -50,7 +50,7 @@ RESTART = 16
 PROBES, BITS = 7, 10
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQ8s")
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 SEGMENT = "shard int, seq long, kind string, first_doc_id {id}, entries long, bytes binary"
 
 

@@ -121,12 +121,20 @@ class LongestMatch:
         return out
 
 
+_PIECES: dict[str, Pieces] = {}
 _LOADED: dict[str, tuple[Pieces, LongestMatch]] = {}
 
 
+def pieces(path: str = PIECES) -> Pieces:
+    """One vocabulary a worker process and path."""
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
+
+
 def loaded(path: str = PIECES) -> tuple[Pieces, LongestMatch]:
-    """One vocabulary and automaton a worker process and path."""
+    """The vocabulary with its automaton, which only longest matching needs."""
     if path not in _LOADED:
-        p = Pieces(path)
+        p = pieces(path)
         _LOADED[path] = p, LongestMatch(p.normal, p.bytes)
     return _LOADED[path]
