@@ -87,20 +87,14 @@ def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], m
 
 
 def smoothed_quotas(patterns: list[tuple[tuple[str, ...], int]], budget: int, power: float) -> dict[str, int]:
-    """Quotas in proportion to a power of each source's tokens; the facets ("lang:" ...) share the budget evenly."""
+    """Quotas that share the budget in proportion to a power of each source's tokens; below 1 it raises small sources and lowers large ones."""
     have: dict[str, int] = {}
     for members, tokens in patterns:
         for s in set(members):
             have[s] = have.get(s, 0) + tokens
-    facets: dict[str, dict[str, float]] = {}
-    for s, t in have.items():
-        facets.setdefault(s.split(":")[0], {})[s] = t**power if t else 0.0
-    out = {}
-    for group in facets.values():
-        whole = sum(group.values()) or 1.0
-        for s, w in group.items():
-            out[s] = int(budget / len(facets) * w / whole)
-    return out
+    weight = {s: t**power if t else 0.0 for s, t in have.items()}
+    whole = sum(weight.values()) or 1.0
+    return {s: int(budget * w / whole) for s, w in weight.items()}
 
 
 def word_count(text: Column) -> Column:
@@ -108,9 +102,15 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(t) > 0, F.size(F.split(t, r"\s+"))).otherwise(0).cast("long")
 
 
-def facets(docs: DataFrame, columns: tuple[str, ...] = ("source", "lang")) -> Column:
-    """Membership in "column:value" for each of the columns."""
-    return F.array(*[F.concat(F.lit(f"{c}:"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(null)"))) for c in columns])
+def facets(docs: DataFrame, source: str = "source", lang: str = "lang", common: str = "en") -> Column:
+    """Overlapping sources of a row: "source:x", and "lang:y" as well if its language isn't the common one.
+
+    A row of the common language can only fill its source's quota, so a source that is large
+    beyond its quota is thinned out, and small ones are repeated.
+    """
+    name = lambda c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(null)")))
+    other = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("(null)")) != common
+    return F.when(other, F.array(name(source), name(lang))).otherwise(F.array(name(source)))
 
 
 def mix(docs: DataFrame, members: Column, tokens: Column, id_col: str = "doc_id", quotas: dict[str, int] | None = None, budget_share: float = 1.0, power: float = 0.7, max_epochs: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:

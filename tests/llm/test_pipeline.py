@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark):
     by = {}
     for r in rows:
         if r.doc_id in keep:
-            by.setdefault("\x1f".join(sorted({f"source:{r.source}", f"lang:{r.lang}"})), []).append((r.h, len(r.text.split()), r))
+            by.setdefault("\x1f".join(sorted({f"source:{r.source}"} | ({f"lang:{r.lang}"} if r.lang != "en" else set()))), []).append((r.h, len(r.text.split()), r))
     patterns = [(tuple(p.split("\x1f")), sum(t for _, t, _ in x)) for p, x in sorted(by.items())]
     carried = route(patterns, smoothed_quotas(patterns, sum(t for _, t in patterns), 0.7), 4)
     want = []
