@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, fresh_path, mix, written
+from .common import batches, fresh_path, mix, release, written
 from .elias_fano import EliasFano, build, bundle, unbundle
 from .sstable import token_ids
 from .vocab import PIECES
@@ -45,9 +45,9 @@ from .warc import open_fs
 BEGIN, END = 1, 2
 SPLIT = 16
 KEEP = 2
-SHARD_CHARS = 16 << 20
+SHARD_CHARS = 8 << 20
 #: Distinct trigrams that a counting task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_000_000
 STEP = 0.08  # of the codes, in natural logarithms
 
 
@@ -115,7 +115,7 @@ def trigram_counts(docs: DataFrame, shape_of) -> DataFrame:
             for i in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(sh[i : i + 100_000]), pa.array(k[i : i + 100_000]), pa.array(c[i : i + 100_000])], schema=schema)
 
-        for b in batches(items, 4000, 4 << 20):
+        for b in batches(items, 4000, 2 << 20):
             x, _ = shape.tokens(b.column(0).to_pylist())
             key = x[:-2] << b2 | x[1:-1] << shape.bits | x[2:]
             k, c = np.unique(key[x[:-2] != END], return_counts=True)
@@ -135,6 +135,7 @@ def trigram_counts(docs: DataFrame, shape_of) -> DataFrame:
 
 def _by_shard(items, columns: int):
     """(shard, arrays) of batches sorted by their first column."""
+    release()
     at, held = None, []
     for b in items:
         if not b.num_rows:
@@ -346,7 +347,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 
     def run(items):
-        for b in batches(items, 4000, 4 << 20):
+        for b in batches(items, 4000, 2 << 20):
             model = model_of()
             texts = b.column(1).to_pylist()
             x, lens = model.shape.tokens(texts)
