@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -79,28 +80,45 @@ def corpus_rows(df: DataFrame, i: str, value: str, templates: list[str]) -> Data
     return df.select("*", cased.alias("gold")).select("*", F.replace(t, F.lit("{}"), F.col("gold")).alias("text"), start.alias("start")).withColumn("end", F.col("start") + F.length("gold"))
 
 
-def gold_issues(gold: DataFrame, least_rows: int = 200, least_writers: int = 3, least_reviewed: float = 0.2) -> DataFrame:
-    """(issue, n) of a gold table (id, text, writer, register, collected, second_reviewed); no row is an issue-free table."""
+REGISTERS = ("support", "healthcare", "authority", "everyday")
+REQUIRED_REGISTERS = ("support", "healthcare", "authority")
+
+
+def overlapping(entities: Column) -> Column:
+    """How many of a row's entities (start, end) overlap one before them in the array."""
+    before = lambda e, i: F.exists(F.slice(entities, 1, i), lambda s: (e["start"] < s["end"]) & (s["start"] < e["end"]))
+    return F.coalesce(F.size(F.filter(entities, before)), F.lit(0))
+
+
+def gold_issues(gold: DataFrame, least_rows: int = 200, least_writers: int = 3, least_reviewed: float = 0.2, registers: Sequence[str] = REGISTERS, required: Sequence[str] = REQUIRED_REGISTERS) -> DataFrame:
+    """(issue, n) of a gold table (id, text, writer, register, entities, collected, second_reviewed); no row is an issue-free table.
+
+    Entities are arrays of (start, end, ...); each that overlaps one before it counts. Rows without text aren't repeats of each other.
+    """
     from ..functions.text import duplicate_key
     from ..functions.validators import iso_date_valid
 
     per_row = {
         "no text": F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0,
         "no writer": F.coalesce(F.length(F.trim("writer")), F.lit(0)) == 0,
+        "bad register": ~F.coalesce(F.col("register").isin(*registers), F.lit(False)),
         "bad date": ~F.coalesce(iso_date_valid(F.col("collected")), F.lit(False)),
+        "overlapping entities": overlapping(F.col("entities")),
     }
-    rows = gold.agg(*[F.sum(c.cast("long")).alias(k) for k, c in per_row.items()], F.count(F.lit(1)).alias("n"), F.countDistinct("writer").alias("w"), F.avg(F.col("second_reviewed").cast("double")).alias("r"))
+    missing = sum((F.coalesce(F.max((F.col("register") == r).cast("long")), F.lit(0)) == 0).cast("long") for r in required) if required else F.lit(0)
+    rows = gold.agg(*[F.sum(c.cast("long")).alias(k) for k, c in per_row.items()], missing.cast("long").alias("m"), F.count(F.lit(1)).alias("n"), F.countDistinct("writer").alias("w"), F.avg(F.col("second_reviewed").cast("double")).alias("r"))
     found = rows.select(
         F.explode(
             F.array(
                 *[F.struct(F.lit(k).alias("issue"), F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias("n")) for k in per_row],
                 F.struct(F.lit("too few rows").alias("issue"), F.greatest(F.lit(0), least_rows - F.col("n")).alias("n")),
                 F.struct(F.lit("too few writers").alias("issue"), F.greatest(F.lit(0), least_writers - F.col("w")).alias("n")),
+                F.struct(F.lit("missing register").alias("issue"), F.col("m").alias("n")),
                 F.struct(F.lit("too few reviewed").alias("issue"), (F.coalesce("r", F.lit(0.0)) < least_reviewed).cast("long").alias("n")),
             )
         ).alias("x")
     ).select("x.issue", "x.n")
-    twice = gold.groupBy(duplicate_key(F.col("text")).alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+    twice = gold.select(duplicate_key(F.col("text")).alias("k")).where("k != ''").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
     return found.unionByName(twice.select(F.lit("repeated text").alias("issue"), "n")).where("n > 0")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus as co
+from ..operators import detect
 from ..operators import model_tokens as mt
 from ..sources.readers import quality_gate as gate
 from .common import table
@@ -53,10 +54,14 @@ def corpus_rows(spark, sf_dir):
     return co.corpus_rows(n, "i", "value", ["Bor i {} nu", "{}", "Till {}"]).select("i", "gold", "text", "start", "end")
 
 
+_LANGS = ("en", "de", "fr", "es")
+
+
 def gold_issues(spark, sf_dir):
+    """Documents as a gold table: their languages as registers, card and bankgiro numbers as entities; all rules."""
     d = table(spark, sf_dir, "documents")
-    g = d.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("writer"), F.col("lang").alias("register"), F.when(F.col("doc_id") % 10 == 0, "2024-02-30").otherwise("2024-02-28").alias("collected"), (F.col("doc_id") % 8 == 0).alias("second_reviewed"))
-    return co.gold_issues(g).where("issue != 'repeated text'")
+    g = d.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("writer"), F.col("lang").alias("register"), F.when(F.col("doc_id") % 10 == 0, "2024-02-30").otherwise("2024-02-28").alias("collected"), (F.col("doc_id") % 8 == 0).alias("second_reviewed"), F.concat(detect.native(F.col("text"), "card"), detect.native(F.col("text"), "bankgiro")).alias("entities"))
+    return co.gold_issues(g, registers=_LANGS, required=_LANGS)
 
 
 def pack_chunks(spark, sf_dir):
