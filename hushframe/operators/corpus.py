@@ -16,10 +16,19 @@ from pyspark.sql import types as T
 from ..functions.text import surface
 
 
-def eval_leak(train: DataFrame, held_out: DataFrame, text: str = "text") -> DataFrame:
-    """Training rows whose surface (letters and digits, lower case) is a held-out one's."""
-    keys = held_out.select(surface(F.col(text)).alias("_k")).where("_k != ''").distinct()
-    return train.withColumn("_k", surface(F.col(text))).join(keys, "_k", "left_semi").drop("_k")
+def eval_leak(train: DataFrame, held_out: DataFrame, text: str = "text", id_col: str | None = None) -> DataFrame:
+    """Training rows whose surface (letters and digits, lower case) is a held-out one's; with ``id_col``, one's with another id.
+
+    Surfaces are compared by their SHA-256, so that no text is shuffled.
+    """
+    k = surface(F.col(text))
+    key = F.when(k != "", F.sha2(k, 256)).alias("_k")
+    rows, held = train.withColumn("_k", key), held_out.select(key, *([F.col(id_col).alias("_i")] if id_col else [])).where("_k is not null")
+    if not id_col:
+        return rows.join(held.distinct(), "_k", "left_semi").drop("_k")
+    ends = held.groupBy("_k").agg(F.min("_i").alias("_a"), F.max("_i").alias("_b")).withColumnRenamed("_k", "_h")
+    other = ~(F.equal_null(F.col("_a"), F.col(id_col)) & F.equal_null(F.col("_b"), F.col(id_col)))
+    return rows.join(ends, (F.col("_k") == F.col("_h")) & other, "left_semi").drop("_k")
 
 
 def contained(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
@@ -38,10 +47,21 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "
     return runs(docs, id_col).join(runs(items, item_col), "run").select(id_col, item_col).distinct()
 
 
+_RUN = r"[\p{L}\p{M}-]+"
+
+
 def absent_names(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Names (name) that are no word of any training text."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}-]+"), F.lit(0))).alias("w")).distinct()
-    return names.join(words, F.lower("name") == F.col("w"), "left_anti")
+    """Names (name) that stand in no training text, not even inside a word, in any case.
+
+    A name of letters, marks and hyphens stands in a text just if it stands in one of the text's
+    runs of these, so it's sought in the distinct runs; other names are sought in the texts.
+    """
+    low = names.select(F.lower("name").alias("_n")).distinct()
+    plain = F.col("_n").rlike(f"^{_RUN}$")
+    runs = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_RUN), F.lit(0))).alias("_w")).distinct()
+    whole = texts.select(F.lower("text").alias("_w"))
+    found = [hay.join(F.broadcast(low.where(c)), F.contains("_w", "_n")).select("_n").distinct() for hay, c in ((runs, plain), (whole, ~plain))]
+    return names.join(found[0].unionByName(found[1]), F.lower("name") == F.col("_n"), "left_anti")
 
 
 def template_cross(names: DataFrame, templates: list[str], per_name: int = 1, step: int = 6) -> DataFrame:
