@@ -42,8 +42,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's perplexity under a trigram model of all documents."""
-    return lm_scores(table(spark, sf_dir, "documents"))
+    """Every document's perplexity under a trigram model of all documents, with all their trigrams."""
+    return lm_scores(table(spark, sf_dir, "documents"), keep=1)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
