@@ -142,14 +142,14 @@ def choose(counts: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]], strata:
     return cutoffs, tests
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_docs: int, support: int = 8, precision: float = 0.9, most: int = 200) -> list[str]:
-    """Words, of at least ``support`` different fitting texts, of which a share ``precision`` is toxic."""
+def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_docs: int, support: int = 8, precision: float = 0.9) -> list[str]:
+    """All words, of at least ``support`` different fitting texts, of which a share ``precision`` is toxic."""
     rows = labels.where("fit").orderBy("order", "id").limit(fit_docs).select("id", "toxic")
     held = docs.join(F.broadcast(rows), "id")  # at most fit_docs rows
     texts = held.groupBy(F.md5("text")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}++"), F.lit(0))))
     stats = texts.select("toxic", words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    found = stats.where((F.col("n") >= support) & (F.col("t") >= precision * F.col("n"))).orderBy(F.desc("t"), "word").limit(most)
+    found = stats.where((F.col("n") >= support) & (F.col("t") >= precision * F.col("n"))).orderBy("word")
     return [r["word"] for r in found.collect()]
 
 
