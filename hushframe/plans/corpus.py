@@ -66,9 +66,9 @@ def gold_issues(spark, sf_dir):
 
 
 def pack_chunks(spark, sf_dir):
-    """Conversations packed into chunks of at most 2,000 characters a conversation."""
+    """Conversations packed in order of turns into chunks of at most 48,000 characters, each conversation on its own."""
     c = table(spark, sf_dir, "conversations")
-    return co.pack_chunks(c.select("conv_id", "turn", "text"), "turn", most=100_000, keys=["conv_id"]).groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    return co.pack_chunks(c.select("conv_id", "turn", "text"), "turn", keys=["conv_id"]).groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pack_batches(spark, sf_dir):
