@@ -76,7 +76,7 @@ def luhn_sql(c: str) -> str:
 
 
 def detect_email(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    t = table(spark, sf_dir, "documents")
     return detect.spans(t, names=["email"]).select("doc_id", "value")
 
 
@@ -91,7 +91,7 @@ def label_counts(spark, sf_dir):
 
 def assign_placeholders(spark, sf_dir):
     """Numbers for the e-mails of documents by first place; SQL ranks them likewise."""
-    found = detect.spans(table(spark, sf_dir, "documents").where(F.col("text").contains("@")), names=["email"])
+    found = detect.spans(table(spark, sf_dir, "documents"), names=["email"])
     return redact.assign_placeholders(found).select("doc_id", "value", "start", F.col("n").cast("long").alias("n"), "replacement").distinct().select("doc_id", "value", "n", "replacement").distinct()
 
 
