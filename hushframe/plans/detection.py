@@ -96,7 +96,7 @@ def assign_placeholders(spark, sf_dir):
 
 
 def canonicalize_text(spark, sf_dir):
-    """Documents with a soft hyphen put into each blank, folded again: the result is the text where that was canonical."""
+    """Customers' names with invisible signs and a wide letter after them, folded."""
     t = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("­ ​ｘ")).alias("t"))
     return t.select("c_custkey", tx.canonicalize("t").alias("folded"))
 
@@ -180,6 +180,32 @@ def token_ranges(spark, sf_dir):
     return t.select("doc_id", "t.value").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def canonicalize_documents(spark, sf_dir):
+    """Documents with a soft hyphen put before each blank, folded again: the result is the text where that was canonical."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.canonicalize(F.replace("text", F.lit(" "), F.lit("\u00ad "))).alias("folded"))
+
+
+def strip_invisible_documents(spark, sf_dir):
+    """Documents with invisible signs put before each blank, and stripped of all such signs."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_invisible(F.replace("text", F.lit(" "), F.lit("\u00ad\u200b\u2060 "))).alias("stripped"))
+
+
+def tokenize_documents(spark, sf_dir):
+    """Tokens of documents' whole texts with their places."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("t")).select("doc_id", "t.start", "t.end", "t.value")
+
+
+def label_counts_documents(spark, sf_dir):
+    """Findings of all default detectors in documents, by label."""
+    return redact.label_counts(detect_all(spark, sf_dir))
+
+
+def token_ranges_documents(spark, sf_dir):
+    """Placeholders in redacted documents."""
+    t = redact_documents(spark, sf_dir).select("doc_id", F.explode(redact.token_ranges(F.col("redacted"))).alias("t"))
+    return t.select("doc_id", "t.value").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "redact_documents": redact_documents,
     "redact_text": redact_text,
@@ -204,6 +230,11 @@ QUERIES = {
     "privacy_issues": privacy_issues,
     "identifier_scrub": identifier_scrub,
     "token_ranges": token_ranges,
+    "canonicalize_documents": canonicalize_documents,
+    "strip_invisible_documents": strip_invisible_documents,
+    "tokenize_documents": tokenize_documents,
+    "label_counts_documents": label_counts_documents,
+    "token_ranges_documents": token_ranges_documents,
 }
 
 _EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}"
