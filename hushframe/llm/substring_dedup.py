@@ -1,4 +1,4 @@
-"""Operator 1: substring dedup by relative Lempel-Ziv parsing.
+"""Operator 1: substring dedup by longest matches against routed reference blocks.
 
 Documents are sequences of words (cut at white space) and are factored against reference
 blocks made of all the other documents; factors of at least ``least`` words become spans.
@@ -12,10 +12,11 @@ what factoring against every block would, at a cost that grows with the input an
 its square.
 
 *Parsing.* A block is indexed by the sorted suffixes of its contexts. The longest match of a
-suffix in another document is with its nearest neighbour of another document in that order. The
-greedy parse takes the longest factor at its place; at the boundary that a shorter factor
-leaves, the places inside that factor are checked too, as a long factor may begin
-there. Long factors are spans; spans of a document that overlap or touch are joined.
+suffix in another document is with its nearest neighbour of another document in that order. In
+place of the greedy relative Lempel-Ziv parse, all starts of a context are matched, so no check
+at factor boundaries is needed: a long match may begin inside a greedy factor, and every start
+of one is looked at anyway. Matches of at least ``least`` words are spans, a superset of the
+greedy parse's; spans of a document that overlap or touch are joined.
 
 *Skew.* Equal contexts are indexed once. A minimizer with more than ``HOT`` places is split by
 its context: a match of 50 words with a 10-word anchor holds 20 words more on the right or on
