@@ -2,29 +2,35 @@
 
 Tokens are the pieces of ``sstable`` (words cut into longest pieces), with begin and end marks.
 The model interpolates by Witten and Bell: with c a context's occurrences and T its different
-successors, ``P(w | h) = count(h w) / (c + T) + rest * P(w | shorter h)``. Trigrams seen fewer than
-``keep`` times are counted in c and T and then left out; ``rest`` is what the kept ones leave, so
-each context still sums to one.
-
-1. *Counts.* Tasks sum the trigrams of their documents before the shuffle; all documents and all
-   trigrams count. A context and its successors go to one shard; a first word's contexts are
-   dealt over ``SPLIT`` shards, so a frequent word doesn't make a hot one. Shards grow in number
-   with the input.
-2. *Level 2* of a shard holds its bigrams as one ascending Elias-Fano sequence, with codes of
-   8 bits for the smoothed probability and for the rest.
-3. *Level 3* holds, for each bigram, its successors. A successor's number is its rank among
-   the successors of the context's last word (context-relative), made ascending over the level by
-   adding the end of the sibling list before it. Monotone pointers give each list's place. Both
-   are Elias-Fano sequences.
-4. *Queries.* A batch's distinct n-grams are looked up together: the bigram by successor
-   search, its rank by a second one, the trigram by a successor search that begins at its list.
-
-Shards are files in the cluster's shared folder, which tasks map into memory if the folder is a file
-path and read otherwise. Only one row a vocabulary entry comes to the driver (unigrams).
-
-Edges: a null text has null scores; an empty text has only its end mark to score; null ids and
-repeated rows are scored row by row, and count row by row; an empty table gives no rows. Extra
-columns aren't read.
+successors, ``P(w | h) = count(h w) / (c + T) + rest * P(w | shorter h)``. All documents and all
+n-grams count. With ``keep`` above 1 trigrams seen less often are counted in c and T and then left
+out; ``rest`` is what the kept ones leave, so each context still sums to one.
+
+1. *Chunks.* One pass tokenises the documents into chunks of about ``CHUNK`` tokens, which are
+   written; everything later reads ids and no text.
+2. *Counts.* Each chunk sorts its n-grams and sends every shard one block of distinct keys and
+   counts. A shard merges its blocks; it remembers which of its keys each chunk has. A context
+   (u, v) and its successors lie in one shard. A word's contexts and bigrams are dealt over
+   ``Shape.split`` parts, more with more shards, so a frequent word makes no hot shard; what
+   one context can hold is bounded by the vocabulary.
+3. *Level 2* of a shard is its bigrams (v, w) as one ascending Elias-Fano sequence, with codes of
+   8 bits for the smoothed probability.
+4. *Level 3* of a shard: its contexts, ordered by (v, u), with a code for what each leaves
+   to shorter ones and a monotone pointer to the place of its list. A successor's number is its
+   rank among the shard's successors of v (context-relative), made ascending over the level by
+   adding the end of the list before it. All four are Elias-Fano sequences.
+5. *Queries.* A shard's levels are mapped into memory and each of its distinct n-grams is looked up
+   once, by successor search in the contexts, in v's successors and in the list. Codes go back to
+   the chunks that hold the n-gram (1 to 2 bytes each), and a chunk sums its documents' logarithms.
+   So a task holds one shard or one chunk at a time, never the model.
+
+Shards are files in the cluster's shared folder, mapped into memory if it is a file path and
+read otherwise. Only one row a vocabulary entry comes to the driver (unigrams). Chunk numbers are
+made by the job that writes them, so a task that is repeated sends the same blocks.
+
+Edges: a null text has null scores; an empty text has only its end mark to score; a very long
+text is one chunk whole; null ids, tied ids and repeated rows are scored row by row, and count
+row by row; an empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -43,12 +49,14 @@ from .vocab import PIECES
 from .warc import open_fs
 
 BEGIN, END = 1, 2
-SPLIT = 16
-KEEP = 2
+KEEP = 1
+#: Characters of text a shard, tokens a chunk; results don't depend on either.
 SHARD_CHARS = 8 << 20
-#: Distinct trigrams that a counting task holds before it hands them on.
-HELD = 1_000_000
+CHUNK = 1 << 20
+#: Most partitions of the counting shuffle; beyond, a task takes several shards one after another.
+MAX_PARTITIONS = 20_000
 STEP = 0.08  # of the codes, in natural logarithms
+NONE = 255  # the code of probability 0
 
 
 class Shape:
@@ -61,120 +69,169 @@ class Shape:
         if 3 * self.bits > 62:
             raise ValueError("the vocabulary is too large for packed trigrams")
         self.shards, self.mask = shards, (1 << self.bits) - 1
-        self.list = -(-self.size // SPLIT)  # universe of one list of a first word
+        self.split = min(self.size, max(16, shards // 8))
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Begin, begin, ids, end, end of each text that isn't null; and the lengths."""
-        code = self.codec
-        first, last = (np.array([x, x], code.type).tobytes() for x in (BEGIN, END))
-        parts = [first + code.encode(t) + last for t in texts if t is not None]
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // code.type.itemsize
-        return np.frombuffer(b"".join(parts), code.type).astype(np.int64), lens
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin, begin, ids, end, end of each text, and the lengths."""
+        ids, lens = self.codec.encode_many(texts)
+        full = lens + 4
+        out = np.full(int(full.sum()), END, self.codec.type)
+        first = np.cumsum(full) - full
+        out[first], out[first + 1] = BEGIN, BEGIN
+        out[np.arange(len(ids)) + np.repeat(first + 2 - (np.cumsum(lens) - lens), lens)] = ids
+        return out, full
 
-    def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (mix((v * SPLIT + w % SPLIT).astype(np.uint64) + np.uint64(1)) % np.uint64(self.shards)).astype(np.int64)
+    def _part(self, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (mix((v * self.split + x % self.split).astype(np.uint64) + np.uint64(1)) % np.uint64(self.shards)).astype(np.int64)
 
-    def place(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """A bigram's number in level 2: lists in order of first word and residue, members by quotient."""
-        return (v * SPLIT + w % SPLIT) * self.list + w // SPLIT
+    def trigram(self, u, v, w) -> np.ndarray:
+        return v << 2 * self.bits | u << self.bits | w
 
-    @property
-    def universe(self) -> int:
-        return self.size * SPLIT * self.list + 1
+    def shard3(self, key: np.ndarray) -> np.ndarray:
+        return self._part(key >> 2 * self.bits, key >> self.bits & self.mask)
+
+    def shard2(self, key: np.ndarray) -> np.ndarray:
+        """Shards of bigrams are numbered after those of trigrams."""
+        return self.shards + self._part(key >> self.bits, key & self.mask)
+
+    def grams(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk's tokens: trigram keys, the places of their last tokens, bigram keys."""
+        x = x.astype(np.int64)
+        at = np.flatnonzero((x[:-2] != END) & (x[1:-1] != END)) + 2
+        pairs = (x[:-1] << self.bits | x[1:])[x[:-1] != END]
+        return self.trigram(x[at - 2], x[at - 1], x[at]), at, pairs
 
 
 def codes(p: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.rint(-np.log(np.maximum(p, 1e-12)) / STEP)).astype(np.uint8)
+    return np.minimum(NONE - 1, np.rint(-np.log(np.maximum(p, 1e-12)) / STEP)).astype(np.uint8)
 
 
 CODEBOOK = np.exp(-STEP * np.arange(256))
+CODEBOOK[NONE] = 0
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts."""
+    keys = np.sort(keys)
     new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(keys) else counts
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
+def pack_small(x: np.ndarray) -> bytes:
+    """Numbers that are mostly small, a byte each; larger ones follow in full."""
+    big = x >= 255
+    return np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype("<i8").tobytes()
+
+
+def unpack_small(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    if len(raw) > n:
+        x[x == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return x
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: their number, then the steps between them, bytes of equal weight together."""
+    steps = np.diff(keys, prepend=0).astype("<u8")
+    return len(keys).to_bytes(8, "little") + steps.view(np.uint16).reshape(-1, 4).T.tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint16, 4 * n, 8).reshape(4, n).T).view("<u8").ravel().astype(np.int64))
+
+
+def _by(shard: np.ndarray):
+    """(value, places) of each value, in ascending order; places keep their order."""
+    order = np.argsort(shard, kind="stable")
+    s = shard[order]
+    cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)] if len(s) else []
+    for i, j in zip(cuts, cuts[1:]):
+        yield int(s[i]), order[i:j]
+
 
+def chunks(rows: DataFrame, shape_of) -> DataFrame:
+    """(chunk, ids, lens, tokens) of rows (id, text); lens holds a null for a null text. Written."""
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.BinaryType())])
 
-def trigram_counts(docs: DataFrame, shape_of) -> DataFrame:
-    """(shard, key, n) of rows (text), summed inside each task."""
-    schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    def run(items):
+        shape, seq = shape_of(), TaskContext.get().partitionId() << 33
+        ids, lens, parts, size = [], [], [], 0
+
+        def row():
+            whole = pa.concat_arrays(ids)
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            return pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), one(whole), one(pa.concat_arrays(lens)), pa.array([b"".join(parts)], pa.binary())], ["chunk", "ids", "lens", "tokens"])
+
+        for b in batches(items, 4000, 1 << 20):
+            texts = b.column(1)
+            some = texts.is_valid().to_numpy(zero_copy_only=False)
+            x, n = shape.tokens(texts.drop_null().to_pylist())
+            length = np.zeros(len(some), np.int32)
+            length[some] = n
+            ids.append(b.column(0)), lens.append(pa.array(length, pa.int32(), mask=~some)), parts.append(x.tobytes())
+            size += len(x)
+            if size >= CHUNK or sum(map(len, ids)) >= CHUNK:
+                yield row()
+                ids, lens, parts, size, seq = [], [], [], 0, seq + 1
+        if ids:
+            yield row()
+
+    return written(rows.select("id", "text").mapInArrow(run, schema), "lm-chunks")
+
+
+def blocks(table: DataFrame, shape_of) -> DataFrame:
+    """(shard, chunk, keys, counts): what each chunk has for each shard."""
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(items):
         shape = shape_of()
-        b2 = 2 * shape.bits
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged():
-            return _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-
-        def emit(k, c):
-            sh = shape.shard(k >> b2, k >> shape.bits & shape.mask).astype(np.int32)
-            for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sh[i : i + 100_000]), pa.array(k[i : i + 100_000]), pa.array(c[i : i + 100_000])], schema=schema)
-
-        for b in batches(items, 4000, 2 << 20):
-            x, _ = shape.tokens(b.column(0).to_pylist())
-            key = x[:-2] << b2 | x[1:-1] << shape.bits | x[2:]
-            k, c = np.unique(key[x[:-2] != END], return_counts=True)
-            held.append((k, c.astype(np.int64)))
-            size += len(k)
-            if size > HELD:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from emit(*held[0])
-                    held, size = [], 0
-        if size:
-            yield from emit(*merged())
-
-    return docs.select("text").mapInArrow(run, "shard int, key long, n long")
-
-
-def _by_shard(items, columns: int):
-    """(shard, arrays) of batches sorted by their first column."""
-    release()
-    at, held = None, []
-    for b in items:
-        if not b.num_rows:
-            continue
-        s = b.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
-        for i, j in zip(cuts, cuts[1:]):
-            if s[i] != at:
-                if held:
-                    yield at, [np.concatenate(x) for x in zip(*held)]
-                at, held = int(s[i]), []
-            held.append([b.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in range(1, columns)])
-    if held:
-        yield at, [np.concatenate(x) for x in zip(*held)]
+        release()
+        for b in items:
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                three, _, two = shape.grams(np.frombuffer(raw, shape.codec.type))
+                for keys, shard in ((three, shape.shard3), (two, shape.shard2)):
+                    keys, n = distinct(keys)
+                    rows = [(s, chunk, pack_keys(keys[i]), pack_small(n[i])) for s, i in _by(shard(keys))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
+    return table.select("chunk", "tokens").mapInArrow(run, "shard int, chunk long, keys binary, counts binary")
 
-GATHERED = "shard int, third boolean, key long, n long, c long, t long, kept double"
+
+def _groups(items, of: int):
+    """(value, rows) of rows that come sorted by their column ``of``."""
+    release()
+    at, rows = None, []
+    for b in items:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[of] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[of], []
+            rows.append(row)
+    if rows:
+        yield at, rows
 
 
-def gathered(counts: DataFrame, shape_of, keep: int) -> DataFrame:
-    """Contexts (occurrences, successors, what kept trigrams take) and kept trigrams of each shard."""
+def merged(found: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, counts, chunks, places): a shard's distinct keys, and which of them each chunk has. Written."""
+    schema = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
 
     def run(items):
-        bits = shape_of().bits
-        for shard, (key, n) in _by_shard(items, 3):
-            key, n = _summed(key, n)
-            ctx = key >> bits
-            new = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-            c, t = np.add.reduceat(n, new), np.diff(np.append(new, len(ctx)))
-            whole = np.repeat(c + t, t)
-            good = n >= keep
-            taken = np.add.reduceat(np.where(good, n / whole, 0.0), new)
-            for third, cols in ((False, (ctx[new], c, c, t, taken)), (True, (key[good], n[good], whole[good], whole[good], np.zeros(int(good.sum()))))):
-                for i in range(0, len(cols[0]), 100_000):
-                    part = [x[i : i + 100_000] for x in cols]
-                    m = len(part[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.full(m, third)), *map(pa.array, part)], ["shard", "third", "key", "n", "c", "t", "kept"])
-
-    return counts.repartition("shard").sortWithinPartitions("shard").select("shard", "key", "n").mapInArrow(run, GATHERED)
+        for shard, rows in _groups(items, 0):
+            held = [unpack_keys(r[2]) for r in rows]
+            keys = distinct(np.concatenate(held))[0]
+            n, places = np.zeros(len(keys), np.int64), []
+            for r, k in zip(rows, held):
+                at = np.searchsorted(keys, k)
+                n[at] += unpack_small(r[3], len(k))
+                places.append(len(k).to_bytes(8, "little") + pack_small(np.diff(at, prepend=-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([shard], [pack_keys(keys)], [pack_small(n)], [[r[1] for r in rows]], [places]), schema)], schema=schema)
+
+    parts = min(2 * shards, MAX_PARTITIONS)
+    placed = found.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "chunk")
+    return written(placed.mapInArrow(run, "shard int, keys binary, counts binary, chunks array<long>, places array<binary>"), "lm-shards")
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -186,183 +243,241 @@ def _put(folder: str, name: str, data: bytes) -> None:
     fs.move(temp, f"{base}/{name}")
 
 
-def _open(folder: str, name: str) -> np.ndarray | None:
+def _open(folder: str, name: str) -> dict | None:
+    """A level: its sequences, mapped into memory where the folder allows it; None if no shard of that name was written."""
     from pyarrow import fs as pafs
 
     fs, base = open_fs(folder)
     path = f"{base}/{name}"
     if isinstance(fs, pafs.LocalFileSystem):
         try:
-            return np.memmap(path, np.uint8, "r")
+            raw = np.memmap(path, np.uint8, "r")
         except FileNotFoundError:
             return None
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return None
-    with fs.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), np.uint8)
+    else:
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        with fs.open_input_stream(path) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    return {k: v if k in ("taken", "rest") else EliasFano(v) for k, v in unbundle(raw).items()}
+
+
+def level_two(shape: Shape, key: np.ndarray, n: np.ndarray, whole: np.ndarray) -> bytes:
+    return bundle({"ids": build(key, 1 << 2 * shape.bits), "taken": codes(n / whole[key >> shape.bits]).tobytes()})
+
+
+def level_three(shape: Shape, key: np.ndarray, n: np.ndarray, keep: int) -> bytes:
+    bits, context = shape.bits, key >> shape.bits
+    new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    t = np.diff(np.append(new, len(key)))
+    whole = np.repeat(np.add.reduceat(n, new) + t, t)
+    good = n >= keep
+    kept = np.add.reduceat(np.where(good, n / whole, 0.0), new)
+    of = np.repeat(np.arange(len(new)), t)[good]
+    follow = (key >> 2 * bits << bits | key & shape.mask)[good]
+    after = distinct(follow)[0]
+    rank = np.searchsorted(after, follow) - np.searchsorted(after, follow & ~shape.mask)
+    last = np.append(of[1:] != of[:-1], True)[: len(of)]
+    ends = np.cumsum(np.where(last, rank + 1, 0))  # each list begins where the one before ends
+    x = np.append(0, ends[:-1])[: len(of)] + rank
+    top = int(ends[-1]) + 1 if len(of) else 1
+    return bundle({
+        "contexts": build(context[new], 1 << 2 * bits), "after": build(after, 1 << 2 * bits), "pointers": build(np.searchsorted(of, np.arange(len(new) + 1)), len(x) + 1),
+        "ids": build(x, top), "taken": codes(n[good] / whole[good]).tobytes(), "rest": codes(1 - kept).tobytes(),
+    })
+
+
+def ask_two(level: dict, key: np.ndarray) -> np.ndarray:
+    """Codes of bigrams, NONE where there is none."""
+    at, same = level["ids"].successor(key)
+    out = np.full(len(key), NONE, np.uint8)
+    out[same] = level["taken"][at[same]]
+    return out
+
+
+def ask_three(shape: Shape, level: dict, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of trigrams (NONE if it isn't kept) and of what their contexts leave (0, all of it, for an unseen one)."""
+    bits = shape.bits
+    taken, rest = np.full(len(key), NONE, np.uint8), np.zeros(len(key), np.uint8)
+    context, where = np.unique(key >> bits, return_inverse=True)
+    at, same = level["contexts"].successor(context)
+    at, same = at[where], same[where]
+    rest[same] = level["rest"][at[same]]
+    v, w = key >> 2 * bits, key & shape.mask
+    pair, where = np.unique(v << bits | w, return_inverse=True)
+    place, known = level["after"].successor(pair)
+    first, back = np.unique(pair >> bits, return_inverse=True)
+    rank = (place - level["after"].successor(first << bits)[0][back])[where]
+    i = np.flatnonzero(same & known[where])
+    if not len(i):
+        return taken, rest
+    begin, end = level["pointers"].access(at[i]), level["pointers"].access(at[i] + 1)
+    some = end > begin
+    i, begin, end = i[some], begin[some], end[some]
+    x = np.where(begin > 0, level["ids"].access(np.maximum(begin - 1, 0)) + 1, 0) + rank[i]
+    ok = x <= level["ids"].access(end - 1)
+    i, x = i[ok], x[ok]
+    p, same = level["ids"].successor(x)
+    taken[i[same]] = level["taken"][p[same]]
+    return taken, rest
 
 
 class Model:
-    """Lookups in the shards of a folder."""
+    """Lookups of any n-grams in the shards of a folder, one shard at a time."""
 
     def __init__(self, folder: str, shape: Shape, first: np.ndarray, rest: np.ndarray) -> None:
         self.folder, self.shape, self.first, self.rest = folder, shape, first, rest
-        self.two: dict[int, dict | None] = {}
-        self.three: dict[int, dict | None] = {}
-
-    def _level(self, held: dict, name: str, s: int) -> dict | None:
-        if s not in held:
-            raw = _open(self.folder, f"{name}-{s:06d}")
-            held[s] = None if raw is None else {k: EliasFano(v) if k in ("ids", "pointers") else v for k, v in unbundle(raw).items()}
-        return held[s]
-
-    def _shards(self, shard: np.ndarray):
-        order = np.argsort(shard, kind="stable")
-        s = shard[order]
-        cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)] if len(s) else []
-        for i, j in zip(cuts, cuts[1:]):
-            yield int(s[i]), order[i:j]
-
-    def bigrams(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(shard, place or -1, P(w | v), what the bigram leaves as a context, number of w among v's successors)."""
-        shape = self.shape
-        shard, x = shape.shard(v, w), shape.place(v, w)
-        at, taken, rest, rank = np.full(len(v), -1, np.int64), np.zeros(len(v)), np.ones(len(v)), np.zeros(len(v), np.int64)
-        for s, i in self._shards(shard):
-            level = self._level(self.two, "two", s)
-            if level is None:
-                continue
-            p, same = level["ids"].successor(x[i])
-            p, i = p[same], i[same]
-            begin, _ = level["ids"].successor(x[i] - w[i] // SPLIT)
-            at[i], rank[i] = p, (p - begin) * SPLIT + w[i] % SPLIT
-            taken[i], rest[i] = CODEBOOK[level["taken"][p]], CODEBOOK[level["rest"][p]]
-        return shard, at, taken + self.rest[v] * self.first[w], rest, rank
-
-    def trigrams(self, shard: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """What the trigram of a context's place and a successor's number takes, 0 if it isn't kept."""
-        out = np.zeros(len(at))
-        for s, i in self._shards(shard):
-            level = self._level(self.three, "three", s)
-            if level is None:
-                continue
-            a = level["pointers"].access(at[i])
-            e = level["pointers"].access(at[i] + 1)
-            some = e > a
-            i, a, e = i[some], a[some], e[some]
-            base = np.where(a > 0, level["ids"].access(np.maximum(a - 1, 0)) + 1, 0)
-            x = base + rank[i]
-            end = level["ids"].access(e - 1)
-            ok = x <= end
-            i, x = i[ok], x[ok]
-            p, same = level["ids"].successor(x)
-            out[i[same]] = CODEBOOK[level["taken"][p[same]]]
-        return out
+
+    def combined(self, key: np.ndarray, taken: np.ndarray, rest: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Logarithms of trigrams' probabilities from the codes of the levels; low: of the bigrams."""
+        v, w = key >> 2 * self.shape.bits, key & self.shape.mask
+        return np.log(CODEBOOK[taken] + CODEBOOK[rest] * (CODEBOOK[low] + self.rest[v] * self.first[w]))
 
     def log_probs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(w | u v), each distinct n-gram looked up once."""
-        bits, mask = self.shape.bits, self.shape.mask
-        key, back = np.unique((u << 2 * bits) | (v << bits) | w, return_inverse=True)
-        both, where = np.unique(np.concatenate([key >> bits, key & ((1 << 2 * bits) - 1)]), return_inverse=True)
-        shard, at, p2, rest, rank = self.bigrams(both >> bits, both & mask)
-        ctx, low = where[: len(key)], where[len(key) :]
-        live = (at[ctx] >= 0) & (at[low] >= 0)
-        taken = np.zeros(len(key))
-        taken[live] = self.trigrams(shard[ctx[live]], at[ctx[live]], rank[low[live]])
-        return np.log(taken + rest[ctx] * p2[low])[back]
+        """Natural logarithms of P(w | u v)."""
+        shape = self.shape
+        key, pair = shape.trigram(u, v, w), v << shape.bits | w
+        taken, rest, low = np.full(len(key), NONE, np.uint8), np.zeros(len(key), np.uint8), np.full(len(key), NONE, np.uint8)
+        for s, i in _by(shape.shard3(key)):
+            if level := _open(self.folder, f"three-{s:06d}"):
+                taken[i], rest[i] = ask_three(shape, level, key[i])
+        for s, i in _by(shape.shard2(pair)):
+            if level := _open(self.folder, f"two-{s - shape.shards:06d}"):
+                low[i] = ask_two(level, pair[i])
+        return self.combined(key, taken, rest, low)
+
 
+class Trained:
+    """The counts of a corpus: chunks and shards as written tables, unigrams, and a folder for the levels."""
 
-_MODELS: dict[str, Model] = {}
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, vocab: str, keep: int) -> None:
+        spark: SparkSession = docs.sparkSession
+        text = F.col(f"`{text_col}`").cast("string")
+        shards = max(4, -(-int(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD_CHARS))
 
+        def shape_of() -> Shape:
+            return Shape(vocab, shards)
 
-def _model(folder: str, shape_of, first: np.ndarray, rest: np.ndarray) -> Model:
-    if folder not in _MODELS:
-        _MODELS.clear()
-        _MODELS[folder] = Model(folder, shape_of(), first, rest)
-    return _MODELS[folder]
+        self.shards, self.shape_of, self.keep, self.folder = shards, shape_of, keep, fresh_path(spark, "lm")
+        shape = shape_of()
+        bits, mask = shape.bits, shape.mask
+        self.chunks = chunks(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), shape_of)
+        self.table = merged(blocks(self.chunks, shape_of), shards)
+
+        def unigrams(items):
+            for b in items:
+                for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    key = unpack_keys(raw)
+                    n = unpack_small(n, len(key))
+                    v, t = distinct(key >> bits)
+                    c = np.bincount(np.searchsorted(v, key >> bits), n, len(v)).astype(np.int64)
+                    w = distinct(key & mask)[0]
+                    m = np.bincount(np.searchsorted(w, key & mask), n, len(w)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([True, False], [len(v), len(w)])), pa.array(np.append(v, w)), pa.array(np.append(c, m)), pa.array(np.append(t, np.zeros(len(w), np.int64)))], ["before", "id", "c", "t"])
+
+        sums = self.table.where(F.col("shard") >= shards).select("keys", "counts").mapInArrow(unigrams, "before boolean, id long, c long, t long")
+        count, self.rest, self.whole = np.zeros(shape.size), np.ones(shape.size), np.ones(shape.size)
+        for r in sums.groupBy("before", "id").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():  # two rows a vocabulary entry at most
+            if r["before"]:
+                self.rest[r["id"]], self.whole[r["id"]] = r["t"] / (r["c"] + r["t"]), r["c"] + r["t"]
+            else:
+                count[r["id"]] = r["c"]
+        count[BEGIN] = 0
+        seen = max(1, int((count > 0).sum()))
+        self.first = (count + seen / shape.size) / (count.sum() + seen)
+
+    def answers(self) -> DataFrame:
+        """(chunk, shard, codes): each shard's levels are written, and asked for all keys of each chunk."""
+        shape_of, shards, folder, keep, whole = self.shape_of, self.shards, self.folder, self.keep, self.whole
+        schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("codes", pa.binary())])
+
+        def run(items):
+            shape = shape_of()
+            release()
+            for b in items:
+                for shard, raw, counts, at, places in zip(*(c.to_pylist() for c in b.columns)):
+                    key = unpack_keys(raw)
+                    n = unpack_small(counts, len(key))
+                    if shard < shards:
+                        _put(folder, name := f"three-{shard:06d}", level_three(shape, key, n, keep))
+                        found = np.stack(ask_three(shape, _open(folder, name), key))
+                    else:
+                        _put(folder, name := f"two-{shard - shards:06d}", level_two(shape, key, n, whole))
+                        found = ask_two(_open(folder, name), key)[None]
+                    out = []
+                    for p in places:
+                        m = int.from_bytes(p[:8], "little")
+                        out.append(found[:, np.cumsum(unpack_small(p[8:], m)) - 1].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([shard] * len(at), pa.int32()), pa.array(out, pa.binary())], schema=schema)
+
+        return self.table.select("shard", "keys", "counts", "chunks", "places").mapInArrow(run, "chunk long, shard int, codes binary")
+
+    def model_of(self):
+        """A function to the model for tasks or the driver, once ``answers`` has run."""
+        folder, shape_of, first, rest = self.folder, self.shape_of, self.first, self.rest
+        return lambda: Model(folder, shape_of(), first, rest)
 
 
 def train(docs: DataFrame, text_col: str = "text", vocab: str = PIECES, keep: int = KEEP):
     """Counts all documents, writes the shards, and gives a function to the model for tasks."""
-    spark: SparkSession = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("string")
-    texts = docs.where(text.isNotNull()).select(text.alias("text"))
-    shards = max(4, -(-int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS))
-    folder = fresh_path(spark, "lm")
-
-    def shape_of() -> Shape:
-        return Shape(vocab, shards)
-
-    shape = shape_of()
-    bits, size, split, universe = shape.bits, shape.size, SPLIT, shape.universe
-    table = written(gathered(trigram_counts(texts, shape_of), shape_of, keep), "lm-counts")
-    by_first = table.where("not third").groupBy(F.shiftright("key", bits).alias("v")).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("t"))
-    by_last = table.where("not third").groupBy(F.col("key").bitwiseAND(shape.mask).alias("w")).agg(F.sum("n").alias("n"))
-    count, rest = np.zeros(size), np.ones(size)
-    whole = np.ones(size)
-    for r in by_first.collect():  # one row a vocabulary entry
-        rest[r["v"]], whole[r["v"]] = r["t"] / (r["c"] + r["t"]), r["c"] + r["t"]
-    for r in by_last.collect():
-        count[r["w"]] = r["n"]
-    count[BEGIN] = 0
-    seen = max(1, int((count > 0).sum()))
-    first = (count + seen / size) / (count.sum() + seen)
-
-    def level_two(items):
-        for shard, (key, n, kept) in _by_shard(items, 4):
-            own = Shape(vocab, shards)
-            v, w = key >> bits, key & own.mask
-            x = own.place(v, w)
-            order = np.argsort(x)
-            taken = codes(n[order] / whole[v[order]])
-            _put(folder, f"two-{shard:06d}", bundle({"ids": build(x[order], universe), "taken": taken.tobytes(), "rest": codes(1 - kept[order]).tobytes()}))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64())], ["shard", "n"])
-
-    def level_three(items):
-        for shard, (key, n, c) in _by_shard(items, 4):
-            model = _model(folder, shape_of, first, rest)
-            u, v, w = key >> 2 * bits, key >> bits & model.shape.mask, key & model.shape.mask
-            _, at, _, _, _ = model.bigrams(u, v)
-            _, low, _, _, rank = model.bigrams(v, w)
-            order = np.lexsort((rank, at))
-            at, rank, a = at[order], rank[order], codes(n[order] / c[order])
-            last = np.append(at[1:] != at[:-1], True)
-            ends = np.cumsum(np.where(last, rank + 1, 0))  # each list begins where the one before ends
-            base = np.concatenate([[0], ends[:-1]])
-            x = base + rank
-            level = model._level(model.two, "two", shard)
-            pointers = np.searchsorted(at, np.arange(level["ids"].n + 1))
-            _put(folder, f"three-{shard:06d}", bundle({"ids": build(x, int(ends[-1]) + 1), "pointers": build(pointers, len(x) + 1), "taken": a.tobytes()}))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64())], ["shard", "n"])
-
-    for third, f, cols in ((False, level_two, ("shard", "key", "n", "kept")), (True, level_three, ("shard", "key", "n", "c"))):
-        rows = table.where(F.col("third") == third).select(*cols).repartition("shard").sortWithinPartitions("shard")
-        rows.mapInArrow(f, "shard int, n long").agg(F.sum("n")).collect()
-    return lambda: _model(folder, shape_of, first, rest)
+    trained = Trained(docs, text_col, text_col, vocab, keep)
+    trained.answers().agg(F.count("codes")).collect()
+    return trained.model_of()
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = PIECES, keep: int = KEEP) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under the model of all rows; the end mark counts as a token."""
-    model_of = train(docs, text_col, vocab, keep)
+    trained = Trained(docs, id_col, text_col, vocab, keep)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
+    model_of = trained.model_of()
+    none = F.lit(None)
+    held = trained.chunks.select("chunk", F.lit(-1).alias("shard"), none.cast("binary").alias("codes"), "ids", "lens", "tokens")
+    codes_ = trained.answers().select("chunk", "shard", "codes", *[none.cast(trained.chunks.schema[c].dataType).alias(c) for c in ("ids", "lens", "tokens")])
+    rows = held.unionByName(codes_).repartition("chunk").sortWithinPartitions("chunk", "shard")
+
+    def scored(model: Model, lens: pa.Array, raw: bytes, found: list[tuple[int, bytes]]):
+        shape = model.shape
+        null = lens.is_null().to_numpy(zero_copy_only=False)
+        n = lens.fill_null(0).to_numpy().astype(np.int64)
+        key, at, two = shape.grams(np.frombuffer(raw, shape.codec.type))
+        total = np.zeros(len(n))
+        if len(key):
+            order = np.argsort(key)
+            s = key[order]
+            new = np.append(True, s[1:] != s[:-1])
+            back = np.empty(len(key), np.int64)
+            back[order] = np.cumsum(new) - 1
+            key, two = s[new], distinct(two)[0]
+            taken, rest, low = np.empty(len(key), np.uint8), np.empty(len(key), np.uint8), np.empty(len(two), np.uint8)
+            got = dict(found)
+            for s, i in _by(shape.shard3(key)):
+                taken[i], rest[i] = np.frombuffer(got[s], np.uint8).reshape(2, -1)
+            for s, i in _by(shape.shard2(two)):
+                low[i] = np.frombuffer(got[s], np.uint8)
+            pair = key >> 2 * shape.bits << shape.bits | key & shape.mask
+            lp = np.zeros(int(n.sum()))
+            lp[at] = model.combined(key, taken, rest, low[np.searchsorted(two, pair)])[back]
+            total[~null] = np.add.reduceat(lp, (np.cumsum(n) - n)[~null])
+        n = n - 3
+        return [pa.array(n, pa.int64(), mask=null), pa.array(total, pa.float64(), mask=null), pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=null)]
 
     def run(items):
-        for b in batches(items, 4000, 2 << 20):
-            model = model_of()
-            texts = b.column(1).to_pylist()
-            x, lens = model.shape.tokens(texts)
-            n = np.zeros(len(texts), np.int64)
-            null = np.array([t is None for t in texts], bool)
-            total = np.zeros(len(texts))
-            if len(x):
-                scored = (x[:-2] != END) & (x[1:-1] != END)
-                lp = np.zeros(len(x))
-                lp[2:][scored] = model.log_probs(x[:-2][scored], x[1:-1][scored], x[2:][scored])
-                n[~null] = lens - 3
-                total[~null] = np.add.reduceat(lp, np.cumsum(lens) - lens)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64(), mask=null), pa.array(total, pa.float64(), mask=null), pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=null)],
-                ["doc_id", "n_tokens", "log_prob", "perplexity"],
-            )
-
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+        release()
+        model, chunk, found = model_of(), None, []
+
+        def done():
+            return pa.RecordBatch.from_arrays([chunk[0], *scored(model, chunk[1], chunk[2], found)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+
+        for b in items:
+            shard, code = b.column(0).to_pylist(), b.column(1)
+            for k, s in enumerate(shard):
+                if s < 0:
+                    if chunk:
+                        yield done()
+                    chunk, found = (b.column(2)[k].values, b.column(3)[k].values, b.column(4)[k].as_py()), []
+                else:
+                    found.append((s, code[k].as_py()))
+        if chunk:
+            yield done()
+
+    return rows.select("shard", "codes", "ids", "lens", "tokens").mapInArrow(run, schema)

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ RESTART = 16
 PROBES, BITS = 7, 10
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQ8s")
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 SEGMENT = "shard int, seq long, kind string, first_doc_id {id}, entries long, bytes binary"
 
 
@@ -91,6 +92,9 @@ class TokenIds:
         self.pieces, self.auto = loaded(path)
         self.type = np.dtype("<u2" if self.pieces.size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.one = [np.array([i], self.type).tobytes() for i in range(self.pieces.size)]
+        self.popped = [b"".join([self.one[i] for i in ids]) for ids in self.auto.popped_ids]
+        self.begin = self.auto.child[0][SPACE]
         self.raw = [b""] * self.pieces.size
         for t, i in self.pieces.normal.items():
             self.raw[i] = t.replace(SPACE, " ").encode()
@@ -98,10 +102,28 @@ class TokenIds:
             self.raw[i] = bytes([b])
 
     def word(self, w: str) -> bytes:
-        ids = []
-        for k, part in enumerate(w.split(SPACE)):  # a literal U+2581 goes as bytes, not as a blank
-            ids += self.auto.ids(SPACE + part) if not k else [self.pieces.bytes[x] for x in SPACE.encode()] + self.auto.ids(part)
-        out = np.array(ids, self.type).tobytes()
+        """Ids of a blank and a word: the automaton's walk, with the popped ids as ready bytes."""
+        if SPACE in w:  # a literal U+2581 goes as bytes, not as a blank
+            ids = []
+            for k, part in enumerate(w.split(SPACE)):
+                ids += self.auto.ids(SPACE + part) if not k else [self.pieces.bytes[x] for x in SPACE.encode()] + self.auto.ids(part)
+            out = np.array(ids, self.type).tobytes()
+        else:
+            child, fail, popped, v, parts = self.auto.child, self.auto.fail, self.popped, self.begin, []
+            for ch in w:
+                u = child[v].get(ch)
+                while u is None and v:
+                    parts.append(popped[v])
+                    v = fail[v]
+                    u = child[v].get(ch)
+                if u is None:
+                    parts.append(b"".join([self.one[x] for x in self.auto._fallback(ch)]))
+                else:
+                    v = u
+            while v:
+                parts.append(popped[v])
+                v = fail[v]
+            out = b"".join(parts)
         if len(w) <= 64:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
@@ -118,6 +140,30 @@ class TokenIds:
             parts = [p if p is not None else word(w) for p, w in zip(parts, words)]
         return b"".join(parts)
 
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end and the number of each; a word that comes again is looked up once."""
+        lens = np.zeros(len(texts), np.int64)
+        some = [k for k, t in enumerate(texts) if t]
+        if not some:
+            return np.zeros(0, self.type), lens
+        try:
+            split = pc.split_pattern(pa.array([texts[k] for k in some], pa.large_string()), " ")
+        except UnicodeEncodeError:  # lone surrogates
+            parts = [self.encode(texts[k]) for k in some]
+            lens[some] = [len(p) // self.type.itemsize for p in parts]
+            return np.frombuffer(b"".join(parts), self.type), lens
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        parts = list(map(self.memo.get, words))
+        if None in parts:
+            parts = [p if p is not None else self.word(w) for p, w in zip(parts, words)]
+        ids, size = np.frombuffer(b"".join(parts), self.type), np.fromiter(map(len, parts), np.int64, len(parts)) // self.type.itemsize
+        at = coded.indices.to_numpy()
+        count = size[at]
+        out = np.cumsum(count)
+        lens[some] = np.diff(np.append(0, out)[split.offsets.to_numpy()])
+        return ids[np.arange(out[-1]) + np.repeat((np.cumsum(size) - size)[at] - out + count, count)], lens
+
     def decode(self, value: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(value, self.type).tolist()))[1:].decode("utf-8", "surrogatepass")
 

@@ -35,7 +35,7 @@ def test_bundle():
 
 
 class Brute:
-    def __init__(self, texts, keep=2):
+    def __init__(self, texts, keep=1):
         self.code = token_ids()
         self.c3 = collections.Counter()
         for t in texts:

@@ -12,7 +12,7 @@ def test_query_holds_every_trigram(spark):
     import __spark_entry__ as e
 
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    whole, cut = Brute([r.text for r in rows], keep=1), Brute([r.text for r in rows])
+    whole, cut = Brute([r.text for r in rows], keep=1), Brute([r.text for r in rows], keep=2)
     got = {r.doc_id: r for r in e.queries()["op5_lm_score"](spark, SF).collect()}
     moved = 0
     for r in rows[:80]:
