@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,16 +94,31 @@ class WordHashes(dict):
         return h
 
 
-def word_hashes(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct white-space separated words of texts; for all words end to end their places in that list; the words of each text.
+
+    Arrow splits at the same characters as Python does. A null text has no words.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    split = pc.utf8_split_whitespace(texts)
+    counts = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # at a text's ends
+        words[blank] = "-"
+        none = np.append(0, np.cumsum(at == blank))
+        ends = np.cumsum(counts)
+        counts = counts - none[ends] + none[ends - counts]
+        at = at[at != blank]
+    return words, at, counts
+
+
+def word_hashes(texts: pa.Array | list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the white-space separated words of all texts, end to end, and the words of each text."""
-    parts, counts = [], np.zeros(len(texts), np.int64)
-    get = memo.__getitem__
-    for i, t in enumerate(texts):
-        if t:
-            words = t.split()
-            counts[i] = len(words)
-            parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
+    words, at, counts = words_of(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string()))
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))[at], counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -52,7 +52,7 @@ BEGIN, END = 1, 2
 KEEP = 1
 #: Characters of text a shard, tokens a chunk; results don't depend on either.
 SHARD_CHARS = 8 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Most partitions of the counting shuffle; beyond, a task takes several shards one after another.
 MAX_PARTITIONS = 20_000
 STEP = 0.08  # of the codes, in natural logarithms

@@ -15,8 +15,9 @@ queue one by one, in O(n log n). Neither a word nor a text is ever cut.
 Losslessness: a blank becomes U+2581, led by one dummy as the model has it; characters without a
 piece, and a literal U+2581, become byte pieces. Other white space is kept as it is.
 
-Edges: a null text has null tokens; an empty text has none and decodes to itself; a null id
-is a key like any other; repeated rows are encoded alike. Only id and text are read.
+Edges: a null text has null tokens; an empty text has none and decodes to itself; a very long
+text is encoded whole; a null id is a key like any other; repeated rows, and rows of equal id and
+text, are encoded alike; an empty table gives no rows. Only id and text are read.
 One scan, no shuffle.
 """
 
@@ -293,7 +294,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lossless = pa.array(same if verify else [None] * len(texts), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64(), mask=null), pieces, lossless], ["doc_id", "n_pieces", "pieces", "lossless"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, vocab: str = PIECES) -> DataFrame:

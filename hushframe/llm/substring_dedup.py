@@ -64,7 +64,7 @@ def anchors(texts: DataFrame, least: int) -> DataFrame:
     def run(items):
         memo = WordHashes()
         for b in batches(items, 2000, 4 << 20):
-            words, counts = word_hashes(b.column(1).to_pylist(), memo)
+            words, counts = word_hashes(b.column(1), memo)
             grams, rows, hs, ps, ends = gram_hashes(words, ANCHOR), [], [], [], np.cumsum(counts)
             for row, e, c in zip(b.column(0).to_pylist(), ends.tolist(), counts.tolist()):
                 if c >= least:
@@ -89,8 +89,10 @@ def contexts(held: DataFrame, least: int) -> DataFrame:
             ids = b.column(1)
             out: list[list] = [[] for _ in range(4)]
             which = []
-            for k, (row, text, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
-                words, _ = word_hashes([text], memo)
+            every, counts = word_hashes(b.column(2), memo)
+            ends = np.cumsum(counts)
+            for k, (row, end, count, places) in enumerate(zip(b.column(0).to_pylist(), ends.tolist(), counts.tolist(), b.column(3).to_pylist())):
+                words = every[end - count : end]
                 place = np.array(sorted(set(places)), np.int64)
                 at, hot = place >> 1, (place & 1).astype(bool)
                 h = gram_hashes(words, ANCHOR)[at]
