@@ -11,7 +11,7 @@ from .common import fresh_path, table, written
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
 from .mixing import facets, mix, word_count
-from .ngram_join import jaccard_pairs
+from .ngram_join import near_classes
 from .piece_codec import encode_pieces
 from .quality_rules import accepted_scores
 from .sstable import shards
@@ -30,8 +30,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-grams have a Jaccard similarity of at least one half."""
-    return jaccard_pairs(table(spark, sf_dir, "documents"))
+    """Every document with the least id of its group of near copies, and how many documents have at least half of their word 3-grams in common with it."""
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
