@@ -2,7 +2,9 @@ from fractions import Fraction
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hushframe.llm.quality_rules import GRIDS, Scorer, accepted_scores, binomial_cdf, calibrate, choose, quality_filter
 
@@ -76,3 +78,57 @@ def test_edges(spark):
     assert accepted_scores(df, labels).count() == 4
     assert quality_filter(df, labels.where("false")).count() == 4
     assert quality_filter(df.where("false"), labels).count() == 0
+
+
+def test_many_is_one_call_a_text():
+    s = Scorer(["vile", "ß"])
+    texts = ["Vile vile $$$ WORD !? a", None, "", " \n", "a a a b", "STRAßE İvile Ⅷ x²  \u2003 €5", "=> <= 漢字 漢字", "vile-vile!"]
+    some, rules = s.many(pa.array(texts, pa.string()))
+    got = iter(zip(*(r.tolist() for r in rules)))
+    assert [next(got) if x else None for x in some] == [s(t) for t in texts]
+
+
+def labelled(spark, copies=1, strata=lambda k: "s"):
+    """4,000 documents of which a tenth, all bad, have many symbols; a tenth of the good ones have some."""
+    rows = []
+    for k in range(4000):
+        words = [f"w{k}a", f"w{k}b"] + (["$$$$$$$"] * 3 if k % 10 == 0 else ["$"] if k % 10 == 1 else [])
+        rows += [(k * copies + c, " ".join(words), strata(k), int(k % 10 > 0)) for c in range(copies)]
+    docs = spark.createDataFrame([r[:3] for r in rows], ["doc_id", "text", "lang"])
+    return docs, spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int")
+
+
+def test_cutoffs_against_brute_force(spark):
+    """Certificates from plain counts of distinct contents, with exact fractions, not from the operator's scores or counts."""
+    docs, labels = labelled(spark)
+    policy, _ = calibrate(docs, labels)
+    split = {r.text for r in docs.select("text", F.pmod(F.xxhash64(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit("lexicon")), F.lit(5)).alias("k")).where("k != 0").collect()}
+    bad = {r.doc_id for r in labels.where("quality = 0").collect()}
+    good_shares, bad_shares = [], []
+    for r in docs.collect():
+        if r.text in split:
+            (bad_shares if r.doc_id in bad else good_shares).append(r.text.count("$") / sum(map(len, r.text.split())))
+    certified, n, q = [], len(good_shares), Fraction(0.05 / 6)
+    for cut in GRIDS["symbol_share"]:
+        lost = sum(x > cut for x in good_shares)
+        if sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(lost + 1)) > Fraction(0.05 / 6):
+            break
+        certified.append((sum(x > cut for x in bad_shares) - 10 * lost, cut))
+    top = [c for g, c in certified if g == max(certified)[0]]
+    assert policy.cutoffs["s", "symbol_share"] == top[len(top) // 2]
+
+
+def test_copies_are_no_trials(spark):
+    """Every text eight times gives the same certificates as once, and a copy never stands on both sides of the split."""
+    one, eight = (calibrate(*labelled(spark, c))[0].cutoffs for c in (1, 8))
+    assert one == eight and one
+
+
+def test_any_stratum_type(spark):
+    docs, labels = labelled(spark, strata=lambda k: k % 2 == 0)
+    assert docs.schema["lang"].dataType.simpleString() == "boolean"
+    docs = docs.withColumn("stratum", F.lit("x")).withColumn("cut_symbol_share", F.lit(0.0)).withColumn("content", F.lit(1)).withColumn("text_", F.lit("y"))
+    kept = quality_filter(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert ids == {r.doc_id for r in accepted_scores(docs, labels).collect()} and len(ids) < 3700
