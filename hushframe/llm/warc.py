@@ -13,21 +13,31 @@ start reaches it:
   rounds of equi-joins, however many records it has;
 * each range reached is then parsed from its one entry offset on.
 
-Candidates that no chain reaches, such as whole records quoted in a payload, fall away.
+Candidates that no chain reaches, such as whole records quoted in a payload, fall away. Files named
+``.warc.gz`` are chained in the same way by their gzip members: a candidate is a place with gzip's
+magic that decompresses, with its checksum, to something that begins with a version line, and
+its successor is where the member ends.
+
+A version line is recognised by its own ten bytes, and a header is at most ``MAX_HEADER`` bytes long
+(a longer one is no header), so hostile payloads cost time in proportion to their length.
 
 Edges: an empty file has no records; a file that doesn't begin with a record has none; a
 record that runs past the file's end is not returned, nor what seems to follow it. Null
 ids, urls and texts, empty and very long payloads, repeated rows and payloads with version
-lines come back as they were written. Other columns of a table are not written.
+lines come back as they were written; rows of equal id are records of their own; an empty table
+gives no records. Other columns of a table are not written. A gzip member is decompressed whole; its
+records share its offset and length.
 
 Files are reached by ``pyarrow.fs`` URIs, so the folder may be any shared file system.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,7 +47,10 @@ from pyspark.sql import functions as F
 from .common import batches, written
 
 MAGIC = b"WARC/1."
+GZIP = b"\x1f\x8b\x08"
+MAX_HEADER = 1 << 20
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION_SIZE = 10
 _FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*(.*)")
 _TAIL = b"\r\n\r\n"
 FILES = "file string, size long, start long, end long"
@@ -61,27 +74,27 @@ def record(page_id, url: str | None, body: str | None) -> bytes:
 INFO = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Length: 21\r\n\r\nformat: WARC/1.0\r\n\r\n \r\n\r\n"
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
-    """One file a task, (file, size, records); a repeated task replaces its file by the same bytes."""
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", compress: bool = False) -> DataFrame:
+    """One file a task, (file, size, records), with a gzip member a record if ``compress``; a repeated task replaces its file by the same bytes."""
+    end, packed = (".warc.gz", lambda x: gzip.compress(x, 6, mtime=0)) if compress else (".warc", bytes)
 
     def run(items):
         task = TaskContext.get()
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        name = f"part-{task.partitionId():06d}.warc"
+        name = f"part-{task.partitionId():06d}{end}"
         temp, n, size = f"{base}/.{name}.{task.taskAttemptId()}", 0, 0
         with fs.open_output_stream(temp) as out:
-            out.write(INFO)
-            size += len(INFO)
+            size += out.write(packed(INFO))
             for b in batches(items):
                 for row in zip(*(c.to_pylist() for c in b.columns)):
-                    data = record(*row)
+                    data = packed(record(*row))
                     out.write(data)
                     n, size = n + 1, size + len(data)
         fs.move(temp, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "size": [size], "records": [n]}, pa.schema([("file", pa.string()), ("size", pa.int64()), ("records", pa.int64())]))
 
-    return pages.select(F.col(id_col), F.col(url_col), F.col(text_col)).mapInArrow(run, "file string, size long, records long")
+    return pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, text_col)]).mapInArrow(run, "file string, size long, records long")
 
 
 def files_in(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +102,7 @@ def files_in(spark: SparkSession, folder: str) -> DataFrame:
     from pyarrow import fs
 
     system, base = open_fs(folder)
-    found = [(f"{folder}/{i.base_name}", i.size) for i in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.is_file and i.base_name.endswith(".warc")]
+    found = [(f"{folder}/{i.base_name}", i.size) for i in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.is_file and i.base_name.endswith((".warc", ".warc.gz"))]
     return spark.createDataFrame(sorted(found), "file string, size long")
 
 
@@ -109,30 +122,27 @@ class Window:
             self.data += self.handle.read_at(min(self.size, max(upto, have + self.step)) - have, have)
         return True
 
-    def line(self, at: int) -> tuple[bytes, int] | None:
-        """The line at a place of the file without its end, and where the next one begins."""
+    def line(self, at: int, limit: int) -> tuple[bytes, int] | None:
+        """The line at a place of the file without its end, and where the next one begins; None if it doesn't end before ``limit``."""
         i = seek = at - self.start
         while True:
-            k = self.data.find(b"\r\n", seek)
+            k = self.data.find(b"\r\n", seek, limit - self.start)
             if k >= 0:
                 return bytes(self.data[i:k]), self.start + k + 2
-            bad = self.data.find(b"\n", i)
-            if bad >= 0 and (bad == i or self.data[bad - 1] != 13):
-                return None
             have = self.start + len(self.data)
-            if have >= self.size:
+            if have >= min(self.size, limit) or self.data.find(b"\n", seek, limit - self.start) >= 0:
                 return None
             seek = max(i, len(self.data) - 1)
             self.has(min(self.size, have + self.step))
 
     def header(self, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
         """Fields of the record at a place, where its block begins, and its successor."""
-        got = self.line(at)
-        if got is None or not _VERSION.fullmatch(got[0] + b"\r\n"):
+        if not self.has(at + VERSION_SIZE) or not _VERSION.match(self.data, at - self.start):
             return None
         fields: dict[bytes, bytes] = {}
+        limit, got = at + MAX_HEADER, (b"", at + VERSION_SIZE)
         while True:
-            got = self.line(got[1])
+            got = self.line(got[1], limit)
             if got is None:
                 return None
             if not got[0]:
@@ -146,6 +156,33 @@ class Window:
             return None
         return fields, got[1], got[1] + int(length) + len(_TAIL)
 
+    def member(self, at: int) -> tuple[bytes, int] | None:
+        """What the gzip member at a place holds, and where it ends; None if it is broken or isn't WARC."""
+        d, parts, here, size = zlib.decompressobj(31), [], at, 0
+        try:
+            while not d.eof:
+                if here >= self.size:
+                    return None
+                self.has(min(self.size, here + self.step))
+                chunk = bytes(self.data[here - self.start : here - self.start + self.step])
+                parts.append(d.decompress(chunk))
+                here += len(chunk)
+                if size < VERSION_SIZE <= (size := size + len(parts[-1])) and not _VERSION.match(b"".join(parts)):
+                    return None
+        except zlib.error:
+            return None
+        return (b"".join(parts), here - len(d.unused_data)) if size >= VERSION_SIZE else None
+
+
+class Memory:
+    """A handle on bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.data[at : at + n]
+
 
 def splits_of(files: DataFrame, split_bytes: int) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
@@ -161,13 +198,15 @@ def candidates(splits: DataFrame) -> DataFrame:
             for file, size, start, end in zip(*(c.to_pylist() for c in b.columns)):
                 fs, path = open_fs(file)
                 with fs.open_input_file(path) as handle:
-                    w = Window(handle, start, min(size, end + len(MAGIC)), size)
-                    found, i = {}, w.data.find(MAGIC)
+                    w = Window(handle, start, min(size, end + VERSION_SIZE), size)
+                    packed = file.endswith(".gz")
+                    magic = GZIP if packed else MAGIC
+                    found, i = {}, w.data.find(magic)
                     while 0 <= i < end - start:
-                        head = w.header(start + i)
-                        if head and head[2] <= size:
-                            found[start + i] = head[2]
-                        i = w.data.find(MAGIC, i + 1)
+                        head = w.member(start + i) if packed else w.header(start + i)
+                        if head and head[-1] <= size:
+                            found[start + i] = head[-1]
+                        i = w.data.find(magic, i + 1)
                 exits: dict[int, int] = {}
                 for at in sorted(found, reverse=True):
                     nxt = found[at]
@@ -198,22 +237,33 @@ def parse(entries: DataFrame) -> DataFrame:
     """Records of ranges (file, size, start, end, at), each walked from its entry on."""
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("meta", pa.string()), ("block", pa.binary())])
 
+    def records(w: Window, at: int, end: int):
+        """(offset, length, fields, block) of the records from a place on that begin before ``end``."""
+        while at < end:
+            head = w.header(at)
+            if not head or head[2] > w.size:
+                return
+            fields, block, nxt = head
+            w.has(nxt)
+            yield at, nxt - at, fields, bytes(w.data[block - w.start : nxt - len(_TAIL) - w.start])
+            at = nxt
+
+    def members(w: Window, at: int, end: int):
+        while at < end and (got := w.member(at)):
+            data, nxt = got
+            for _, _, fields, block in records(Window(Memory(data), 0, len(data), len(data)), 0, len(data)):
+                yield at, nxt - at, fields, block
+            at = nxt
+
     def run(items):
         for b in items:
             for file, size, _, end, at in zip(*(c.to_pylist() for c in b.columns)):
                 fs, path = open_fs(file)
                 rows, held = [], 0
                 with fs.open_input_file(path) as handle:
-                    w = Window(handle, at, end, size)
-                    while at < end:
-                        head = w.header(at)
-                        if not head or head[2] > size:
-                            break
-                        fields, block, nxt = head
-                        w.has(nxt)
-                        data = bytes(w.data[block - w.start : nxt - len(_TAIL) - w.start])
-                        rows.append((file, at, nxt - at, fields.get(b"warc-type", b"").decode("utf-8", "replace"), fields[b"x-row"].decode() if b"x-row" in fields else None, data))
-                        held, at = held + len(data), nxt
+                    for offset, length, fields, data in (members if file.endswith(".gz") else records)(Window(handle, at, end, size), at, end):
+                        rows.append((file, offset, length, fields.get(b"warc-type", b"").decode("utf-8", "replace"), fields[b"x-row"].decode() if b"x-row" in fields else None, data))
+                        held += len(data)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                             rows, held = [], 0
@@ -226,12 +276,13 @@ def parse(entries: DataFrame) -> DataFrame:
 def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """The records of files (file, size): file, offset, length, kind, meta, block."""
     parts = max(1, files.sparkSession.sparkContext.defaultParallelism)
-    total = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0
-    splits = written(splits_of(files, split_bytes).repartition(max(1, min(int(total), max(parts * 3, int(total) // 16)))), "splits")
-    found = written(candidates(splits.repartition(max(1, min(int(total), 100_000)))), "candidates")
-    reached = reachable(found)
-    entries = splits.join(reached, "file").where("at >= start and at < end").select("file", "size", "start", "end", "at")
-    return parse(entries.repartition(max(1, min(int(total), 100_000)), "file", "start"))
+    total, size = files.agg(F.sum(F.ceil(F.col("size") / split_bytes)), F.sum("size")).first()
+    tasks = max(1, min(int(total or 0), max(2 * parts, int(size or 0) // (8 << 20)), 100_000))
+    splits = written(splits_of(files, split_bytes).repartition(max(1, tasks // 16)), "splits")
+    found = written(candidates(splits.repartition(tasks)), "candidates")
+    entries = reachable(found).withColumn("start", F.col("at") - F.col("at") % split_bytes)  # every range is entered at one place
+    entries = splits.join(entries, ["file", "start"]).select("file", "size", "start", "end", "at")
+    return parse(entries.repartition(tasks, "file", "start"))
 
 
 def pages_of(records: DataFrame, id_type: str = "long") -> DataFrame:

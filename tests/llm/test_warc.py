@@ -1,6 +1,10 @@
+import gzip
+import random
+import time
+
 from oracle import compare
 
-from hushframe.llm.warc import MAGIC, files_in, pages_of, read_warc, record, write_warc
+from hushframe.llm.warc import MAGIC, Memory, Window, files_in, pages_of, read_warc, record, write_warc
 
 INNER = record(99, "u", "inner").decode()
 
@@ -49,3 +53,26 @@ def test_edges(spark, tmp_path):
     pages = pages_of(read_warc(files_in(spark, folder), split_bytes=64)).collect()
     assert [tuple(r) for r in pages] == [(1, "u", "t")]
     assert files_in(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_gzip_members_against_plain_files(spark, tmp_path):
+    rng = random.Random(1)
+    quoted = gzip.compress(record(98, "u", "quoted")).decode("latin-1")
+    rows = [*ROWS, (7, "u", "".join(rng.choice(quoted) for _ in range(4000)), "e"), (8, "u", quoted * 20, "e")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, meta string").repartition(2)
+    folder = str(tmp_path / "z")
+    write_warc(df, folder, compress=True).collect()
+    both = gzip.compress(record(9, "u", "first") + record(10, "u", "second")) + gzip.compress(b"no record") + gzip.compress(record(11, "u", "after what isn't one"))
+    (tmp_path / "z" / "stored.warc.gz").write_bytes(gzip.compress(record(12, "u", quoted), 0) + both)
+    for split in (61, 1000, 1 << 23):
+        pages = pages_of(read_warc(files_in(spark, folder), split_bytes=split)).collect()
+        assert sorted(map(tuple, pages), key=repr) == sorted([*[r[:3] for r in rows], (12, "u", quoted), (9, "u", "first"), (10, "u", "second")], key=repr)
+
+
+def test_hostile_magic_takes_time_in_proportion():
+    for payload in (b"WARC/1." * 1_200_000, b"WARC/1.0\r\n" * 800_000, b"WARC/1.0\r\nA: b\r\n" * 500_000, b"WARC/1.0\r\nA: " + b"x" * (8 << 20)):
+        w, began, i, n = Window(Memory(payload), 0, len(payload), len(payload)), time.time(), 0, 0
+        while (i := payload.find(MAGIC, i)) >= 0:
+            n += w.header(i) is not None
+            i += 1
+        assert n == 0 and time.time() - began < 30
