@@ -9,23 +9,24 @@ A shard holds the documents of one range of identifiers in order:
 * a Bloom filter over the keys (10 bits a key, 7 probes);
 * a footer with the places of index and filter, the number of entries, and a magic.
 
-A key is the identifier in an encoding that sorts like it (integers: 8 bytes, big-endian,
-sign flipped; strings: UTF-8). A value is the text's token ids as little-endian uint16
-(uint32 for vocabularies over 65,536): words led by U+2581, split into the greedily longest
-pieces; ids decode to the text exactly.
+A key is the identifier in an encoding that sorts like it (integers of any width: 8 bytes,
+big-endian, sign flipped; strings: UTF-8); other types are refused with a clear error. A value is
+the text's token ids as little-endian uint16 (uint32 for vocabularies over 65,536): words led by
+U+2581, split into the greedily longest pieces; ids decode to the text exactly.
 
 ``shards`` returns a shard as rows of segments (shard, seq, kind, bytes): their bytes in the
 order of seq are the file. That is pure, so a lost task is simply repeated; ``write_shards``
-puts the files into a folder, each by rename.
+puts the files into a folder, each by rename of a name of the task attempt's own; ``lookup`` finds
+identifiers in them.
 
-Shard bounds are quantiles of the identifiers (one pass over that column), so a range has
-about ``docs_per_shard`` documents; one shuffle brings each shard's encoded rows together,
-ids at 2 bytes a token instead of text.
+Shard bounds come from a range partitioning of the identifiers' column alone, one bound a shard,
+so a range has about ``docs_per_shard`` documents; one shuffle brings each shard's encoded rows
+to the partition of its number, ids at 2 bytes a token instead of text.
 
 Edges: rows with a null id can't be keyed and are left out; a null text is kept as a null
-value, an empty one as no tokens; repeated ids are all kept, in order of their values, and
-``get`` returns the first, ``get_all`` each. An empty table gives no shards. Extra columns
-are not stored.
+value, an empty one as no tokens, a very long one as one value; repeated ids are all kept in one
+shard, in order of their values, and ``get`` returns the first, ``get_all`` each. An empty table
+gives no shards. Extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches
+from .common import batches, written
 from .vocab import PIECES, SPACE, loaded
 from .warc import open_fs
 
@@ -52,6 +55,8 @@ PROBES, BITS = 7, 10
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQ8s")
 MEMO_WORDS = 300_000
+#: Most partitions of the shuffle; beyond, a task makes several neighbouring shards one after another.
+MAX_PARTITIONS = 20_000
 SEGMENT = "shard int, seq long, kind string, first_doc_id {id}, entries long, bytes binary"
 
 
@@ -302,30 +307,40 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     cuts = cuts or []
 
     def run(items):
-        encode = token_ids(vocab).encode
-        for b in batches(items):
-            values = [None if t is None else encode(t) for t in b.column(1).to_pylist()]
+        codec = token_ids(vocab)
+        for b in batches(items, nbytes=1 << 20):
+            null = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            lens = np.zeros(b.num_rows, np.int64)
+            ids, lens[~null] = codec.encode_many(b.column(1).drop_null().to_pylist())
+            ends = np.append(0, np.cumsum(lens) * codec.type.itemsize).astype(np.int32)
+            valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes()) if null.any() else None
+            values = pa.Array.from_buffers(pa.binary(), b.num_rows, [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())])
             at = pa.array([bisect_left(cuts, k) for k in b.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary()), at], ["doc_id", "ids", "shard"])
+            yield pa.RecordBatch.from_arrays([b.column(0), values, at], ["doc_id", "ids", "shard"])
 
-    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def bounds(docs: DataFrame, id_col: str, n: int) -> list:
+    """The last identifier of each of about n ranges but the highest, ascending: one row a shard comes to the driver."""
+    keys = docs.select(F.col(f"`{id_col}`").alias("k")).where("k is not null").repartitionByRange(n, "k")
+    last = keys.select("k", F.spark_partition_id().alias("p")).groupBy("p").agg(F.max("k").alias("k"))
+    return sorted(r["k"] for r in last.collect())[:-1]
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 10_000, vocab: str = PIECES) -> DataFrame:
     """Segments (shard, seq, kind, first_doc_id, entries, bytes) of all shards."""
-    key = F.col(f"`{id_col}`")
     kind = docs.schema[id_col].dataType
-    keyed = docs.where(key.isNotNull())
-    total = keyed.count()
+    if not isinstance(kind, (T.StringType, T.IntegralType)):
+        raise TypeError(f"identifiers must be integers or strings, not {kind.simpleString()}")
+    total = docs.where(F.col(f"`{id_col}`").isNotNull()).count()
     n = max(1, -(-total // docs_per_shard))
-    if isinstance(kind, T.StringType):  # no quantiles of strings: shards by range of a sorted sample of the key column alone
-        sample = [r[0] for r in keyed.select(key).sample(min(1.0, 200.0 * n / max(1, total)), seed=7).collect()] if n > 1 else []
-        cuts = sorted({sorted(sample)[len(sample) * k // n] for k in range(1, n)}) if sample else []
-    else:
-        cuts = sorted(set(keyed.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
-    placed = encoded(docs, id_col, text_col, vocab, cuts).repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    cuts = bounds(docs, id_col, n) if n > 1 else []
+    n = len(cuts) + 1
+    parts = min(n, MAX_PARTITIONS)
+    placed = encoded(docs, id_col, text_col, vocab, cuts).repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / n).cast("int")).sortWithinPartitions("shard", "doc_id", "ids")
     schema = SEGMENT.format(id=kind.simpleString())
-    arrow = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("kind", pa.string()), ("first_doc_id", pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()), ("entries", pa.int64()), ("bytes", pa.binary())])
+    arrow = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("kind", pa.string()), ("first_doc_id", to_arrow_type(kind)), ("entries", pa.int64()), ("bytes", pa.binary())])
 
     def run(items):
         build, at, seq = None, None, 0
@@ -358,11 +373,11 @@ def write_shards(segments: DataFrame, folder: str) -> DataFrame:
     def run(items):
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        at, out, size, done = None, None, 0, []
+        at, out, size, done, own = None, None, 0, [], TaskContext.get().taskAttemptId()
 
         def close():
             out.close()
-            fs.move(f"{base}/.shard-{at:06d}", f"{base}/shard-{at:06d}.sst")
+            fs.move(f"{base}/.shard-{at:06d}.{own}", f"{base}/shard-{at:06d}.sst")
             done.append((at, f"{folder}/shard-{at:06d}.sst", size))
 
         for b in items:
@@ -370,7 +385,7 @@ def write_shards(segments: DataFrame, folder: str) -> DataFrame:
                 if s != at:
                     if out:
                         close()
-                    at, size, out = s, 0, fs.open_output_stream(f"{base}/.shard-{s:06d}")
+                    at, size, out = s, 0, fs.open_output_stream(f"{base}/.shard-{s:06d}.{own}")
                 out.write(data)
                 size += len(data)
         if out:
@@ -380,3 +395,47 @@ def write_shards(segments: DataFrame, folder: str) -> DataFrame:
 
     placed = segments.select("shard", "bytes", "seq").repartition("shard").sortWithinPartitions("shard", "seq")
     return placed.select("shard", "bytes").mapInArrow(run, "shard int, file string, size long")
+
+
+def lookup(segments: DataFrame, made: DataFrame, wanted: DataFrame, id_col: str = "doc_id", vocab: str = PIECES) -> DataFrame:
+    """(doc_id, found, text) of wanted identifiers in written shards: each goes to the shard of its range, which is searched in its mapped file.
+
+    made: (shard, file) of ``write_shards``. An identifier in several rows has a row for each; an absent or null one has found = false.
+    """
+    kind = wanted.schema[id_col].dataType
+    first = segments.where("kind = 'data'").groupBy("shard").agg(F.min("first_doc_id").alias("first"))
+    keys = wanted.select(F.col(f"`{id_col}`").alias("doc_id")).distinct()
+    rows = keys.select(F.col("doc_id").alias("k"), F.lit(1).alias("asks"), F.lit(None).cast("int").alias("shard"))
+    rows = rows.unionByName(first.select(F.col("first").cast(kind).alias("k"), F.lit(0).alias("asks"), "shard"))
+    # The last shard that begins at or before a key, by one sorted pass over ranges of keys and a carry between ranges.
+    parts = max(1, keys.sparkSession.sparkContext.defaultParallelism)
+    ranged = written(rows.repartitionByRange(parts, "k").withColumn("p", F.spark_partition_id()), "lookups")
+    carry = ranged.groupBy("p").agg(F.max("shard").alias("top")).withColumn("before", F.max("top").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))  # one row a range
+    here = F.max("shard").over(Window.partitionBy("p").orderBy("k", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("here", here).where("asks = 1").join(F.broadcast(carry.select("p", "before")), "p").select(F.col("k").alias("doc_id"), F.coalesce("here", "before").alias("shard"))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("found", T.BooleanType()), T.StructField("text", T.StringType())])
+
+    def run(items):
+        at, reader = None, None
+        for b in items:
+            out: list[tuple] = []
+            for key, file in zip(*(c.to_pylist() for c in b.columns)):
+                if file != at:
+                    at, reader = file, None if file is None else Reader(_mapped(file), vocab)
+                values = reader.get_all(key) if reader and key is not None else []
+                out += [(key, True, None if v is None else reader.codec.decode(v)) for v in values] or [(key, False, None)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (b.column(0).type, pa.bool_(), pa.string()))], ["doc_id", "found", "text"])
+
+    asked = placed.join(made.select("shard", "file"), "shard", "left").repartition("file").sortWithinPartitions("file", "doc_id")
+    return asked.select("doc_id", "file").mapInArrow(run, schema)
+
+
+def _mapped(file: str):
+    from pyarrow import fs as pafs
+
+    fs, path = open_fs(file)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(path, np.uint8, "r")
+    with fs.open_input_stream(path) as f:
+        return f.read()

@@ -1,8 +1,9 @@
 import mmap
 
 import numpy as np
+import pytest
 
-from hushframe.llm.sstable import Reader, shards, token_ids, write_shards
+from hushframe.llm.sstable import Reader, lookup, shards, token_ids, write_shards
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +59,23 @@ def test_edges(spark):
     (y,) = files(shards(names).collect()).values()
     assert [y.text(k) for k in ("a", "b/1", "b/10", "c")] == ["t2", "t1", "t3", None]
     assert np.dtype("<u2") == code.type
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "string"])
+def test_lookups_of_any_key_type(spark, tmp_path, kind):
+    df = spark.range(-60, 60).selectExpr(f"cast(id * 2 AS {kind}) AS `doc.id`", "concat('text ', id) AS text", "1 AS shard", "2 AS ids")
+    df = df.union(df.where("`doc.id` = 10").selectExpr("`doc.id`", "cast(null AS string)", "1", "2")).toDF("doc_id", "text", "shard", "ids")
+    found = shards(df, docs_per_shard=25)
+    made = write_shards(found, str(tmp_path / kind))
+    wanted = spark.range(-125, 126).selectExpr(f"cast(id AS {kind}) AS doc_id").where("doc_id is not null")
+    assert found.select("shard").distinct().count() > 3
+    got = sorted((str(r.doc_id), r.found, r.text or "") for r in lookup(found, made, wanted).collect())
+    have = {str(r.doc_id): r.text for r in df.where("text is not null").collect()}
+    want = [(str(r.doc_id), str(r.doc_id) in have, have.get(str(r.doc_id), "")) for r in wanted.distinct().collect()] + [("10", True, "")]
+    assert got == sorted(want)
+
+
+def test_other_keys_are_refused(spark):
+    for kind in ("decimal(10,2)", "double", "date"):
+        with pytest.raises(TypeError, match="integers or strings"):
+            shards(spark.createDataFrame([], f"doc_id {kind}, text string"))
