@@ -1,4 +1,4 @@
-"""Operator 1: substring dedup by longest matches against routed reference blocks.
+"""Operator 1: substring dedup by relative Lempel-Ziv factors against routed reference blocks.
 
 Documents are sequences of words (cut at white space) and are factored against reference
 blocks made of all the other documents; factors of at least ``least`` words become spans.
@@ -11,12 +11,14 @@ meets holds each sufficiently long match that it has anywhere, and factoring aga
 what factoring against every block would, at a cost that grows with the input and not with
 its square.
 
-*Parsing.* A block is indexed by the sorted suffixes of its contexts. The longest match of a
-suffix in another document is with its nearest neighbour of another document in that order. In
-place of the greedy relative Lempel-Ziv parse, all starts of a context are matched, so no check
-at factor boundaries is needed: a long match may begin inside a greedy factor, and every start
-of one is looked at anyway. Matches of at least ``least`` words are spans, a superset of the
-greedy parse's; spans of a document that overlap or touch are joined.
+*Factors.* A block is indexed by the sorted suffixes of its contexts. The longest match of a
+suffix in another document is with its nearest neighbour of another document in that order.
+A context is factored greedily from the left: a factor is the longest match at its start, or
+one word. Factors of at least ``least`` words are spans. A greedy factor may end inside a longer
+match that began within it, so each factor boundary is checked: the longest matches at the ``least``
+starts up to it count as well, if they are long enough. A long match lies in a long factor or
+crosses a boundary, so nothing is missed (see ``looked_at``). Spans of a document that overlap or
+touch are joined.
 
 *Skew.* Equal contexts are indexed once. A minimizer with more than ``HOT`` places is split by
 its context: a match of 50 words with a 10-word anchor holds 20 words more on the right or on
@@ -25,7 +27,7 @@ the left, so each place goes to the part of its next 20 and to that of its last
 The result (doc_id, start_word, end_word, n_words) lists all spans of all documents, the first
 holder's too; ``cut`` removes them from texts.
 
-Edges: null texts and texts below ``least`` words have no spans; a null id's spans are listed under
+Edges: null texts and texts below ``least`` words have no spans; a very long text is factored whole; a null id's spans are listed under
 a null id; rows equal in id and text are one document, and repeats inside one document only
 don't count; equal ids with different texts are different documents; an empty table gives no
 rows. Extra columns aren't read.
@@ -162,11 +164,32 @@ def longest_factors(tokens: np.ndarray, group: np.ndarray, owner: np.ndarray, st
     return out
 
 
+def looked_at(length: np.ndarray, least: int) -> np.ndarray:
+    """Starts of greedy factors, and the ``least`` starts up to each boundary between factors.
+
+    Let a match of ``least`` words or more begin in the factor from p to b. If it ends by b, that factor
+    is as long. If it ends later and begins after b - ``least``, its start is looked at. Else the factor is
+    long, and so is what is left of the match from b - ``least`` + 1 on: together they cover it.
+    """
+    n, starts = length.shape
+    begins = np.zeros((n, starts), bool)
+    edge = np.zeros((n, starts + 1), np.int32)
+    live, at = np.arange(n), np.zeros(n, np.int64)
+    while len(live):
+        begins[live, at] = True
+        at = at + np.maximum(1, length[live, at])
+        first = np.maximum(0, at - least + 1)
+        np.add.at(edge, (live, np.minimum(first, starts)), 1)
+        np.add.at(edge, (live, np.minimum(at + 1, starts)), -1)
+        live, at = live[at < starts], at[at < starts]
+    return begins | (edge.cumsum(axis=1)[:, :starts] > 0)
+
+
 def parse(length: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, start, end) of the long factors, joined within each context."""
     n, starts = length.shape
     edge = np.zeros((n, width + 1), np.int32)
-    c, s = np.nonzero(length >= least)
+    c, s = np.nonzero((length >= least) & looked_at(length, least))
     np.add.at(edge, (c, s), 1)
     np.add.at(edge, (c, s + length[c, s]), -1)
     cover = np.zeros((n, width + 2), np.int8)

@@ -1,6 +1,8 @@
 import random
 
-from hushframe.llm.substring_dedup import cut, repeats, substring_spans
+import numpy as np
+
+from hushframe.llm.substring_dedup import cut, looked_at, parse, repeats, substring_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +78,25 @@ def test_edges(spark):
     assert substring_spans(df.where("false")).count() == 0
     out = {(r.doc_id, r.text) for r in cut(df).collect()}
     assert cut(df).columns == df.columns and {(1, "a b c"), (2, ""), (3, None), (4, ""), (8, "y y")} <= out
+
+
+def test_greedy_factors_with_boundary_checks_cover_every_long_match():
+    """Against all starts, on lengths as matches make them (one start on, a match is one shorter at most)."""
+    rng = np.random.default_rng(5)
+    for least, starts, width in ((5, 6, 12), (50, 41, 90), (3, 20, 30)):
+        length = np.zeros((4000, starts), np.int32)
+        for k in range(len(length)):
+            ends = np.zeros(starts, np.int64)
+            for _ in range(rng.integers(0, 5)):
+                s = rng.integers(0, starts)
+                ends[s] = max(ends[s], min(width, s + rng.integers(1, 2 * least)))
+            reach = np.maximum.accumulate(ends)
+            length[k] = np.maximum(0, reach - np.arange(starts))
+        cover = np.zeros((len(length), width), bool)
+        for c, s in zip(*np.nonzero(length >= least)):
+            cover[c, s : s + length[c, s]] = True
+        found = np.zeros_like(cover)
+        for c, b, e in zip(*parse(length, least, width)):
+            found[c, b:e] = True
+        assert (found == cover).all()
+        assert looked_at(length, least).mean() < 1
