@@ -169,7 +169,8 @@ def looked_at(length: np.ndarray, least: int) -> np.ndarray:
 
     Let a match of ``least`` words or more begin in the factor from p to b. If it ends by b, that factor
     is as long. If it ends later and begins after b - ``least``, its start is looked at. Else the factor is
-    long, and so is what is left of the match from b - ``least`` + 1 on: together they cover it.
+    long, and so is what is left of the match from b - ``least`` + 1 on: together they cover it. A row has
+    all starts that can hold ``least`` words of its context.
     """
     n, starts = length.shape
     begins = np.zeros((n, starts), bool)
