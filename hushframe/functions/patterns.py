@@ -14,6 +14,9 @@ S = f"[{SPACE}]"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 EDGE = f"(?:(?<=[A-Za-z0-9_]){RIGHT}|{LEFT}(?=[A-Za-z0-9_]))"
 D = "[0-9]"
+_W = "[A-Za-z0-9_]"
+# A digit that begins a word. Engines search for a pattern's first character, so it comes before what must not precede it.
+_START = f"{D}(?<!{_W}{D})"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _ENDINGS = "gatan vägen gränd gränden torget stigen backen allén gången kajen stranden terrassen leden stråket plan gata väg".split()
 _PLATE = "[A-HJ-PR-UW-Z]"
@@ -37,17 +40,23 @@ _JOURNAL = _either(["journalnummer", "journalnr", "journal-id", "journalid"])
 _AN = r"[\p{L}\p{N}]"
 
 PATTERNS: dict[str, Pattern] = {
-    "organisation": Pattern("ORGANISATIONSNUMMER", f"{LEFT}{D}{{6}}(?:{S}{{1,2}}-{S}?|-{S}?)?{D}{{4}}{RIGHT}", check="organisation"),
+    "organisation": Pattern("ORGANISATIONSNUMMER", f"{_START}{D}{{5}}(?:{S}{{1,2}}-{S}?|-{S}?)?{D}{{4}}{RIGHT}", check="organisation"),
     "email": Pattern("EPOST", rf"(?iu)[\p{{L}}\p{{N}}._%+-]{{1,64}}@[\p{{L}}\p{{N}}.-]{{1,255}}\.\p{{L}}{{2,63}}{EDGE}"),
-    "phone": Pattern("TELEFON", rf"(?:^|[^0-9])((?:\+46[{SPACE}-]?(?:\(0\)[{SPACE}-]?)?|0)(?:7[02369]|[1-9]{D}?){_NUMBER_TAIL}{{6,8}}|\+{D}{{1,3}}{_NUMBER_TAIL}{{6,12}}){RIGHT}", 1),
-    "postcode": Pattern("POSTNUMMER", f"{LEFT}[1-9]{D}{{2}}{S}{D}{{2}}{RIGHT}|{LEFT}[1-9]{D}{{4}}{RIGHT}(?={S}+[A-ZÅÄÖ])|(?<={LEFT}SE-?)[1-9]{D}{{2}}{S}?{D}{{2}}{RIGHT}"),
-    "bankgiro": Pattern("BANKGIRO", f"{LEFT}{D}{{3,4}}{S}{{0,2}}-{S}{{0,2}}{D}{{4}}{RIGHT}", check="luhn"),
-    "plusgiro": Pattern("PLUSGIRO", f"{LEFT}{D}(?:{S}?{D}){{1,6}}{S}{{0,2}}-{S}{{0,2}}{D}{RIGHT}", check="luhn"),
+    "phone": Pattern(
+        "TELEFON",
+        rf"[+0](?<![0-9][+0])(?:(?<=\+)46[{SPACE}-]?(?:\(0\)[{SPACE}-]?)?(?:7[02369]|[1-9]{D}?){_NUMBER_TAIL}{{6,8}}|(?<=0)(?:7[02369]|[1-9]{D}?){_NUMBER_TAIL}{{6,8}}|(?<=\+){D}{{1,3}}{_NUMBER_TAIL}{{6,12}}){RIGHT}",
+    ),
+    "postcode": Pattern(
+        "POSTNUMMER",
+        f"[1-9]{D}{{2}}(?:(?<!{_W}[1-9]{D}{{2}})(?:{S}{D}{{2}}{RIGHT}|{D}{{2}}{RIGHT}(?={S}+[A-ZÅÄÖ]))|(?:(?<={LEFT}SE[1-9]{D}{{2}})|(?<={LEFT}SE-[1-9]{D}{{2}})){S}?{D}{{2}}{RIGHT})",
+    ),
+    "bankgiro": Pattern("BANKGIRO", f"{_START}{D}{{2,3}}{S}{{0,2}}-{S}{{0,2}}{D}{{4}}{RIGHT}", check="luhn"),
+    "plusgiro": Pattern("PLUSGIRO", f"{_START}(?:{S}?{D}){{1,6}}{S}{{0,2}}-{S}{{0,2}}{D}{RIGHT}", check="luhn"),
     "iban": Pattern("IBAN", f"(?i){LEFT}SE{D}{{2}}(?:{S}?{D}){{20}}{RIGHT}"),
     "account": Pattern("KONTONUMMER", rf"(?iu)(?:^|[^\p{{L}}\p{{N}}]){_ACCOUNT}(?:{S}+nr\.?)?{S}*[:#-]?{S}*((?:{D}[ -]?){{6,19}}{D}){RIGHT}", 1, "account"),
     "journal": Pattern("JOURNALNUMMER", rf"(?iu)(?:^|[^\p{{L}}\p{{N}}]){_JOURNAL}{S}*[:#-]?{S}*((?:{_AN}{{2,12}}[-/]){{1,3}}{_AN}{{2,12}}|{D}{{5,20}}){EDGE}", 1),
-    "card": Pattern("KORTNUMMER", f"{LEFT}{D}(?:[ -]?{D}){{12,18}}{RIGHT}", check="card"),
-    "ip": Pattern("IP_ADRESS", rf"{LEFT}(?:{_OCTET}\.){{3}}{_OCTET}{RIGHT}"),
+    "card": Pattern("KORTNUMMER", f"{_START}(?:[ -]?{D}){{12,18}}{RIGHT}", check="card"),
+    "ip": Pattern("IP_ADRESS", rf"(?={D}){LEFT}(?:{_OCTET}\.){{3}}{_OCTET}{RIGHT}"),
     "url": Pattern("URL", rf'(?i){LEFT}(?:https?://|www\.)[^{SPACE}<>")]*[^{SPACE}<>").,;:!?]'),
     "address": Pattern(
         "ADRESS",
@@ -58,7 +67,7 @@ PATTERNS: dict[str, Pattern] = {
     "plate": Pattern("REGNUMMER", f"{LEFT}{_PLATE}{{3}}{S}?{D}{{2}}[A-HJ-PR-UW-Z0-9]{RIGHT}", check="plate"),
 }
 #: Runs that the window scanner looks into.
-DIGIT_RUN = r"[0-9](?:[0-9+-]|[ \t  ]{1,2}(?=[0-9+-]))*[0-9]|[0-9]"
+DIGIT_RUN = r"[0-9](?:(?:[0-9+-]|[ \t  ]{1,2}(?=[0-9+-]))*[0-9])?"
 
 DEFAULT = ["email", "url", "personal", "coordination", "organisation", "iban", "card", "bankgiro", "plusgiro", "phone", "postcode", "ip"]
 CONTEXTUAL = ["account", "journal"]

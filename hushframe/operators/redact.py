@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.patterns import DEFAULT, PRIORITY
 from .detect import CUSTOM, FIELDS, SPAN, detect_text, install
@@ -124,38 +125,44 @@ def redact(c: Column, names: Iterable[str] = tuple(DEFAULT), template: str = TEM
     if "{n}" not in template:
         raise ValueError("a placeholder needs {n}")
 
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(RESULT)
+    def run(texts: pa.Array) -> pa.Array:
         install(own)
-        rows = [{"text": None, "redactions": None, "map": None} if t is None else redact_text(t, names, template) for t in texts]
-        return pd.DataFrame(rows, columns=["text", "redactions", "map"])
+        return _results([None if t is None else redact_text(t, names, template) for t in texts.to_pylist()])
 
     return run(c)
 
 
-@F.pandas_udf(SPAN)
-def resolve_overlaps(texts: pd.Series, found: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or f is None else resolve([dict(x) for x in f], t) for t, f in zip(texts, found)])
+def _results(rows: list[dict | None]) -> pa.Array:
+    """Results as columns side by side, so that texts are copied once and not by way of row objects."""
+    kind = to_arrow_type(RESULT)
+    parts = [pa.array([r and r[f.name] if f.name != "map" else r and list(r["map"].items()) for r in rows], f.type) for f in kind]
+    return pa.StructArray.from_arrays(parts, fields=list(kind))
 
 
-@F.pandas_udf(T.StringType())
-def restore(texts: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else restore_text(t, dict(m or {})) for t, m in zip(texts, tokens)])
+@F.arrow_udf(SPAN)
+def resolve_overlaps(texts: pa.Array, found: pa.Array) -> pa.Array:
+    return pa.array([None if t is None or f is None else resolve(f, t) for t, f in zip(texts.to_pylist(), found.to_pylist())], to_arrow_type(SPAN))
+
+
+@F.arrow_udf(T.StringType())
+def restore(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else restore_text(t, dict(m or ())) for t, m in zip(texts.to_pylist(), tokens.to_pylist())], pa.string())
 
 
 def redact_spans(docs: DataFrame, spans: DataFrame, keys=("doc_id",), text: str = "text", template: str = TEMPLATE) -> DataFrame:
     """(keys, redacted, n_redactions, map) of documents with spans (keys, start, end, value, label) from elsewhere; a wrong span is an error."""
     each = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "value", "label")).alias("_found"))
 
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(RESULT)
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
-        for t, f in zip(texts, found):
-            f = [] if f is None else [dict(x) for x in f]
+        for t, f in zip(texts.to_pylist(), found.to_pylist()):
+            f = f or []
             if t is not None and (wrong := problems(f, t, template)):
                 raise ValueError("; ".join(wrong[:5]))
-            rows.append({"text": None, "redactions": None, "map": None} if t is None else redact_found(f, t, template))
-        return pd.DataFrame(rows, columns=["text", "redactions", "map"])
+            rows.append(None if t is None else redact_found(f, t, template))
+        return _results(rows)
 
     out = docs.select(*keys, text).join(each, list(keys), "left").select(*keys, run(F.col(text), F.col("_found")).alias("r"))
     return out.select(*keys, F.col("r.text").alias("redacted"), F.size("r.redactions").alias("n_redactions"), F.col("r.map").alias("map"))
