@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,24 +145,34 @@ def gold_issues(gold: DataFrame, least_rows: int = 200, least_writers: int = 3,
 
 
 def pack_chunks(df: DataFrame, order: str, text: str = "text", most: int = 48_000, keys: list[str] | None = None) -> DataFrame:
-    """Rows with the number of their chunk, filled greedily in order; a row over the limit is an error.
+    """Df with the number of each row's chunk, filled greedily in order; a row over the limit is an error.
 
-    The fill of a group is one fold over its rows' lengths (not its texts).
+    Rows of equal order go by their text. A group's rows stream through one task, which holds its running size alone; without
+    keys the table is one group. A null text has no length.
     """
     by = keys or []
-    item = F.struct(F.col(order).alias("o"), F.length(text).alias("n"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},chunk:int>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(a["size"] + x["n"] > most, a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk"),
-            F.when(a["size"] + x["n"] > most, x["n"]).otherwise(a["size"] + x["n"]).alias("size"),
-            F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), F.when(a["size"] + x["n"] > most, a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk")))).alias("out"),
-        ),
-    )
-    fine = df.withColumn(text, F.when(F.length(text) > most, F.raise_error(F.lit("a row is over the limit"))).otherwise(F.col(text)))
-    placed = fine.groupBy(*by).agg(folded["out"].alias("_x")).select(*by, F.explode("_x").alias("_y")).select(*by, F.col("_y.o").alias(order), F.col("_y.chunk").alias("chunk"))
-    return df.join(placed, [*by, order])
+    schema = T.StructType([*df.schema.fields, T.StructField("chunk", T.IntegerType(), False)])
+    at_keys, at_text, many = [df.columns.index(k) for k in by], df.columns.index(text), most
+
+    def run(items):
+        group, chunk, size = None, 0, 0
+        for b in items:
+            lens = pc.utf8_length(b.column(at_text)).fill_null(0).to_pylist()
+            out = []
+            for k, n in zip(zip(*(b.column(c).to_pylist() for c in at_keys)) if at_keys else [()] * len(lens), lens):
+                if n > many:
+                    raise ValueError("a row is over the limit")
+                if k != group:
+                    group, chunk, size = k, 0, 0
+                if size + n > many:
+                    chunk, size = chunk + 1, 0
+                size += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*df_names, "chunk"])
+
+    df_names = df.columns
+    placed = df.repartition(*by) if by else df.coalesce(1)
+    return placed.sortWithinPartitions(*by, order, text).mapInArrow(run, schema)
 
 
 _DROP = {"script", "style", "nav", "footer", "header", "aside", "noscript", "template", "svg", "form", "button", "head", "iframe"}

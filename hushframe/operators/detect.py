@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.patterns import DEFAULT, DIGIT_RUN, LABELS, PATTERNS, Pattern
+from ..functions.patterns import _START, _W, DEFAULT, DIGIT_RUN, EDGE, LABELS, LEFT, PATTERNS, RIGHT, SPACE, D, Pattern, S
 from ..functions.text import Canonical, matches
 from ..functions.validators import CHECKS, COLUMN_CHECKS, coordination_shape, organisation, personal_shape
 
@@ -184,41 +183,80 @@ def invalid_id_hints(text: str, taken: Iterable[tuple[int, int]]) -> list[str]:
     return out
 
 
+_GAP = f"[{SPACE}-]"
+_LATIN = "A-ZÅÄÖåäö0-9"
+_ID = f"{LEFT}(?:(?:19|20)?{D}{{6}}[-+]?{D}{{4}}|16{D}{{10}}){RIGHT}"
+_ACCOUNT_SHAPE = f"(?i){LEFT}[A-Z]{{2}}{D}{{2}}(?:{_GAP}?[A-Z0-9]){{11,30}}{RIGHT}"
+_HEX = "[0-9a-f]"
+#: Kinds that a match alone shows. Boundaries are ASCII, as those of the detectors.
 GUARD: list[tuple[str, str]] = [
-    ("iban", r"(?i)\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
-    ("email", r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}.-]{1,255}\.\p{L}{2,63}"),
-    ("handle", r"(?<![\p{L}\p{N}_@.])@[A-Za-z0-9_]{3,30}\b"),
-    ("url", r"(?i)(?:https?://|www\.)\S+"),
-    ("ipv4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
-    ("wallet", r"\b(?:bc1[a-z0-9]{20,60}|0x[a-fA-F0-9]{40}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b"),
-    ("uuid", r"(?i)\b[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\b"),
-    ("mac", r"(?i)\b(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}\b"),
-    ("plate", r"\b[A-HJ-PR-UW-Z]{3} ?[0-9]{2}[A-HJ-PR-UW-Z0-9]\b"),
-    ("identity", r"(?<![0-9])(?:[0-9]{2})?[0-9]{6}[-+ ]?[0-9]{4}(?![0-9])"),
-    ("digits", r"[0-9]{7,}"),
+    ("account", _ACCOUNT_SHAPE),
+    ("email", rf"(?i)[{_LATIN}._%+-]+@[{_LATIN}.-]+\.[A-Z]{{2,}}{RIGHT}"),
+    ("handle", f"(?i)(?:^|{S})@[{_LATIN}_]{{2,}}{EDGE}"),
+    ("url", rf"(?i){LEFT}(?:https?://|www\.)[^{SPACE}]"),
+    ("ip", PATTERNS["ip"].regex),
+    ("wallet", f"(?i){LEFT}(?:(?:bc1|[13])[A-HJ-NP-Z0-9]{{25,62}}|0x{_HEX}{{40}}){RIGHT}"),
+    ("record", f"(?i){LEFT}{_HEX}{{8}}-{_HEX}{{4}}-[1-5]{_HEX}{{3}}-[89ab]{_HEX}{{3}}-{_HEX}{{12}}{RIGHT}"),
+    ("device", f"(?i){LEFT}{_HEX}{{2}}(?:[:-]{_HEX}{{2}}){{5}}{RIGHT}"),
+    ("vehicle", rf"(?i)(?<![\p{{L}}\p{{N}}])[A-ZÅÄÖåäö]{{3}}{S}?{D}{{2}}[0-9A-Z](?![\p{{L}}\p{{N}}])"),
+    ("identity", _ID),
+    ("number", f"{_START}(?:[ -]?{D}){{6,18}}{RIGHT}"),
+    ("payment", rf"(?i){LEFT}(?:ocr|konto|kontonummer|plusgiro|bankgiro){RIGHT}[^\n]{{0,24}}?{LEFT}{D}(?:[ -]?{D}){{4,18}}{RIGHT}"),
+    ("payment", f"{LEFT}(?:BIC|SWIFT){RIGHT}{S}*[:=]?{S}+[A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?{RIGHT}"),
 ]
 _GUARD = [(n, regex.compile(p)) for n, p in GUARD]
-_TOKEN6 = regex.compile(r"[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*")
+#: What a match must have in its text, to spare the search.
+_GUARD_NEEDS = {"email": "@", "handle": "@", "ip": ".", "record": "-"}
+_PROTECTED = [regex.compile(_ACCOUNT_SHAPE), regex.compile(_ID)]
+_GUARD_PHONE = re.compile(rf"[+0](?<![0-9][+0])(?:(?<=\+)46{_GAP}?(?:\(0\){_GAP}?)?|(?<=0))(?:7[02369]|[1-9]{D}?)(?:{_GAP}?{D}){{6,8}}{RIGHT}")
+_GUARD_POSTAL = re.compile(f"[1-9]{D}{{2}}(?<!{_W}[1-9]{D}{{2}}){S}?{D}{{2}}{RIGHT}")
+_WRAPPED = "([{<\"'", "])}>\"',.;"
 
 
-def guard_issues(text: str) -> list[str]:
-    """The kinds of identifiers that a training text must not hold, never their values."""
+def _ipv6(token: str) -> bool:
     import ipaddress
 
-    out = [n for n, p in _GUARD if p.search(text)]
-    for m in _TOKEN6.finditer(text):
-        try:
-            ipaddress.IPv6Address(m.group())
-        except ValueError:
-            continue
-        out.append("ipv6")
-        break
+    token = token.lstrip(_WRAPPED[0]).rstrip(_WRAPPED[1])
+    if token.count(":") < 2:
+        return False
+    try:
+        ipaddress.IPv6Address(token)
+    except ValueError:
+        return False
+    return True
+
+
+def guard_issues(text: str) -> list[str]:
+    """The kinds of identifiers that a training text must not hold, never their values.
+
+    A phone number counts where it lies in no account or identity number, a postal code where it is no part of a phone number.
+    """
+    digits = any(map(text.__contains__, "0123456789"))
+    out = {n for n, p in _GUARD if (digits or n in ("email", "handle", "url", "device", "payment")) and _GUARD_NEEDS.get(n, "") in text and p.search(text)}
+    if ":" in text and any(map(_ipv6, text.split())):
+        out.add("ip")
+    if digits:
+        apart = lambda m, spans: not any(s < m.end() and m.start() < e for s, e in spans)
+        phones = list(_GUARD_PHONE.finditer(text))
+        if phones:
+            protected = [m.span() for p in _PROTECTED for m in p.finditer(text)]
+            if any(apart(m, protected) for m in phones):
+                out.add("phone")
+        spans = [m.span() for m in phones]
+        if any(apart(m, spans) for m in _GUARD_POSTAL.finditer(text)):
+            out.add("postal")
     return sorted(out)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def privacy_issues(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else guard_issues(t))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def privacy_issues(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else guard_issues(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def invalid_ids(texts: pa.Array, found: pa.Array) -> pa.Array:
+    """D20 as a column, of texts and their spans."""
+    return pa.array([None if t is None else invalid_id_hints(t, [(s["start"], s["end"]) for s in f or ()]) for t, f in zip(texts.to_pylist(), found.to_pylist())], pa.list_(pa.string()))
 
 
 def identifier_like(c: Column) -> Column:

@@ -9,17 +9,35 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .detect import FIELDS, detect_text
+from .detect import FIELDS, SPAN, detect_text
 from .redact import redact_found
 
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
+_LETTERS, _NUMBERS = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+_END = r"(?=$|[^\p{L}\p{N}])"
+#: What may follow a street: its number, perhaps with a letter.
+HOUSE_NUMBER = regex.compile(rf"\s+(?:nr\s+)?[0-9]{{1,4}}(?:\s?[A-Da-d])?{_END}")
+_ENTRANCE = regex.compile(rf"\s+[A-Da-d]{_END}")
+_LABEL_WORD = regex.compile(r"(?i)[\s,;:(]{1,16}(?:org|(?:org|p|person)?nr)\.?\Z")
+_STREET_TAIL = regex.compile(r"(?i)(?:gata|gatan|väg|vägen|gränd|gränden|allé|allén|torg|torget|plan)\s+\p{N}")
 _NAMES = {"PER": "NAMN", "ORG": "ORGANISATION", "LOC": "PLATS", "ADR": "ADRESS"}
-MIN_GAP = 32
+MOST_GAP = 32
+#: Words a tagger takes for names where names use to stand; a span that is nothing else is dropped.
+DENIED = frozenset(
+    """anhörig anhöriga aw bankgiro bankgirot betalkonto buss bussen butik butiken byrå byrån dotter dottern dr e-post ekonomi epost gamla goddag
+    halloj handläggare handläggaren hej hejhej hejsan hälsningar iban idag igår imorgon imorse inatt ip kandidat kandidaten klient klienten konto
+    kontonummer kontot kortnummer kund kunden mail maila mailade mailar mailen maka makan make maken mejl mejla mejlade mejlar mejlen mobil
+    mobilnummer motpart motparten mvh olåst ombud ombudet organisationsnummer oss patient patienten penicillin personnummer plusgiro plusgirot
+    postgiro referens referensen sambo sambon swish sökande sökanden tel telefon telefonnummer tjena tjenare tåg tåget vaken vd vårdcentral
+    vårdcentralen""".split()
+) | {"betalkonto iban"}
 
 
 def split_point(n: int, blanks: Iterable[int] = (), look_back: int = 200) -> tuple[int, int]:
@@ -57,86 +75,197 @@ def check_score(score: float) -> float:
     return float(score)
 
 
-def locate(text: str, pieces: list[str]) -> list[tuple[int, int]] | None:
-    """M5: places of all pieces in order, with at most 32 blanks between; None if any is missing."""
-    out, at = [], 0
+def safe_lower(text: str) -> str:
+    """Lower case at the same places: a character stays whose lower case has another length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _piece(token: dict) -> str:
+    return token["word"].removeprefix("##")
+
+
+def _blank(text: str, start: int, end: int) -> bool:
+    return start >= end or text[start:end].isspace()
+
+
+def locate(text: str, pieces: list[str]) -> list[tuple[int, int] | None] | None:
+    """M5: places of all pieces of a whole stream in order, with nothing but at most ``MOST_GAP`` blanks between (None for an empty piece); None if any is missing."""
+    out, at, low = [], 0, safe_lower(text)
     for p in pieces:
-        word = p[2:] if p.startswith("##") else p
-        i = text.find(word, at, at + MIN_GAP + len(word)) if word else -1
-        if i < 0 or text[at:i].strip():
+        word = p.removeprefix("##")
+        if not word:
+            out.append(None)
+            continue
+        i = text.find(word, at)
+        if i < 0:
+            i = low.find(safe_lower(word), at)
+        if i < 0 or i - at > MOST_GAP or not _blank(text, at, i):
             return None
-        out.append((i, i + len(word)))
         at = i + len(word)
+        out.append((i, at))
     return out
 
 
-def with_offsets(text: str, tokens: list[dict]) -> list[dict]:
-    """M6, M7: tokens with start and end: their own, by the whole stream, or one by one (then without case)."""
-    if all(t.get("start") is not None and t.get("end") is not None for t in tokens):
-        return tokens
-    at = locate(text, [t["word"] for t in tokens])
-    if at is not None:
-        return [{**t, "start": s, "end": e} for t, (s, e) in zip(tokens, at)]
-    out, here, low = [], 0, text.lower()
-    for t in tokens:
-        w = t["word"].removeprefix("##")
-        i = text.find(w, here) if w else -1
-        if i < 0 and w and len(low) == len(text):
-            i = low.find(w.lower(), here)
-        if i >= 0:
-            out.append({**t, "start": i, "end": i + len(w)})
-            here = i + len(w)
-    return out
+def _own_span(group: list[dict], size: int) -> tuple[int, int] | None:
+    """M6: from the first token's start to the last one's end, if all tokens have places that make sense."""
+    if any(t.get("start") is None or t.get("end") is None for t in group):
+        return None
+    s, e = group[0]["start"], group[-1]["end"]
+    return (s, e) if 0 <= s < e <= size else None
+
+
+def _find_group(text: str, low: str, group: list[dict], cursor: int, adjacent: bool, fold: bool) -> tuple[int, int] | None:
+    """M7: the first place from the cursor on where the group's pieces stand in a row, blanks allowed before whole words.
+
+    An adjacent group follows the token that ended at the cursor, so only blanks may be skipped to it; where that finds
+    nothing the group has no place, rather than that of a like word further on.
+    """
+    hay, norm = (low, safe_lower) if fold else (text, str)
+    words = [norm(_piece(t)) for t in group]
+    if not words[0]:
+        return None
+    start = hay.find(words[0], cursor)
+    while start >= 0:
+        if adjacent and not _blank(text, cursor, start):
+            return None  # further places only skip more
+        at = start + len(words[0])
+        for t, word in zip(group[1:], words[1:]):
+            if not t["word"].startswith("##"):
+                n = 0
+                while n < MOST_GAP and at < len(text) and text[at].isspace():
+                    at, n = at + 1, n + 1
+            if not word or not hay.startswith(word, at):
+                break
+            at += len(word)
+        else:
+            return start, at
+        start = hay.find(words[0], start + 1)
+    return None
+
+
+def _past(text: str, low: str, token: dict, cursor: int) -> int:
+    """The end of a token's place from the cursor on, or the cursor: where it has none, or only one behind other text."""
+    if token.get("end") is not None:
+        return max(cursor, min(token["end"], len(text)))
+    word = _piece(token)
+    if not word:
+        return cursor
+    for hay, w in ((text, word), (low, safe_lower(word))):
+        i = hay.find(w, cursor)
+        if i >= 0 and i - cursor <= MOST_GAP and _blank(text, cursor, i):
+            return i + len(w)
+    return cursor
 
 
 def is_whole(text: str, s: int, e: int) -> bool:
     """M9: no letter on either side."""
-    return not (s > 0 and text[s - 1].isalpha()) and not (e < len(text) and text[e].isalpha())
+    return not (s > 0 and _LETTERS.match(text[s - 1])) and not (e < len(text) and _LETTERS.match(text[e]))
 
 
-def reconstruct(text: str, tokens: list[dict], min_score: float = 0.5, names: dict | None = None, denied: frozenset[str] = frozenset()) -> list[dict]:
-    """M8, M4: spans of grouped tokens: mean score, trimmed edges, whole words, address numbers, merged addresses."""
-    check_score(min_score)
-    groups: list[dict] = []
-    for t in with_offsets(text, tokens):
-        tag = t.get("entity") or t.get("entity_group") or "O"
+def _widened(text: str, s: int, e: int, kind: str) -> tuple[int, int]:
+    """Whole words, a genitive's s, and an address's number and entrance; less words that introduce an identifier."""
+    while s > 0 and _LETTERS.match(text[s - 1]):
+        s -= 1
+    if text[e : e + 1] in ("s", "S") and not (e + 1 < len(text) and _LETTERS.match(text[e + 1])):
+        e += 1
+    if kind == "ADR":
+        if e and _NUMBERS.match(text[e - 1]) and (m := _ENTRANCE.match(text, e)):
+            e = m.end()
+        if e and _LETTERS.match(text[e - 1]) and (m := HOUSE_NUMBER.match(text, e)):
+            e = m.end()
+    while m := _LABEL_WORD.search(text[max(s, e - 25) : e]):
+        e -= len(m.group())
+    return s, e
+
+
+def _groups(tokens: list[dict]) -> Iterator[tuple[str, list[dict]]]:
+    """(kind, tokens) in order; kind "" for tokens outside of entities, one by one."""
+    i = 0
+    while i < len(tokens):
+        tag = tokens[i].get("entity") or tokens[i].get("entity_group") or "O"
         if tag == "O":
+            yield "", [tokens[i]]
+            i += 1
             continue
-        kind, begins = tag[2:] if tag[:2] in ("B-", "I-") else tag, tag.startswith("B-")
-        last = groups[-1] if groups else None
-        gap = text[last["end"] : t["start"]] if last else ""
-        joins = last and last["kind"] == kind and (t["word"].startswith("##") or not gap and not _apart(text, t["start"]) or (not begins and len(gap) <= MIN_GAP and not any(map(str.isalnum, gap))))
-        if joins:
-            last["end"], last["scores"] = max(last["end"], t["end"]), [*last["scores"], t["score"]]
-        else:
-            groups.append({"kind": kind, "start": t["start"], "end": t["end"], "scores": [t["score"]]})
-    out: list[dict] = []
-    for g in groups:
-        label = label_of(g["kind"], names)
-        if label is None or sum(g["scores"]) / len(g["scores"]) < min_score:
+        kind, group = regex.sub("^[BI]-", "", tag), [tokens[i]]
+        for k in range(i + 1, len(tokens)):
+            t, last = tokens[k], tokens[k - 1]
+            tag = t.get("entity") or t.get("entity_group") or ""
+            same = regex.sub("^[BI]-", "", tag) == kind
+            index, before = (x.get("index") if x.get("index") is not None else n for x, n in ((t, k), (last, k - 1)))
+            goes_on = t["word"].startswith("##") or same and tag.startswith("I-") or same and tag.startswith("B-") and not _LETTERS.search(_piece(last))
+            if index != before + 1 or not goes_on:
+                break
+            group.append(t)
+        yield kind, group
+        i += len(group)
+
+
+def reconstruct(text: str, tokens: list[dict], min_score: float = 0.5, names: dict | None = None, denied: frozenset[str] = frozenset()) -> list[dict]:
+    """M8: spans of a tagger's tokens (word, score, entity, and index, start, end where known).
+
+    Tokens are grouped (a word's pieces, I- after its kind, B- only after a connector), edges without letters are trimmed
+    (an address keeps its number), the mean score is checked, the group is placed (``_own_span``, ``_find_group``), widened
+    to whole words and joined with a neighbouring part of an address. A group of one word's inner piece, or one that
+    isn't whole, is dropped. ``denied``: words that are no span on their own (M4).
+    """
+    check_score(min_score)
+    low, cursor, last_index, exact, out = safe_lower(text), 0, None, False, []
+    for kind, group in _groups(tokens):
+        if not kind:
+            now = _past(text, low, group[0], cursor)
+            exact, cursor, last_index = now != cursor, now, group[0].get("index")
             continue
-        s, e = g["start"], g["end"]
-        while s < e and not _LETTER.match(text[s]):
-            s += 1
-        while e > s and not _LETTER.match(text[e - 1]):
-            e -= 1
-        while s > 0 and text[s - 1].isalpha() and e > s:
-            s -= 1
-        if e < len(text) and text[e] == "s" and not (e + 1 < len(text) and text[e + 1].isalpha()):
-            e += 1
-        if label == "ADRESS" and (m := regex.compile(r" ?[0-9]{1,3}[A-Za-z]?(?![\p{L}\p{N}])").match(text, e)):
-            e = m.end()
-        if e - s <= 1 or not is_whole(text, s, e) or text[s:e].lower() in denied:
+        while group and not (_LETTERS.search(_piece(group[-1])) or kind == "ADR" and _NUMBERS.search(_piece(group[-1])) and any(_LETTERS.search(_piece(t)) for t in group[:-1])):
+            group = group[:-1]
+        while group and not _LETTERS.search(_piece(group[0])):
+            group = group[1:]
+        if not group:
             continue
-        if out and label == "ADRESS" == out[-1]["label"] and not text[out[-1]["end"] : s].strip(" ,"):
-            out[-1]["end"], out[-1]["value"] = e, text[out[-1]["start"] : e]
+        span = None
+        if sum(t["score"] for t in group) / len(group) >= min_score:
+            head = group[0].get("index")
+            adjacent = exact and last_index is not None and head is not None and head == last_index + 1
+            span = _own_span(group, len(text)) or _find_group(text, low, group, cursor, adjacent, False) or _find_group(text, low, group, cursor, adjacent, True)
+        if span:
+            s, e = _widened(text, *span, kind)
+            label = label_of(kind, names)
+            if label and e > s and is_whole(text, s, e) and not (len(group) == 1 and group[0]["word"].startswith("##")):
+                out.append({"start": s, "end": e, "value": text[s:e], "label": label})
+            cursor = max(cursor, e)
+            exact = cursor == e == span[1]
         else:
-            out.append({"start": s, "end": e, "value": text[s:e], "label": label})
-    return out
+            exact = True
+            for t in group:
+                now = _past(text, low, t, cursor)
+                exact, cursor = exact and now != cursor, now
+        last_index = group[-1].get("index")
+    address, joined = label_of("ADR", names), []
+    for d in out:
+        last = joined[-1] if joined else None
+        tail = address is not None and d["label"] == address and _STREET_TAIL.match(d["value"])
+        if last and address and d["start"] > last["end"] and _blank(text, last["end"], d["start"]) and (tail or d["label"] == address == last["label"]):
+            last["end"], last["value"] = d["end"], text[last["start"] : d["end"]]
+            last["label"] = address if tail else last["label"]
+        else:
+            joined.append(d)
+    return [d for d in joined if len(d["value"]) > 1 and d["value"].lower() not in denied]
 
 
-def _apart(text: str, at: int) -> bool:
-    return at > 0 and not _LETTER.match(text[at - 1])
+TOKENS = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("index", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def reconstructed(text: Column, tokens: Column, min_score: float = 0.5, names: dict | None = None, denied: Iterable[str] = ()) -> Column:
+    """M8 as a column: spans of a column of texts and one of ``TOKENS``; null where either is."""
+    check_score(min_score)
+    denied, kind = frozenset(denied), to_arrow_type(SPAN)
+
+    @F.arrow_udf(SPAN)
+    def run(texts: pa.Array, each: pa.Array) -> pa.Array:
+        return pa.array([None if t is None or x is None else reconstruct(t, x, min_score, names, denied) for t, x in zip(texts.to_pylist(), each.to_pylist())], kind)
+
+    return run(text, tokens)
 
 
 def merge_seams(spans: list[dict], text: str) -> list[dict]:
@@ -181,20 +310,42 @@ def hybrid(text: str, model: list[dict], names: Iterable[str], keep: Callable[[d
     return redact_found(rules + subtract(text, [d for d in model if keep is None or keep(d)], rules), text)
 
 
-MEASURE = r"(?i)\A[0-9]+([.,][0-9]+)?\s*(mg|g|kg|ml|dl|l|mmol|mmhg|cm|mm|%)?\z"
-
-
-def clinical_filter(value: Column, label: Column, source: Column, terms: Iterable[str] = ()) -> Column:
-    """Rules stay; a model's span goes if it is a listed term, a measurement or a journal number."""
-    bad = F.lower(value).isin(*[t.lower() for t in terms]) if terms else F.lit(False)
-    return (source == "rule") | ~(bad | value.rlike(MEASURE) | (label == "JOURNALNUMMER"))
-
-
-def normalise_label(value: Column, label: Column, towns: Iterable[str]) -> Column:
-    """An organisation in lower case that is a town is a place; a street's name is an address."""
-    town = (label == "ORGANISATION") & (value == F.lower(value)) & F.lower(value).isin(*towns)
-    street = value.rlike(r"(?i)(gatan|vägen|gränd|torget|stigen|gata|väg)\z")
-    return F.when(town, "PLATS").when(street, "ADRESS").otherwise(label)
+CARE_TERMS = frozenset({"vaken", "penicillin", "pneumoni", "hemrehab", "ordinera hemrehab", "dietist", "diabetes", "vfu huvudtrauma"})
+_READINGS = "puls|bt|blodtryck|temp|temperatur|sat|saturation|spo2|hb|crp|gcs|af|na|natrium|kalium|kreatinin|troponin|glukos|p-glukos|mottagning|vårdas[ \t]+avd"
+MEASURE = rf"(?i)\A(?:{_READINGS})(?![A-Za-z0-9_])[\s:=/-]*x?[0-9]"
+JOURNAL = r"(?i)\Ajournal(?:nummer|nr)(?![A-Za-z0-9_])[\s:#-]*(?:(?:[\p{L}\p{N}]{2,12}[-/]){1,3}[\p{L}\p{N}]{2,12}|[0-9]{5,20})\z"
+DOSE = r"\A\p{L}[\p{L}'’-]*(?:\s+\p{L}[\p{L}'’-]*){0,2}\s+[0-9]+(?:[.,][0-9]+)?\z"
+UNIT_AFTER = r"(?i)\A\s*(?:mikrogram|mg/ml|mmol/l|mmhg|mg|ml|ie|g|[µμ]g)(?![\p{L}])"
+
+
+def clinical_filter(value: Column, source: Column, after: Column | None = None, terms: Iterable[str] = CARE_TERMS) -> Column:
+    """Rules stay; a model's span goes if it is a care term, a reading with its value, a journal number with its label, or a
+    medicine with its dose where ``after``, the text behind the span, begins with a unit."""
+    v = F.trim(value)
+    bad = F.lower(v).isin(*[t.lower() for t in terms]) | F.lower(v).rlike(MEASURE) | F.lower(v).rlike(JOURNAL)
+    if after is not None:
+        bad = bad | (v.rlike(DOSE) & F.coalesce(F.substring(after, 1, 24).rlike(UNIT_AFTER), F.lit(False)))
+    return (source == "rule") | ~bad
+
+
+TOWNS = frozenset(
+    """lund borås falun gävle luleå malmö umeå visby växjö kalmar kiruna motala örebro halmstad karlstad uppsala västerås borlänge alingsås
+    göteborg jönköping linköping nyköping stockholm sundsvall södertälje uddevalla östersund eskilstuna härnösand karlskrona norrköping
+    helsingborg hudiksvall skellefteå trollhättan kristianstad örnsköldsvik""".split()
+)
+STREET = r"(?i)(?:gata|gatan|väg|vägen|gränd|gränden|gången|torg|torget|plan|allén|backen|kajen|leden|stigen|stranden|stråket|terrassen)\z"
+
+
+def normalised(text: Column, start: Column, end: Column, label: Column, towns: Iterable[str] = TOWNS) -> Column:
+    """struct(start, end, value, label) of a model's span: an organisation in lower case that is a town is a place, and an
+    address, place or organisation that ends as streets do takes a house number behind it and is an address then."""
+    value = F.substring(text, start + 1, end - start)
+    town = (label == "ORGANISATION") & (value == F.lower(value)) & value.isin(*towns)
+    named = F.when(town, F.lit("PLATS")).otherwise(label)
+    number = F.regexp_extract(F.substring(text, end + 1, 64), r"\A(\s+(?:nr\s+)?[0-9]{1,4}(?:\s?[A-Da-d])?)(?=\z|[^\p{L}\p{N}])", 1)
+    takes = named.isin("ADRESS", "PLATS", "ORGANISATION") & value.rlike(STREET) & (number != "")
+    e = F.when(takes, end + F.length(number)).otherwise(end)
+    return F.struct(start.alias("start"), e.alias("end"), F.substring(text, start + 1, e - start).alias("value"), F.when(takes, F.lit("ADRESS")).otherwise(named).alias("label"))
 
 
 def gazetteer(first: Iterable[str], last: Iterable[str]) -> Callable[[str], list[dict]]:

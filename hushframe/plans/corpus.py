@@ -9,6 +9,7 @@ from ..operators import detect
 from ..operators import model_tokens as mt
 from ..sources.readers import quality_gate as gate
 from .common import table
+from .detection import _values_sql, luhn_sql
 
 
 def eval_leak(spark, sf_dir):
@@ -92,9 +93,32 @@ def whole_word(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"(?<!\p{L})the(?!\p{L})")).select("doc_id")
 
 
+_CLINICAL = [("Puls 72", ""), ("Alvedon forte 500", " mg x 3"), ("Alvedon forte 500", " stycken"), (" Penicillin", " hjälper"), ("Anna Berg", " mg"), ("Journalnr AB12-345C", ""), ("blodtryck: 120", "/80"), ("Pulsen 72", " mgr")]
+
+
 def clinical_filter(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_size", F.lit(" mg")).alias("value"), F.when(F.col("p_size") % 2 == 0, "rule").otherwise("model").alias("source"))
-    return p.where(mt.clinical_filter(F.col("value"), F.lit("NAMN"), F.col("source"))).select("p_partkey")
+    """Findings in care texts, by rules and by a model in turn, and which of them stay."""
+    case = F.get(F.array(*[F.struct(F.lit(v).alias("value"), F.lit(a).alias("after")) for v, a in _CLINICAL]), (F.col("p_size") % len(_CLINICAL)).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", case.alias("c"), F.when(F.col("p_partkey") % 3 == 0, "rule").otherwise("model").alias("source"))
+    return p.where(mt.clinical_filter(F.col("c.value"), F.col("source"), F.col("c.after"))).select("p_partkey", F.col("c.value").alias("value"))
+
+
+def normalise_labels(spark, sf_dir):
+    """Model spans at customers' towns and streets: labels and ends put right."""
+    value = F.get(F.array(*map(F.lit, ("umeå", "Umeå", "Storgatan", "Nya Torget", "Bolaget"))), (F.col("c_custkey") % 5).cast("int"))
+    tail = F.get(F.array(*map(F.lit, (" nr 12 B, igår", " 4 i", " 12345", " 7", ""))), (F.col("c_nationkey") % 5).cast("int"))
+    t = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("vid "), value, tail).alias("text"), F.length(value).alias("n"), F.when(F.col("c_custkey") % 7 == 0, "NAMN").otherwise("ORGANISATION").alias("label"))
+    d = mt.normalised(F.col("text"), F.lit(4), F.col("n") + 4, F.col("label"))
+    return t.select("c_custkey", d.alias("d")).select("c_custkey", "d.end", "d.value", "d.label")
+
+
+def token_entities(spark, sf_dir):
+    """Documents cut into word pieces whose capitalized ones are tagged, without places; spans by reconstruction."""
+    piece = F.regexp_extract_all("text", F.lit(r"\p{L}+|[^\s\p{L}]"), F.lit(0))
+    tag = lambda w: F.when(w.rlike(r"\A[A-Z][a-z]+\z"), "B-PER").otherwise("O")
+    token = lambda w, i: F.struct(tag(w).alias("entity"), F.lit(0.9).alias("score"), i.alias("index"), w.alias("word"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    found = mt.reconstructed(F.col("text"), F.transform(piece, token))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.start", "s.end", "s.value", "s.label")
 
 
 def conversation_numbers(spark, sf_dir):
@@ -114,24 +138,55 @@ def gazetteer_hybrid(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (eval_leak, benchmark_contained, absent_names, template_cross, lexicon_join, quota_select, corpus_rows, gold_issues, pack_chunks, pack_batches, html_to_markdown, quality_gate, whole_word, clinical_filter, conversation_numbers, gazetteer_hybrid)
+    for f in (eval_leak, benchmark_contained, absent_names, template_cross, lexicon_join, quota_select, corpus_rows, gold_issues, pack_chunks, pack_batches, html_to_markdown, quality_gate, whole_word, clinical_filter, normalise_labels, token_entities, conversation_numbers, gazetteer_hybrid)
 }
+_CARD, _BANKGIRO = r"\b[0-9](?:[ -]?[0-9]){12,18}\b", r"\b[0-9]{3,4}\s{0,2}-\s{0,2}[0-9]{4}\b"
+
+
+def _packed(source: str, group: str, order: str, shown: str) -> str:
+    """The greedy fold, a row after the other."""
+    return f"""
+        WITH RECURSIVE r AS (SELECT {group} AS g, {shown} AS o, length(text) AS n, row_number() OVER (PARTITION BY {group} ORDER BY {order}, text) AS i FROM {source}),
+        f AS (SELECT g, o, i, 0 AS chunk, n AS size FROM r WHERE i = 1
+            UNION ALL SELECT r.g, r.o, r.i, CASE WHEN f.size + r.n > 48000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.size + r.n > 48000 THEN r.n ELSE f.size + r.n END FROM f JOIN r ON r.g = f.g AND r.i = f.i + 1)
+        SELECT g, o, chunk FROM f"""
+
+
 _SURFACE = r"lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))"
 ORACLES = {
-    "eval_leak": f"SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND {_SURFACE} IN (SELECT {_SURFACE} FROM documents WHERE doc_id % 2 = 0) AND {_SURFACE} <> ''",
+    "eval_leak": f"""WITH s AS (SELECT doc_id, {_SURFACE} AS k FROM documents)
+        SELECT doc_id FROM s WHERE k <> '' AND k IN (SELECT k FROM s GROUP BY k HAVING min(doc_id) < max(doc_id))""",
     "benchmark_contained": f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS run FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), b AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS run FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))
         SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (run)""",
-    "absent_names": r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM benchmark), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}-]+')) AS w FROM documents WHERE lang = 'en')
-        SELECT name FROM n WHERE lower(name) NOT IN (SELECT w FROM w)""",
+    "absent_names": r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM benchmark), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}-]+')) AS w FROM documents)
+        SELECT name FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(w, lower(name)))""",
     "template_cross": "SELECT i, name, template, replace(['Hej {name}!', '{name} ringde.', 'Till {name} och co', 'Mejl från {name}'][template + 1], '{name}', name) AS text FROM (SELECT n_nationkey AS i, n_name AS name, ((n_nationkey + 6 * k) % 4)::INT AS template FROM nation, range(2) t(k))",
     "lexicon_join": """WITH c AS (SELECT lower(c_mktsegment) AS name, sum(c_custkey)::BIGINT AS bearers, min(c_custkey) AS rank FROM customer GROUP BY 1), w AS (SELECT ['building', 'machinery', 'x'][o_orderkey % 3 + 1] AS name, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS pos FROM orders GROUP BY 1)
         SELECT name, bearers, pos, rank FROM c JOIN w USING (name)""",
     "corpus_rows": """WITH n AS (SELECT n_nationkey AS i, CASE n_nationkey % 6 WHEN 4 THEN lower(n_name) WHEN 5 THEN upper(n_name) ELSE n_name END AS gold, ['Bor i {} nu', '{}', 'Till {}'][n_nationkey % 3 + 1] AS t FROM nation)
         SELECT i, gold, replace(t, '{}', gold) AS text, (strpos(t, '{}') - 1)::INT AS start, (strpos(t, '{}') - 1 + length(gold))::INT AS "end" FROM n""",
-    "gold_issues": "SELECT 'bad date' AS issue, count(*) AS n FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'too few reviewed', 1",
-    "pack_chunks": "SELECT conv_id, 0 AS chunk, count(*) AS n FROM conversations GROUP BY conv_id",
+    "gold_issues": f"""
+        WITH d AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM documents),
+        c AS ({_values_sql(_CARD, "documents", "doc_id", "text", luhn_sql("value"))}), b AS ({_values_sql(_BANKGIRO, "documents", "doc_id", "text", luhn_sql("value"))}),
+        i AS (SELECT 'bad date' AS issue, count(*) AS n FROM d WHERE doc_id % 10 = 0
+            UNION ALL SELECT 'too few reviewed', (avg((doc_id % 8 = 0)::INT) < 0.2)::BIGINT FROM d
+            UNION ALL SELECT 'too few rows', greatest(0, 200 - count(*)) FROM d
+            UNION ALL SELECT 'too few writers', greatest(0, 3 - count(DISTINCT source)) FROM d
+            UNION ALL SELECT 'no text', count(*) FROM d WHERE coalesce(trim(text), '') = ''
+            UNION ALL SELECT 'no writer', count(*) FROM d WHERE coalesce(trim(source), '') = ''
+            UNION ALL SELECT 'bad register', count(*) FROM d WHERE coalesce(lang NOT IN {_LANGS}, TRUE)
+            UNION ALL SELECT 'missing register', {len(_LANGS)} - count(DISTINCT lang) FILTER (lang IN {_LANGS}) FROM d
+            UNION ALL SELECT 'repeated text', count(k) - count(DISTINCT k) FROM d WHERE k <> ''
+            UNION ALL SELECT 'overlapping entities', count(*) FROM b WHERE EXISTS (SELECT 1 FROM c WHERE c.doc_id = b.doc_id AND c.start < b."end" AND b.start < c."end"))
+        SELECT issue, n FROM i WHERE n > 0""",
+    "pack_chunks": _packed("conversations", "conv_id", "turn", "turn").replace("SELECT g, o, chunk FROM f", "SELECT g AS conv_id, chunk, count(*) AS n FROM f GROUP BY g, chunk"),
+    "pack_batches": _packed("benchmark", "0", "item_id", "item_id").replace("SELECT g, o, chunk FROM f", "SELECT o AS item_id, chunk FROM f"),
     "whole_word": r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}])the([^\p{L}]|$)')",
-    "clinical_filter": "SELECT p_partkey FROM part WHERE p_size % 2 = 0",
+    "clinical_filter": f"SELECT p_partkey, [{', '.join(repr(v) for v, _ in _CLINICAL)}][p_size % {len(_CLINICAL)} + 1] AS value FROM part WHERE p_partkey % 3 = 0 OR p_size % {len(_CLINICAL)} IN (2, 4, 7)",
+    "normalise_labels": r"""WITH t AS (SELECT c_custkey, ['umeå', 'Umeå', 'Storgatan', 'Nya Torget', 'Bolaget'][c_custkey % 5 + 1] AS v, [' nr 12 B', ' 4', '', ' 7', ''][c_nationkey % 5 + 1] AS tail, CASE WHEN c_custkey % 7 = 0 THEN 'NAMN' ELSE 'ORGANISATION' END AS label FROM customer),
+        k AS (SELECT *, label <> 'NAMN' AND v IN ('Storgatan', 'Nya Torget') AND tail <> '' AS takes FROM t)
+        SELECT c_custkey, (4 + length(v) + CASE WHEN takes THEN length(tail) ELSE 0 END)::INT AS "end", v || CASE WHEN takes THEN tail ELSE '' END AS value, CASE WHEN takes THEN 'ADRESS' WHEN v = 'umeå' AND label = 'ORGANISATION' THEN 'PLATS' ELSE label END AS label FROM k""",
+    "token_entities": _values_sql(r"\p{L}+|[^\s\p{L}]", "documents", "doc_id", "text", "regexp_full_match(value, '[A-Z][a-z]+')").replace('AS "end", value FROM', "AS \"end\", value, 'NAMN' AS label FROM"),
     "conversation_numbers": "SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role)::INT AS n FROM conversations GROUP BY conv_id, role",
     "gazetteer_hybrid": """SELECT n_nationkey AS doc_id, unnest([0, 14])::INT AS start, unnest([9, 16])::INT AS "end", unnest(['Anna Berg', 'Bo']) AS value, 'NAMN' AS label FROM nation""",
 }

@@ -101,7 +101,7 @@ def test_validators_agree_with_python(spark):
 
 def test_hints_guard_and_marks():
     assert invalid_id_hints("901301-2385 och 900101-2385", []) == ["901301-2385"]
-    assert guard_issues("mejl a@example.com, ::1 och 1234567") == ["digits", "email", "ipv6"]
+    assert guard_issues("mejl a@example.com, ::1 och 1234567") == ["email", "ip", "number"]
     assert parse_marked_up("<use=a arm=b> Hej [PER:Anna], i [LOC:Malmö]") == ({"use": "a", "arm": "b"}, "Hej Anna, i Malmö", [(4, 8, "PER", "Anna"), (12, 17, "LOC", "Malmö")])
 
 
@@ -139,3 +139,98 @@ def test_uncovered_terms(spark):
     rows = [(["Svea", "Bolags", "x"], ["B-ORG", "I-ORG", "O"]), (["svea", "bolags"], ["B-ORG", "O"]), (["svea"], ["O"]), ([], [])]
     df = spark.createDataFrame(rows, "tokens array<string>, tags array<string>")
     assert [r.u for r in df.select(uncovered_terms(df.tokens, df.tags, [["Svea", "Bolag"]]).alias("u")).collect()] == [False, True, False, False]
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("Anna bor i Malmö sedan 1990", []),
+        ("ö192.0.2.1", ["ip"]),
+        ("(2001:db8::1), tid 12:30:45", ["ip"]),
+        ("ring 070-174 06 05", ["number", "phone"]),  # its postal-like 174 06 is part of the number
+        ("nr 19900101-0017", ["identity", "number"]),  # 0101-0017 is protected
+        ("SE45 5000 0000 0583 9825 7466", ["account", "number"]),
+        ("till 123 45 Ort", ["postal"]),
+        ("12345 eller 070-174 06 05", ["number", "phone", "postal"]),
+        ("konto: 12345-6", ["payment", "postal"]),
+        ("bankgiro nr 991-2346", ["number", "payment"]),
+        ("BIC: ABCDSESS", ["payment"]),
+        ("hej @anna_b", ["handle"]),
+        ("a@b", []),
+        ("abc 12d", ["vehicle"]),
+        ("åäö12é", []),
+        ("aa:bB:cc:Dd:ee-ff", ["device"]),
+        ("123e4567-e89b-12d3-a456-426614174000", ["number", "record"]),
+        ("0x" + "aB" * 20, ["wallet"]),
+        ("se WWW.exempel.se", ["url"]),
+    ],
+)
+def test_guard_kinds(text, kinds):
+    assert [k for k in guard_issues(text)] == kinds
+
+
+def toks(*rows, start=1):
+    """(word, entity[, score[, index]]) with indices in a row."""
+    out, at = [], start
+    for r in rows:
+        w, e, s, i = (*r, 0.9, None)[:4] if len(r) == 2 else (*r, None)[:4]
+        at = i if i is not None else at
+        out.append({"word": w, "entity": e, "score": s, "index": at, "start": None, "end": None})
+        at += 1
+    return out
+
+
+def values(text, tokens, **options):
+    return [(d["value"], d["label"]) for d in mt.reconstruct(text, tokens, **options)]
+
+
+def test_reconstruction_rules():
+    # a later like name: adjacency and the tokens before it show which one is meant
+    t = "Ring Anna. Anna är sjuk"
+    d = mt.reconstruct(t, toks(("Ring", "O"), ("Anna", "O"), (".", "O"), ("Anna", "B-PER"), ("är", "O")))
+    assert [(x["start"], x["value"]) for x in d] == [(11, "Anna")]
+    # an adjacent group that doesn't follow the cursor has no place at all
+    assert values("Bo mötte Xena och Eva", toks(("Bo", "B-PER"), ("Eva", "B-PER"))) == [("Bo", "NAMN")]
+    # pieces, connectors, genitive, inner pieces, whole words
+    assert values("Karl-Gustav Berglunds hus", toks(("Karl", "B-PER"), ("-", "I-PER"), ("Gustav", "B-PER"), ("Berg", "I-PER"), ("##lund", "I-PER"))) == [("Karl-Gustav Berglunds", "NAMN")]
+    assert values("Sofia imorgon", toks(("Sofia", "B-PER"), ("imorgon", "B-PER"))) == [("Sofia", "NAMN"), ("imorgon", "NAMN")]
+    assert values("Motpart", toks(("##par", "B-PER"))) == [] and values("Motparten", toks(("par", "B-PER"))) == []
+    assert values("14:20", toks(("14", "B-PER"), (":", "I-PER"), ("20", "I-PER"))) == []
+    assert values("dr Svensson", toks(("##r", "B-PER"), ("Svensson", "I-PER"))) == [("dr Svensson", "NAMN")]
+    # addresses: numbers, entrances, split streets
+    assert values("på Provgatan 44 C nu", toks(("Provgatan", "B-ADR"), ("44", "I-ADR"))) == [("Provgatan 44 C", "ADRESS")]
+    assert values("på Provs plats nr 1 nu", toks(("Provs", "B-ADR"), ("plats", "I-ADR"))) == [("Provs plats nr 1", "ADRESS")]
+    assert values("Renas gata 22", toks(("Renas", "B-ORG"), ("gata", "B-ADR"), ("22", "I-ADR"))) == [("Renas gata 22", "ADRESS")]
+    # label words, scores, labels, own places, denied words
+    assert values("Kommun A, org.nr 1", toks(("Kommun", "B-ORG"), ("A", "I-ORG"), (",", "I-ORG"), ("org", "I-ORG"))) == [("Kommun A", "ORGANISATION")]
+    assert values("Anna", toks(("Anna", "B-PER", 0.4))) == [] and values("Anna", toks(("Anna", "B-MISC x]"))) == [("Anna", "MISCX")]
+    assert values("Kund Bo", toks(("Kund", "B-PER"), ("Bo", "B-PER")), denied=mt.DENIED) == [("Bo", "NAMN")]
+    own = [{**x, "start": s, "end": e} for x, (s, e) in zip(toks(("Bo", "B-PER")), [(6, 8)])]
+    assert [(d["start"], d["end"]) for d in mt.reconstruct("Bo, o Bo", own)] == [(6, 8)]
+    assert values("ANNA", toks(("anna", "B-PER"))) == [("ANNA", "NAMN")]
+    assert values("", []) == [] and values("Anna", toks(("Anna", "B-PER")), names={"PER": None}) == []
+    assert mt.locate("Anna  är Åsa", ["", "Anna", "är", "å", "##sa", ""]) == [None, (0, 4), (6, 8), (9, 10), (10, 12), None]
+    assert mt.locate("Anna är", ["Anna", "var"]) is None and mt.locate("a" + " " * 40 + "b", ["a", "b"]) is None
+
+
+def test_reconstruction_as_column(spark):
+    rows = [("Ring Bo", [(None, 0.9, 1, "Ring", None, None), ("B-PER", 0.9, 2, "Bo", None, None)]), (None, []), ("x", None)]
+    df = spark.createDataFrame(rows, "t string, k array<struct<entity:string,score:double,index:int,word:string,start:int,end:int>>")
+    assert [r.s and [tuple(x) for x in r.s] for r in df.select(mt.reconstructed(df.t, df.k).alias("s")).collect()] == [[(5, 7, "Bo", "NAMN")], None, None]
+
+
+def test_packing_with_ties_and_limits(spark):
+    df = spark.createDataFrame([(1, "aa"), (1, "aa"), (1, "b"), (2, "ccc"), (3, None), (4, "d")], "o int, text string")
+    got = [(r.o, r.text, r.chunk) for r in co.pack_chunks(df, "o", most=5).collect()]
+    assert got == [(1, "aa", 0), (1, "aa", 0), (1, "b", 0), (2, "ccc", 1), (3, None, 1), (4, "d", 1)]
+    with pytest.raises(Exception, match="over the limit"):
+        co.pack_chunks(df, "o", most=2).collect()
+    assert co.pack_chunks(df.where("false"), "o").count() == 0
+
+
+def test_wide_signs_and_hosts_without_dots(spark):
+    from hushframe.operators.detect import detect_text, native_spans
+
+    assert [d["value"] for d in detect_text("anna\uff20example.com http://localhost/x", ["email", "url"])] == ["anna\uff20example.com", "http://localhost/x"]
+    df = spark.createDataFrame([(1, "se http://localhost/x nu")], "doc_id int, text string")
+    assert [r.value for r in native_spans(df, "url").collect()] == ["http://localhost/x"]
