@@ -99,10 +99,15 @@ def duplicate_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).lower())
 
 
+def safe_lower_text(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) and low.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 @F.pandas_udf(T.StringType())
 def safe_lower(texts: pd.Series) -> pd.Series:
     """Lower case, but characters stay whose lower case has another length."""
-    return texts.map(lambda t: None if t is None else "".join(c.lower() if len(c.lower()) == 1 else c for c in t))
+    return texts.map(lambda t: None if t is None else safe_lower_text(t))
 
 
 def _byte(ch: str) -> int:

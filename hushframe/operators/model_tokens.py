@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import safe_lower_text as safe_lower
 from .detect import FIELDS, SPAN, detect_text
 from .redact import redact_found
 
@@ -75,12 +76,6 @@ def check_score(score: float) -> float:
     return float(score)
 
 
-def safe_lower(text: str) -> str:
-    """Lower case at the same places: a character stays whose lower case has another length."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
-
-
 def _piece(token: dict) -> str:
     return token["word"].removeprefix("##")
 

@@ -118,10 +118,8 @@ def redaction_recall(gold: DataFrame, predicted: DataFrame, keys=KEYS) -> DataFr
 def leak_rate(cells: DataFrame, sets: list[list[str]], leaked: str = "leaked") -> DataFrame:
     """Rows, leaks and rate for all the groupings at once."""
     every = list(dict.fromkeys(c for s in sets for c in s))
-    cells.createOrReplaceTempView("_cells")
-    grouping = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    cols = "".join(c + ", " for c in every)
-    return cells.sparkSession.sql(f"SELECT {cols}grouping_id() AS level, count(*) AS n, sum(cast({leaked} AS int)) AS leaks, avg(cast({leaked} AS double)) AS rate FROM _cells GROUP BY GROUPING SETS ({grouping})")
+    hit = F.col(leaked)
+    return cells.groupingSets([[F.col(c) for c in g] for g in sets], *every).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum(hit.cast("int")).alias("leaks"), F.avg(hit.cast("double")).alias("rate"))
 
 
 def token_retention(tokens: DataFrame, predicted: DataFrame, keys=KEYS, top: int = 25) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ Rows are (tokens, tags) arrays; tags are O, B-x or I-x. Array work is native exp
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,8 +109,25 @@ def agreement(first: Column, conf: Column, second: Column, alone: float = 0.97,
 
 
 def without_held_out(df: DataFrame, text: str, names: DataFrame) -> DataFrame:
-    """Rows that hold none of the names (name) as a part, without case. The names are a short list of held-out rows."""
-    return df.join(names, F.lower(text).contains(F.lower("name")), "left_anti")
+    """Rows that hold none of the names (name) as a part, without case; a null text holds none.
+
+    The names, a list of held-out rows, become one automaton in each task, so a text is read once for all of them.
+    """
+    from ..functions.text import safe_lower_text
+
+    held = sorted({safe_lower_text(r["name"]) for r in names.select("name").distinct().collect() if r["name"]})  # a held-out list, not a corpus
+
+    @F.arrow_udf(T.BooleanType())
+    def free(texts: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        find = ahocorasick.Automaton()
+        for n in held:
+            find.add_word(n, True)
+        find.make_automaton()
+        return pa.array([t is None or next(find.iter(safe_lower_text(t)), None) is None for t in texts.to_pylist()], pa.bool_())
+
+    return df.where(free(F.col(text))) if held else df
 
 
 def dedupe_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -162,10 +180,20 @@ def unmarked_addresses(df: DataFrame, markers: list[str], keys=("doc_id",)) -> D
     return s.withColumn("value", value).where(~F.lower("value").rlike("|".join(m.lower() for m in markers))).drop("tokens")
 
 
+_PIECES = [(1, 15), (16, 15), (31, 15), (46, 15), (61, 4)]  # of a digest in hexadecimal
+
+
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows and an order-free SHA-256 over the rows' digests."""
-    row = F.sha2(F.to_json(F.struct(*columns)), 256)
-    return df.select(row.alias("h")).groupBy().agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("sha256"))
+    """Rows, and a SHA-256 over what the rows' digests add up to piece by piece: independent of order, repeats count, and
+    each task adds up its own rows."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.conv(F.substring("h", at, size), 16, 10).cast("decimal(38,0)")), F.lit(0)).alias(f"s{at}") for at, size in _PIECES])
+    return sums.select("n", F.sha2(F.concat_ws("\n", *[F.col(f"s{at}").cast("string") for at, _ in _PIECES]), 256).alias("sha256"))
+
+
+def unverified(df: DataFrame, columns: list[str], expected: DataFrame) -> DataFrame:
+    """The manifest's row, if rows or digest differ from the expected (n, sha256); no row otherwise."""
+    return manifest(df, columns).join(expected.select(F.col("n").alias("_n"), F.col("sha256").alias("_s")), (F.col("n") == F.col("_n")) & (F.col("sha256") == F.col("_s")), "left_anti")
 
 
 def generate(spark, n: int, templates: list[list[str]], slots: dict[str, list[str]], seed: int = 0) -> DataFrame:

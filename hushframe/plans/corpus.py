@@ -181,6 +181,9 @@ ORACLES = {
         SELECT issue, n FROM i WHERE n > 0""",
     "pack_chunks": _packed("conversations", "conv_id", "turn", "turn").replace("SELECT g, o, chunk FROM f", "SELECT g AS conv_id, chunk, count(*) AS n FROM f GROUP BY g, chunk"),
     "pack_batches": _packed("benchmark", "0", "item_id", "item_id").replace("SELECT g, o, chunk FROM f", "SELECT o AS item_id, chunk FROM f"),
+    "quality_gate": r"""WITH s AS (SELECT doc_id, string_split_regex(trim(unnest(string_split_regex(text, '[.\n]'))), ' +') AS t FROM documents)
+        SELECT doc_id, count(*) AS n FROM s WHERE len(t) BETWEEN 4 AND 40 AND len(list_filter(t, lambda w: regexp_full_match(w, '\p{L}+'))) >= greatest(3, len(t) / 2)
+            AND len(list_filter(t, lambda w: length(w) > 30 OR contains(w, 'http') OR contains(w, 'www.') OR contains(w, '@'))) = 0 GROUP BY doc_id""",
     "whole_word": r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}])the([^\p{L}]|$)')",
     "clinical_filter": f"SELECT p_partkey, [{', '.join(repr(v) for v, _ in _CLINICAL)}][p_size % {len(_CLINICAL)} + 1] AS value FROM part WHERE p_partkey % 3 = 0 OR p_size % {len(_CLINICAL)} IN (2, 4, 7)",
     "normalise_labels": r"""WITH t AS (SELECT c_custkey, ['umeå', 'Umeå', 'Storgatan', 'Nya Torget', 'Bolaget'][c_custkey % 5 + 1] AS v, [' nr 12 B', ' 4', '', ' 7', ''][c_nationkey % 5 + 1] AS tail, CASE WHEN c_custkey % 7 = 0 THEN 'NAMN' ELSE 'ORGANISATION' END AS label FROM customer),

@@ -88,7 +88,14 @@ def stratified_round_robin(spark, sf_dir):
 
 
 def manifest(spark, sf_dir):
-    return tr.manifest(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey", "n_name"])
+    """Rows and digest of the customers' keys and names."""
+    return tr.manifest(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey", "c_name"])
+
+
+def without_held_out(spark, sf_dir):
+    """Documents that hold no capitalized word of a benchmark item in any case, not even as a part."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))).alias("name"))
+    return tr.without_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", names).select("doc_id")
 
 
 def template_rows(spark, sf_dir):
@@ -102,7 +109,7 @@ def _fnv_sql(c: str) -> str:
     return f"list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length({c}) + 1), lambda i: unicode(({c})[i])::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
 
 
-QUERIES = {f.__name__: f for f in (bio_repair, to_bio, bio_spans, remap_tags, audit_rows, dedupe_first, hash_sample, hash_shares, word_uniform, group_split, lower_augment, agreement_filter, stratified_round_robin, manifest, template_rows)}
+QUERIES = {f.__name__: f for f in (bio_repair, to_bio, bio_spans, remap_tags, audit_rows, dedupe_first, hash_sample, hash_shares, word_uniform, group_split, lower_augment, agreement_filter, stratified_round_robin, manifest, without_held_out, template_rows)}
 ORACLES = {
     "bio_repair": f"WITH {_TAGGED} SELECT doc_id, i::INT AS i, CASE WHEN tag[1] = 'I' AND substr({_BEFORE}, 3) <> substr(tag, 3) THEN 'B-' || substr(tag, 3) ELSE tag END AS tag FROM r",
     "to_bio": f"WITH {_TAGGED} SELECT doc_id, i::INT AS i, CASE WHEN tag = 'O' THEN tag WHEN {_BEFORE} <> 'O' AND substr({_BEFORE}, 3) = substr(tag, 3) THEN 'I-' || substr(tag, 3) ELSE 'B-' || substr(tag, 3) END AS tag FROM r",
@@ -121,5 +128,10 @@ ORACLES = {
     "lower_augment": f"SELECT FALSE AS augmented, count(*) AS tokens FROM lineitem UNION ALL SELECT TRUE, count(*) FROM lineitem WHERE {_fnv_sql("'lower:' || l_orderkey")} / 4294967296.0 < 0.3",
     "stratified_round_robin": f"""WITH h AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {_fnv_sql("o_orderkey::VARCHAR")}, o_orderkey) AS turn FROM orders)
         SELECT o_orderkey, o_orderstatus, o_orderpriority FROM h QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY turn, o_orderpriority) <= CASE o_orderstatus WHEN 'P' THEN 10 WHEN 'F' THEN 30 WHEN 'O' THEN 30 ELSE 0 END""",
+    "manifest": """WITH h AS (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS h FROM customer),
+        s AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {at}, {size}))::UBIGINT::HUGEINT) AS s{at}" for at, size in tr._PIECES) + """ FROM h)
+        SELECT n, sha256(concat_ws(chr(10), """ + ", ".join(f"s{at}::VARCHAR" for at, _ in tr._PIECES) + """)) AS sha256 FROM s""",
+    "without_held_out": r"""WITH n AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}'))) AS name FROM benchmark)
+        SELECT doc_id FROM documents WHERE text IS NULL OR NOT EXISTS (SELECT 1 FROM n WHERE contains(lower(text), name))""",
     "agreement_filter": f"WITH {_TAGGED} SELECT doc_id FROM r GROUP BY doc_id HAVING bool_and(CASE WHEN tag = 'O' THEN TRUE WHEN i % 6 = 5 THEN 0.8 + (i % 5) * 0.05 >= 0.97 ELSE 0.8::DOUBLE + (i % 5) * 0.05::DOUBLE >= 0.85::DOUBLE END)",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import decode_entities
 
@@ -45,8 +47,7 @@ def read_sentences_xml(spark: SparkSession, path: str) -> DataFrame:
     kinds = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.StringType()))])
     mark = regex.compile(r'<(name)\b[^>]*?type="([^"]*)"[^>]*>|</(name)>|<token\b[^>]*>(.*?)</token>', regex.S)
 
-    @F.udf(kinds)
-    def parse(body):
+    def one(body):
         tokens, tags, kind, first = [], [], None, False
         for m in mark.finditer(body):
             if m[1]:
@@ -57,7 +58,11 @@ def read_sentences_xml(spark: SparkSession, path: str) -> DataFrame:
                 tokens.append(m[4].strip())
                 tags.append("O" if kind is None else ("B-" if first else "I-") + kind)
                 first = False
-        return tokens, tags
+        return {"tokens": tokens, "tags": tags}
+
+    @F.arrow_udf(kinds)
+    def parse(bodies: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else one(b) for b in bodies.to_pylist()], to_arrow_type(kinds))
 
     p = whole.select("file", "sentence", parse("body").alias("p"))
     return p.select("file", "sentence", F.transform("p.tokens", decode_entities).alias("tokens"), F.col("p.tags").alias("tags"))
@@ -75,7 +80,13 @@ def read_marked_up(spark: SparkSession, path: str) -> DataFrame:
     entity = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("value", T.StringType())])
     out = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("entities", T.ArrayType(entity))])
     lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
-    p = lines.select(F.col("value").alias("line"), F.udf(parse_marked_up, out)("value").alias("p"))
+
+    @F.arrow_udf(out)
+    def parse(rows: pa.Array) -> pa.Array:
+        found = [parse_marked_up(r) for r in rows.to_pylist()]
+        return pa.array([{"meta": list(m.items()), "text": t, "entities": [dict(zip(("start", "end", "label", "value"), e)) for e in es]} for m, t, es in found], to_arrow_type(out))
+
+    p = lines.select(F.col("value").alias("line"), parse("value").alias("p"))
     return p.select("line", "p.meta", "p.text", "p.entities")
 
 
