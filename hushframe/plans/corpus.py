@@ -8,7 +8,7 @@ from ..operators import corpus as co
 from ..operators import detect
 from ..operators import model_tokens as mt
 from ..sources.readers import quality_gate as gate
-from .common import table
+from .common import spread, table
 from .detection import _values_sql, luhn_sql
 
 
@@ -79,7 +79,7 @@ def pack_batches(spark, sf_dir):
 
 
 def html_to_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", co.html_to_markdown("html", "url").alias("markdown"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html", "url")).select("page_id", co.html_to_markdown("html", "url").alias("markdown"))
 
 
 def quality_gate(spark, sf_dir):
@@ -118,7 +118,7 @@ def token_entities(spark, sf_dir):
     tag = lambda w: F.when(w.rlike(r"\A[A-Z][a-z]+\z"), "B-PER").otherwise("O")
     token = lambda w, i: F.struct(tag(w).alias("entity"), F.lit(0.9).alias("score"), i.alias("index"), w.alias("word"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     found = mt.reconstructed(F.col("text"), F.transform(piece, token))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.start", "s.end", "s.value", "s.label")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.start", "s.end", "s.value", "s.label")
 
 
 def conversation_numbers(spark, sf_dir):

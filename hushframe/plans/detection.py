@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import validators as v
 from ..operators import detect, redact
-from .common import table
+from .common import spread, table
 
 
 def _notes(spark, sf_dir) -> DataFrame:
@@ -27,9 +27,13 @@ def _notes(spark, sf_dir) -> DataFrame:
 _REDACTED = "'Kund ' || c_custkey || ': ring [TELEFON_1], mejl [EPOST_1] eller [EPOST_1], bankgiro [BANKGIRO_1], kort [KORTNUMMER_1], ip [IP_ADRESS_1], org [ORGANISATIONSNUMMER_1], iban [IBAN_1].'"
 
 
+def _documents(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def redact_documents(spark, sf_dir):
     r = redact.redact(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", F.size("r.redactions").alias("n_redactions"), F.col("r.text").alias("redacted"))
+    return _documents(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", F.size("r.redactions").alias("n_redactions"), F.col("r.text").alias("redacted"))
 
 
 def redact_text(spark, sf_dir):
@@ -39,13 +43,13 @@ def redact_text(spark, sf_dir):
 
 def restore_text(spark, sf_dir):
     """Redacted documents restored, and whether they are as before."""
-    both = table(spark, sf_dir, "documents").select("doc_id", "text", redact.redact(F.col("text")).alias("r"))
+    both = _documents(spark, sf_dir).select("doc_id", "text", redact.redact(F.col("text")).alias("r"))
     return both.select("doc_id", F.equal_null(redact.restore(F.col("r.text"), F.col("r.map")), F.col("text")).alias("same"))
 
 
 def redact_from_spans(spark, sf_dir):
     """Spans from the IP detector alone, given to the redaction as spans from elsewhere."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     return redact.redact_spans(docs, detect.native_spans(docs, "ip")).select("doc_id", "n_redactions", "redacted")
 
 
@@ -76,13 +80,12 @@ def luhn_sql(c: str) -> str:
 
 
 def detect_email(spark, sf_dir):
-    t = table(spark, sf_dir, "documents")
-    return detect.spans(t, names=["email"]).select("doc_id", "value")
+    return detect.spans(_documents(spark, sf_dir), names=["email"]).select("doc_id", "value")
 
 
 def detect_all(spark, sf_dir):
     """All findings of the default detectors in documents."""
-    return detect.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return detect.spans(_documents(spark, sf_dir))
 
 
 def label_counts(spark, sf_dir):
@@ -91,7 +94,7 @@ def label_counts(spark, sf_dir):
 
 def assign_placeholders(spark, sf_dir):
     """Numbers for the e-mails of documents by first place; SQL ranks them likewise."""
-    found = detect.spans(table(spark, sf_dir, "documents"), names=["email"])
+    found = detect.spans(_documents(spark, sf_dir), names=["email"])
     return redact.assign_placeholders(found).select("doc_id", "value", "start", F.col("n").cast("long").alias("n"), "replacement").distinct().select("doc_id", "value", "n", "replacement").distinct()
 
 
@@ -167,7 +170,7 @@ def approved_fixtures(spark, sf_dir):
 def privacy_issues(spark, sf_dir):
     """Kinds of identifiers in documents, and how many documents hold them."""
     kinds = F.explode(detect.privacy_issues(F.col("text"))).alias("issue")
-    return table(spark, sf_dir, "documents").select(kinds).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    return _documents(spark, sf_dir).select(kinds).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 def identifier_scrub(spark, sf_dir):
@@ -182,7 +185,7 @@ def token_ranges(spark, sf_dir):
 
 def canonicalize_documents(spark, sf_dir):
     """Documents with a soft hyphen put before each blank, folded again: the result is the text where that was canonical."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.canonicalize(F.replace("text", F.lit(" "), F.lit("\u00ad "))).alias("folded"))
+    return _documents(spark, sf_dir).select("doc_id", tx.canonicalize(F.replace("text", F.lit(" "), F.lit("\u00ad "))).alias("folded"))
 
 
 def strip_invisible_documents(spark, sf_dir):
