@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.common import spread, table
+
+__all__ = ["spread", "table"]
+
 #: Words kept in a worker's memo before it is emptied; results don't depend on it.
 MEMO_WORDS = 150_000
 _LOCAL: dict[str, str] = {}
@@ -49,12 +53,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the shared-folder table behind a frame of ``written`` that nothing needs any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/hushframe-" in name:
-            remove(spark, name)
+def discard(*frames: DataFrame) -> None:
+    """Removes the shared-folder tables behind frames of ``written``, which nothing reads any more: what came of them is written itself."""
+    for df in frames:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/hushframe-" in name:
+                remove(df.sparkSession, name)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -62,10 +66,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def spare(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that don't clash with the columns df has (compared without case)."""
     have = {c.lower() for c in df.columns}

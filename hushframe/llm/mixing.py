@@ -29,7 +29,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare, written
+from .common import discard, spare, written
 
 #: Most patterns whose plan and cuts are broadcast; more are joined by shuffle.
 BROADCAST_PATTERNS = 100_000
@@ -175,6 +175,7 @@ def mix(docs: DataFrame, members: Column, tokens: Column, id_col: str = "doc_id"
     last = inside.withColumn("upto", upto).where("upto <= left").groupBy("pattern").agg(F.max("order").alias("last"))
     # no document of that range fits: everything below the range
     cuts = written(plan.join(cut, "pattern", "left").join(last, "pattern", "left").select(F.col("pattern").alias(c_key), F.col("base").alias(c_base), F.when(F.col("rest") > 0, F.coalesce("last", F.shiftleft(F.col("bucket"), 52) - 1)).alias(c_last)), "cuts")
+    discard(slim, cut)
     marked = docs.withColumn(c_pattern, pattern).withColumn(c_hash, hash_).join(few(cuts), F.col(c_pattern) == F.col(c_key))
     epochs = F.col(c_base) + F.coalesce((F.col(c_hash) <= F.col(c_last)).cast("long"), F.lit(0))
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(c_pattern), epochs.alias(c_epochs)), plan

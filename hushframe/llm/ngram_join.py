@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, gram_hashes, mix, spare, word_hashes, written
+from .common import WordHashes, batches, discard, gram_hashes, mix, spare, word_hashes, written
 
 NGRAM, THRESHOLD, RECALL, TREES = 3, 0.5, 0.95, 48
 BLOCK = 128
@@ -347,7 +347,9 @@ def candidates(classes: DataFrame, threshold: float, recall: float, trees: int,
                 x, y = wanted.select("key", F.col("node").alias("x"), F.col("grams").alias("gx")), there.select("key", F.col("node").alias("y"), F.col("grams").alias("gy"))
                 length = (F.col("gx") >= threshold * F.col("gy")) & (F.col("gy") >= threshold * F.col("gx"))
                 found = found.unionByName(x.join(y, "key").where((F.col("x") != F.col("y")) & length).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return written(found.distinct(), "candidates")
+    out = written(found.distinct(), "candidates")
+    discard(first, marks)
+    return out
 
 
 def class_pairs(texts: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -363,13 +365,16 @@ def class_pairs(texts: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     classes = sig.groupBy("h1", "h2").agg(F.min("content").alias("content"), F.first("grams").alias("grams"), F.first("label").alias("label"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     members = written(sig.groupBy("content", "h1", "h2").agg(F.count(F.lit(1)).alias("rows")).join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("content", "node", "rows"), "members")
+    discard(sig)
     found = candidates(classes, threshold, recall, trees, crowd)
     agree = threshold + (1 - threshold) / 256
     least = agree - _SIGMAS * math.sqrt(agree * (1 - agree) / (trees * depth))
     sketches = sketched(classes)
     near = found.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     near = written(similar_enough(near, least), "near")
+    discard(found)
     edges = written(verified(near, texts, classes.select("node", "content"), n, threshold), "edges")
+    discard(near, classes)
     return members, edges
 
 
@@ -418,9 +423,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("m"))
         large = both.join(least, "v").where("w > v").select(F.col("w").alias("v"), F.col("m").alias("w")).where("v != w").distinct()
         large = written(large, "stars")
+        discard(now)
         low = large.groupBy("v").agg(F.min("w").alias("m"))
         small = large.join(low, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).unionByName(low.select("v", F.col("m").alias("w"))).where("v != w").distinct()
         now = written(small, "stars")
+        discard(large)
         r = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first()
         if tuple(r) == state:
             return now.select("v", F.col("w").alias("root")).unionByName(now.select(F.col("w").alias("v"), F.col("w").alias("root")).distinct())

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, spare, words_of, written
+from .common import batches, discard, spare, words_of, written
 
 SHARES = [round(0.6 * 0.8**k, 6) for k in range(28)]  # 0.6 down to 0.0015
 COUNTS = [k + 0.5 for k in range(39, -1, -1)]
@@ -255,7 +255,9 @@ def calibrate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     cuts = counts.groupBy("stratum").applyInPandas(certify, "stratum string, " + ", ".join(f"{r} double" for r in GRIDS))
     cuts = cuts.select("stratum", *[F.when(~F.isnan(r), F.col(r)).alias(r) for r in GRIDS])
-    return Policy(lexicon, written(cuts, "cutoffs")), table
+    policy = Policy(lexicon, written(cuts, "cutoffs"))
+    discard(marks, counts)
+    return policy, table
 
 
 def accepted_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -271,7 +273,8 @@ def accepted_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """The rows of docs that pass, in its columns. Texts are scored again instead of shuffled."""
-    policy, _ = calibrate(docs, labels, id_col, text_col, stratum_col, **options)
+    policy, scores = calibrate(docs, labels, id_col, text_col, stratum_col, **options)
+    discard(scores)
     c_stratum, c_text, *c_cuts = spare(docs, "stratum", "text_", *[f"cut_{r}" for r in GRIDS])
     cuts = policy.table.select(F.col("stratum").alias(c_stratum), *[F.col(r).alias(c) for r, c in zip(GRIDS, c_cuts)])
     judged = docs.withColumn(c_stratum, _stratum(stratum_col)).join(_few(cuts), c_stratum, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").cast("string").alias(c_text), *c_cuts)

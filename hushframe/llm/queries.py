@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .common import fresh_path, spread, table, written
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
 from .mixing import facets, mix, word_count
@@ -22,16 +22,16 @@ from .warc import pages_of, read_warc, write_warc
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans of at least 50 words that also stand in another document."""
-    return substring_spans(table(spark, sf_dir, "documents"))
+    return substring_spans(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the least id of its group of near copies, and how many documents have at least half of their word 3-grams in common with it."""
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +43,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under a trigram model of all documents, with all their trigrams."""
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the risk-controlled rules accept, with their scores."""
-    return accepted_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return accepted_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,18 +59,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids as the segments of sorted-string-table shards."""
-    return shards(table(spark, sf_dir, "documents"))
+    return shards(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under merge-dropout, each decoded again and compared with its text."""
-    return encode_pieces(table(spark, sf_dir, "documents"), dropout=0.1, seed=20)
+    return encode_pieces(spread(table(spark, sf_dir, "documents")), dropout=0.1, seed=20)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC files in the shared folder and read back in byte ranges."""
     folder = fresh_path(spark, "warc")
-    files = written(write_warc(table(spark, sf_dir, "pages"), folder), "warc-files")
+    files = written(write_warc(spread(table(spark, sf_dir, "pages")), folder), "warc-files")
     return pages_of(read_warc(files.select("file", "size")))
 
 

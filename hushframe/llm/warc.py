@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, written
+from .common import batches, discard, written
 
 MAGIC = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
@@ -224,7 +224,8 @@ def reachable(found: DataFrame) -> DataFrame:
     count = reached.count()
     while True:
         step = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = written(reached.unionByName(step).distinct(), "reached")
+        before, reached = reached, written(reached.unionByName(step).distinct(), "reached")
+        discard(before)
         now = reached.count()
         if now == count:
             return reached
@@ -280,7 +281,9 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     tasks = max(1, min(int(total or 0), max(2 * parts, int(size or 0) // (8 << 20)), 100_000))
     splits = written(splits_of(files, split_bytes).repartition(max(1, tasks // 16)), "splits")
     found = written(candidates(splits.repartition(tasks)), "candidates")
-    entries = reachable(found).withColumn("start", F.col("at") - F.col("at") % split_bytes)  # every range is entered at one place
+    reached = reachable(found)
+    discard(found)
+    entries = reached.withColumn("start", F.col("at") - F.col("at") % split_bytes)  # every range is entered at one place
     entries = splits.join(entries, ["file", "start"]).select("file", "size", "start", "end", "at")
     return parse(entries.repartition(tasks, "file", "start"))
 
