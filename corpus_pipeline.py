@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import table, written
+from hushframe.llm.common import spread, table, written
 from hushframe.llm.exact_dedup import exact_dedup
 from hushframe.llm.mixing import facets, mixed, word_count
 from hushframe.llm.ngram_join import near_dedup
@@ -61,7 +61,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs
