@@ -10,6 +10,7 @@ from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,3 +197,41 @@ def clean_component(c: Column, longest: int = 60) -> Column:
 def scrub_emails(tokens: Column) -> Column:
     """C20."""
     return F.transform(tokens, lambda t: F.when(t.rlike(r"[^@\s]+@[^@\s]+\.[^@\s]+"), F.lit("kontakt@example.com")).otherwise(t))
+
+
+def tokenize_filler(c: Column) -> Column:
+    """Words at white space, with each sign before and behind a word's letters, digits and underscores as a token of its own."""
+    word = "A-Za-z0-9_ÅÄÖåäö"
+    signs = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+
+    def peeled(raw: Column) -> Column:
+        before = F.regexp_extract(raw, f"^[^{word}]*", 0)
+        rest = F.substr(raw, F.length(before) + 1)
+        core = F.regexp_extract(rest, f"(?s)^.*[{word}]", 0)
+        return F.concat(signs(before), F.when(core != "", F.array(core)).otherwise(F.array().cast("array<string>")), signs(F.substr(rest, F.length(core) + 1)))
+
+    return F.flatten(F.transform(F.filter(F.split(c, f"[{SPACE}]+"), lambda t: t != ""), peeled))
+
+
+def wordpiece_text(word: str, vocab: frozenset[str] | set[str]) -> list[str] | None:
+    """C16 for one word: the longest pieces from the left, later ones led by ##; None if a place has none."""
+    out, at = [], 0
+    while at < len(word):
+        lead = "##" if at else ""
+        end = next((e for e in range(len(word), at, -1) if lead + word[at:e] in vocab), None)
+        if end is None:
+            return None
+        out.append(lead + word[at:end])
+        at = end
+    return out
+
+
+def wordpiece(c: Column, vocab) -> Column:
+    """C16 as a column: array of pieces, null where a word doesn't decompose under the vocabulary."""
+    vocab = frozenset(vocab)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(words: pa.Array) -> pa.Array:
+        return pa.array([None if w is None else wordpiece_text(w, vocab) for w in words.to_pylist()], pa.list_(pa.string()))
+
+    return run(c)

@@ -74,6 +74,22 @@ def template_cross(names: DataFrame, templates: list[str], per_name: int = 1, st
     return names.select("i", "name", k).withColumn("template", at).withColumn("text", F.replace(F.get(arr, F.col("template")), F.lit("{name}"), F.col("name")))
 
 
+def homograph_rows(names: DataFrame, frames: list[str], top: int = 30, by: str = "bearers") -> DataFrame:
+    """The ``top`` names (name, by) with most bearers, ties by name, in every frame, {name} filled, with the name's place."""
+    loud = names.orderBy(F.desc(by), "name").limit(top)
+    rows = loud.select("name", by, F.posexplode(F.array(*map(F.lit, frames))).alias("frame", "t"))
+    start = F.instr("t", "{name}") - 1
+    return rows.select("name", by, "frame", F.replace("t", F.lit("{name}"), F.col("name")).alias("text"), start.alias("start"), (start + F.length("name")).alias("end"))
+
+
+def decomposed_absent(names: DataFrame, texts: DataFrame, vocab, least: int = 2) -> DataFrame:
+    """Names that stand in no text and that a vocabulary cuts into ``least`` pieces or more, with their ``pieces``."""
+    from ..functions.text import wordpiece
+
+    cut = names.withColumn("pieces", wordpiece(F.col("name"), vocab)).where(F.size("pieces") >= least)
+    return absent_names(cut, texts)
+
+
 def lexicon_join(bearers: DataFrame, words: DataFrame, ranks: DataFrame, least: int) -> DataFrame:
     """Names that are also words: bearers summed, kinds of word gathered, rank in the word list."""
     total = bearers.groupBy(F.lower("name").alias("name")).agg(F.sum("bearers").alias("bearers")).where(F.col("bearers") >= least)

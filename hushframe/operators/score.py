@@ -214,3 +214,16 @@ def vocabulary(tokens: DataFrame, size: int, keep: list[str] = (), native: DataF
     else:
         counted = counted.withColumn("ix", F.lit(0))
     return counted.orderBy(F.desc(must), F.desc("n"), "ix", "token").limit(size).select("token", "n")
+
+
+def category_sums(categories: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(name, entities, hits, junk) of named groups of categories (category, entities, hits, junk); a group's missing category is an error."""
+    wanted = categories.sparkSession.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "name string, category string")
+    both = wanted.join(categories, "category", "left")
+    known = F.when(F.col("entities").isNull(), F.raise_error(F.lit("a category is missing"))).otherwise(F.col("entities"))
+    return both.groupBy("name").agg(F.sum(known).alias("entities"), F.sum("hits").alias("hits"), F.sum("junk").alias("junk"))
+
+
+def snapshot(scores: DataFrame, digits: int = 1) -> DataFrame:
+    """Scores with each share (a double column) as a percentage of so many digits, for a release's published figures."""
+    return scores.select(*[F.round(100 * F.col(f.name), digits).alias(f"{f.name}_pct") if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in scores.schema])

@@ -94,6 +94,51 @@ def spans_to_bio(tokens: list[tuple[int, int]], spans: list[tuple[int, int, str]
     return out
 
 
+TAGS = T.ArrayType(T.StringType())
+
+
+def char_spans_to_bio(tokens: Column, spans: Column) -> Column:
+    """T10 as a column: tags of tokens (array of start, end) for character spans (array of start, end, label); errors as ``spans_to_bio``'s."""
+
+    @F.arrow_udf(TAGS)
+    def run(each: pa.Array, marked: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(each.to_pylist(), marked.to_pylist()):
+            out.append(None if t is None else spans_to_bio([(x["start"], x["end"]) for x in t], [(x["start"], x["end"], x["label"]) for x in s or ()]))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(tokens, spans)
+
+
+def convert_classes(df: DataFrame, names: dict[str, str], poison: set[str], outside: set[str], generic: set[str] = frozenset()) -> DataFrame:
+    """Df (tokens, tags) with its classes mapped; rows with a poison class go, classes ``outside`` and spans whose whole text is a
+    generic word become O, and a class that none of these names is an error."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
+    kind = lambda t: F.substring(t, 3, 200)
+    known = [*names, *poison, *outside]
+    unknown = F.exists("tags", lambda t: (t != "O") & ~kind(t).isin(*known))
+    checked = df.where(F.when(unknown, F.raise_error(F.lit("a row has a class that isn't mapped"))).otherwise(~F.exists("tags", lambda t: kind(t).isin(*poison) if poison else F.lit(False))))
+    # a span goes on while its class does and no B- begins another; its text is looked up at its first token
+    new = lambda i: (F.get("tags", i) != "O") & ((i == 0) | F.get("tags", i).startswith("B-") | (kind(F.coalesce(F.get("tags", i - 1), F.lit("O"))) != kind(F.get("tags", i))))
+    ix = F.when(F.size("tags") > 0, F.sequence(F.lit(0), F.size("tags") - 1)).otherwise(F.array().cast("array<int>"))
+    alone = lambda i: new(i) & ((i + 1 >= F.size("tags")) | (F.coalesce(F.get("tags", i + 1), F.lit("O")) == "O") | new(i + 1))
+    plain = lambda i: alone(i) & F.get("tokens", i).isin(*generic) if generic else F.lit(False)
+    label = lambda i: F.try_element_at(table, kind(F.get("tags", i)))
+    out = F.transform(ix, lambda i: F.when((F.get("tags", i) == "O") | label(i).isNull() | plain(i), F.lit("O")).otherwise(F.concat(F.when(new(i), F.lit("B-")).otherwise(F.lit("I-")), label(i))))
+    return checked.withColumn("tags", out)
+
+
+def augment_cases(df: DataFrame, key: str, lower: float = 0.35, upper: float = 0.05, drop_mark: float = 0.0, seed: int = 0) -> DataFrame:
+    """Rows by the hash of their key in lower case, in upper case, or as they are, and without a final sign; equal rows once."""
+    share = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cased = F.transform("tokens", lambda t: F.when(share("case") < lower, F.lower(t)).when(share("case") < lower + upper, F.upper(t)).otherwise(t))
+    drop = (share("mark") < drop_mark) & (F.size("tokens") > 1) & F.element_at("tokens", -1).rlike(r"\A[^\p{L}\p{N}]\z") & (F.element_at("tags", -1) == "O")
+    size = F.size("tokens") - drop.cast("int")
+    out = df.select(*[c for c in df.columns if c not in ("tokens", "tags")], F.slice(cased, F.lit(1), size).alias("tokens"), F.slice("tags", F.lit(1), size).alias("tags"))
+    first = out.groupBy("tokens", "tags").agg(F.min(key).alias(key))
+    return out.join(first.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_semi")
+
+
 def lower_augment(df: DataFrame, key: str, share: float) -> DataFrame:
     """Rows, and lower-case copies of a share of them."""
     copies = hash_sample(df, key, share, "lower:").withColumn("tokens", F.transform("tokens", F.lower)).withColumn("augmented", F.lit(True))

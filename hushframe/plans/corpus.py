@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import corpus as co
 from ..operators import detect
 from ..operators import model_tokens as mt
@@ -51,6 +52,17 @@ def quota_select(spark, sf_dir):
     return co.quota_select(s, 60, "region", "street", "s_suppkey")
 
 
+def homograph_rows(spark, sf_dir):
+    """The 30 part names of most parts by their first word, in three frames."""
+    n = table(spark, sf_dir, "part").groupBy(F.element_at(F.split("p_name", " "), 1).alias("name")).agg(F.count(F.lit(1)).alias("bearers"))
+    return co.homograph_rows(n, ["{name} ringde", "Hej {name}!", "hos {name}"])
+
+
+def filler_tokens(spark, sf_dir):
+    """Benchmark texts as filler tokens."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tx.tokenize_filler(F.col("text"))).alias("i", "token"))
+
+
 def corpus_rows(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("value"))
     return co.corpus_rows(n, "i", "value", ["Bor i {} nu", "{}", "Till {}"]).select("i", "gold", "text", "start", "end")
@@ -138,7 +150,7 @@ def gazetteer_hybrid(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (eval_leak, benchmark_contained, absent_names, template_cross, lexicon_join, quota_select, corpus_rows, gold_issues, pack_chunks, pack_batches, html_to_markdown, quality_gate, whole_word, clinical_filter, normalise_labels, token_entities, conversation_numbers, gazetteer_hybrid)
+    for f in (eval_leak, benchmark_contained, absent_names, template_cross, lexicon_join, quota_select, homograph_rows, filler_tokens, corpus_rows, gold_issues, pack_chunks, pack_batches, html_to_markdown, quality_gate, whole_word, clinical_filter, normalise_labels, token_entities, conversation_numbers, gazetteer_hybrid)
 }
 _CARD, _BANKGIRO = r"\b[0-9](?:[ -]?[0-9]){12,18}\b", r"\b[0-9]{3,4}\s{0,2}-\s{0,2}[0-9]{4}\b"
 
@@ -163,6 +175,12 @@ ORACLES = {
     "template_cross": "SELECT i, name, template, replace(['Hej {name}!', '{name} ringde.', 'Till {name} och co', 'Mejl från {name}'][template + 1], '{name}', name) AS text FROM (SELECT n_nationkey AS i, n_name AS name, ((n_nationkey + 6 * k) % 4)::INT AS template FROM nation, range(2) t(k))",
     "lexicon_join": """WITH c AS (SELECT lower(c_mktsegment) AS name, sum(c_custkey)::BIGINT AS bearers, min(c_custkey) AS rank FROM customer GROUP BY 1), w AS (SELECT ['building', 'machinery', 'x'][o_orderkey % 3 + 1] AS name, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS pos FROM orders GROUP BY 1)
         SELECT name, bearers, pos, rank FROM c JOIN w USING (name)""",
+    "homograph_rows": """WITH n AS (SELECT string_split(p_name, ' ')[1] AS name, count(*) AS bearers FROM part GROUP BY 1 ORDER BY bearers DESC, name LIMIT 30), f AS (SELECT * FROM (VALUES (0, '{name} ringde'), (1, 'Hej {name}!'), (2, 'hos {name}')) t(frame, t))
+        SELECT name, bearers, frame, replace(t, '{name}', name) AS text, (strpos(t, '{name}') - 1)::INT AS start, (strpos(t, '{name}') - 1 + length(name))::INT AS "end" FROM n, f""",
+    "filler_tokens": r"""WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS w FROM benchmark),
+        t AS (SELECT item_id, flatten(list_transform(w, lambda r: regexp_extract_all(r, '^[^A-Za-z0-9_ÅÄÖåäö]+$|^[^A-Za-z0-9_ÅÄÖåäö]+|[A-Za-z0-9_ÅÄÖåäö](?:.*[A-Za-z0-9_ÅÄÖåäö])?|[^A-Za-z0-9_ÅÄÖåäö]+$'))) AS x FROM w),
+        u AS (SELECT item_id, flatten(list_transform(x, lambda p: CASE WHEN regexp_matches(p, '[A-Za-z0-9_ÅÄÖåäö]') THEN [p] ELSE string_split(p, '') END)) AS t FROM t)
+        SELECT item_id, (unnest(range(len(t))))::INT AS i, unnest(t) AS token FROM u""",
     "corpus_rows": """WITH n AS (SELECT n_nationkey AS i, CASE n_nationkey % 6 WHEN 4 THEN lower(n_name) WHEN 5 THEN upper(n_name) ELSE n_name END AS gold, ['Bor i {} nu', '{}', 'Till {}'][n_nationkey % 3 + 1] AS t FROM nation)
         SELECT i, gold, replace(t, '{}', gold) AS text, (strpos(t, '{}') - 1)::INT AS start, (strpos(t, '{}') - 1 + length(gold))::INT AS "end" FROM n""",
     "gold_issues": f"""
@@ -182,7 +200,7 @@ ORACLES = {
     "pack_chunks": _packed("conversations", "conv_id", "turn", "turn").replace("SELECT g, o, chunk FROM f", "SELECT g AS conv_id, chunk, count(*) AS n FROM f GROUP BY g, chunk"),
     "pack_batches": _packed("benchmark", "0", "item_id", "item_id").replace("SELECT g, o, chunk FROM f", "SELECT o AS item_id, chunk FROM f"),
     "quality_gate": r"""WITH s AS (SELECT doc_id, string_split_regex(trim(unnest(string_split_regex(text, '[.\n]'))), ' +') AS t FROM documents)
-        SELECT doc_id, count(*) AS n FROM s WHERE len(t) BETWEEN 4 AND 40 AND len(list_filter(t, lambda w: regexp_full_match(w, '\p{L}+'))) >= greatest(3, len(t) / 2)
+        SELECT doc_id, count(*) AS n FROM s WHERE len(t) BETWEEN 4 AND 40 AND len(list_filter(t, lambda w: regexp_matches(w, '\p{L}'))) >= greatest(3, len(t) / 2)
             AND len(list_filter(t, lambda w: length(w) > 30 OR contains(w, 'http') OR contains(w, 'www.') OR contains(w, '@'))) = 0 GROUP BY doc_id""",
     "whole_word": r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}])the([^\p{L}]|$)')",
     "clinical_filter": f"SELECT p_partkey, [{', '.join(repr(v) for v, _ in _CLINICAL)}][p_size % {len(_CLINICAL)} + 1] AS value FROM part WHERE p_partkey % 3 = 0 OR p_size % {len(_CLINICAL)} IN (2, 4, 7)",

@@ -69,12 +69,38 @@ def read_sentences_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def quality_gate(tokens: Column) -> Column:
-    """4 to 40 tokens, at least 3 and half of them words, none very long, no links or addresses."""
-    words = F.size(F.filter(tokens, lambda t: t.rlike(r"\A\p{L}+\z")))
+    """4 to 40 tokens, at least 3 and half of them with a letter, none very long, no links or addresses."""
+    words = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}")))
     bad = F.exists(tokens, lambda t: (F.length(t) > 30) | t.contains("http") | t.contains("www.") | t.contains("@"))
     return F.size(tokens).between(4, 40) & (words >= 3) & (words * 2 >= F.size(tokens)) & ~bad
 
 
+def read_sentence_stream(spark: SparkSession, path: str, source: str, most: int | None = None) -> DataFrame:
+    """(tokens, src) of the sentences of large XML exports, compressed by bzip2 or not, that pass the gate; ``most`` rows at most.
+
+    A record ends with its sentence's end tag, so files are read in splits, compressed ones too, and the
+    scan stops once ``most`` rows are found.
+    """
+    body = F.regexp_extract("value", r"(?s).*<sentence[^>]*>(.*)\z", 1)
+    found = F.regexp_extract_all(body, F.lit(r"<token[^>]*>([^\r\n]*?)</token>"), F.lit(1))
+    tokens = F.filter(F.transform(found, lambda t: F.trim(decode_entities(t))), lambda t: t != "")
+    rows = spark.read.option("lineSep", "</sentence>").text(path).where(F.col("value").contains("<sentence")).select(tokens.alias("tokens"), F.lit(source).alias("src")).where(quality_gate(F.col("tokens")))
+    return rows if most is None else rows.limit(most)
+
+
+def read_lexicon_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(word, pos) of a lexicon's entries, an entry a record: its written form and part of speech features."""
+    feature = lambda name: F.regexp_extract("value", rf'<feat[^>]*att="{name}"[^>]*val="([^"]*)"', 1)
+    rows = spark.read.option("lineSep", "</LexicalEntry>").text(path)
+    return rows.select(decode_entities(feature("writtenForm")).alias("word"), feature("partOfSpeech").alias("pos")).where("word != ''")
+
+
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """(word, rank) of a list of words by frequency, one a line in a file of its own; ranks count from 1."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda w: F.trim(w) != "")).alias("rank", "line"))
+    return lines.select(F.element_at(F.split(F.trim("line"), r"\s+"), 1).alias("word"), (F.col("rank") + 1).alias("rank"))
+
+
 def read_marked_up(spark: SparkSession, path: str) -> DataFrame:
     """Lines with [PER:x] marks, and <k=v ...> before them: (line, meta, text, entities)."""
     entity = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("value", T.StringType())])
