@@ -15,7 +15,7 @@ from .detection import _values_sql, luhn_sql
 
 def eval_leak(spark, sf_dir):
     """Documents whose surface is another document's."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return co.eval_leak(d, d, id_col="doc_id").select("doc_id")
 
 
