@@ -12,7 +12,7 @@ The repeated hashes are broadcast while they are at most ``BROADCAST_HASHES`` (c
 count, about 100 bytes each); beyond that both sides are joined by shuffle on the hash.
 
 Edges: rows with a null text hold no content and are all kept; the empty text is content
-like any other. A null id is larger than any id. Of repeated rows, equal in id and text,
+like any other, and a very long one is hashed and compared whole. An empty table gives no rows. A null id is larger than any id. Of repeated rows, equal in id and text,
 one stays: the smallest by its remaining columns as JSON. Extra columns are carried along,
 whatever their names.
 """

@@ -278,7 +278,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     c_stratum, c_text, *c_cuts = spare(docs, "stratum", "text_", *[f"cut_{r}" for r in GRIDS])
     cuts = policy.table.select(F.col("stratum").alias(c_stratum), *[F.col(r).alias(c) for r, c in zip(GRIDS, c_cuts)])
     judged = docs.withColumn(c_stratum, _stratum(stratum_col)).join(_few(cuts), c_stratum, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").cast("string").alias(c_text), *c_cuts)
-    own, lexicon = len(docs.columns), policy.lexicon
+    own, names, lexicon = len(docs.columns), docs.columns, policy.lexicon
 
     def run(items):
         scorer = Scorer(lexicon)
@@ -289,6 +289,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for k, x in enumerate(rules):
                 cut = b.column(own + 1 + k).cast(pa.float64()).fill_null(math.inf).to_numpy()
                 keep[at[x > cut[at]]] = False
-            yield b.select(list(range(own))).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:own], names).filter(pa.array(keep, pa.bool_()))
 
-    return judged.mapInArrow(run, docs.schema)
+    # by place: a name with a dot couldn't be given to the function
+    return judged.toDF(*[f"c{k}" for k in range(len(judged.columns))]).mapInArrow(run, docs.schema)
