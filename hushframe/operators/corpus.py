@@ -168,7 +168,7 @@ def pack_chunks(df: DataFrame, order: str, text: str = "text", most: int = 48_00
     """
     by = keys or []
     schema = T.StructType([*df.schema.fields, T.StructField("chunk", T.IntegerType(), False)])
-    at_keys, at_text, many = [df.columns.index(k) for k in by], df.columns.index(text), most
+    at_keys, at_text, names = [df.columns.index(k) for k in by], df.columns.index(text), df.columns
 
     def run(items):
         group, chunk, size = None, 0, 0
@@ -176,19 +176,20 @@ def pack_chunks(df: DataFrame, order: str, text: str = "text", most: int = 48_00
             lens = pc.utf8_length(b.column(at_text)).fill_null(0).to_pylist()
             out = []
             for k, n in zip(zip(*(b.column(c).to_pylist() for c in at_keys)) if at_keys else [()] * len(lens), lens):
-                if n > many:
+                if n > most:
                     raise ValueError("a row is over the limit")
                 if k != group:
                     group, chunk, size = k, 0, 0
-                if size + n > many:
+                if size + n > most:
                     chunk, size = chunk + 1, 0
                 size += n
                 out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*df_names, "chunk"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*names, "chunk"])
 
-    df_names = df.columns
-    placed = df.repartition(*by) if by else df.coalesce(1)
-    return placed.sortWithinPartitions(*by, order, text).mapInArrow(run, schema)
+    safe = df.toDF(*[f"c{k}" for k in range(len(names))])  # a name with a dot couldn't be given to the function
+    groups, last = [f"c{k}" for k in at_keys], [f"c{names.index(order)}", f"c{at_text}"]
+    placed = safe.repartition(*groups) if by else safe.coalesce(1)
+    return placed.sortWithinPartitions(*groups, *last).mapInArrow(run, schema)
 
 
 _DROP = {"script", "style", "nav", "footer", "header", "aside", "noscript", "template", "svg", "form", "button", "head", "iframe"}
