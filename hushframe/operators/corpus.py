@@ -106,7 +106,8 @@ def quota_select(df: DataFrame, n: int, region: str, street: str, key: str, per_
     held = once.withColumn("_s", F.row_number().over(Window.partitionBy(region, street).orderBy("_h", key))).where(F.col("_s") <= per_street)
     regions = held.select(region).distinct().count()
     quota = -(-n // max(1, regions))
-    placed = held.withColumn("_r", F.row_number().over(Window.partitionBy(region).orderBy("_h", key)))
+    # a row that n of its region come before can't be among the first n, so tasks drop it before the shuffle
+    placed = held.withColumn("_r", F.row_number().over(Window.partitionBy(region).orderBy("_h", key))).where(F.col("_r") <= n)
     return placed.orderBy(F.col("_r") > quota, "_h", key).limit(n).drop("_h", "_n", "_s", "_r")
 
 

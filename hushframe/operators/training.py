@@ -189,12 +189,18 @@ def stratum(tags: Column, tokens: Column) -> Column:
 
 
 def stratified_round_robin(df: DataFrame, strata: str, source: str, key: str, budgets: dict[str, int]) -> DataFrame:
-    """Of each stratum its budget, sources taking turns, rows of a source by hash."""
+    """Of each stratum its budget, sources taking turns, rows of a source by hash.
+
+    A row's place is at least its turn, so turns and places over the largest budget go early: Spark keeps so many rows a
+    group in each task before it shuffles, and no stratum is sorted whole.
+    """
+    most = max(budgets.values(), default=0)
     h = df.withColumn("_h", hash_share(F.col(key).cast("string")))
     turn = F.row_number().over(Window.partitionBy(strata, source).orderBy("_h", key))
     place = F.row_number().over(Window.partitionBy(strata).orderBy("_turn", source))
     budget = F.create_map(*[F.lit(x) for kv in budgets.items() for x in kv])
-    return h.withColumn("_turn", turn).withColumn("_place", place).where(F.col("_place") <= F.coalesce(F.try_element_at(budget, F.col(strata)), F.lit(0))).drop("_h", "_turn", "_place")
+    near = h.withColumn("_turn", turn).where(F.col("_turn") <= most).withColumn("_place", place).where(F.col("_place") <= most)
+    return near.where(F.col("_place") <= F.coalesce(F.try_element_at(budget, F.col(strata)), F.lit(0))).drop("_h", "_turn", "_place")
 
 
 def audit(rows: DataFrame, validation: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import model_tokens as mt
 from ..sources.readers import quality_gate as gate
 from .common import spread, table
 from .detection import _values_sql, luhn_sql
+from .training import fnv_sql
 
 
 def eval_leak(spark, sf_dir):
@@ -175,6 +176,10 @@ ORACLES = {
     "template_cross": "SELECT i, name, template, replace(['Hej {name}!', '{name} ringde.', 'Till {name} och co', 'Mejl från {name}'][template + 1], '{name}', name) AS text FROM (SELECT n_nationkey AS i, n_name AS name, ((n_nationkey + 6 * k) % 4)::INT AS template FROM nation, range(2) t(k))",
     "lexicon_join": """WITH c AS (SELECT lower(c_mktsegment) AS name, sum(c_custkey)::BIGINT AS bearers, min(c_custkey) AS rank FROM customer GROUP BY 1), w AS (SELECT ['building', 'machinery', 'x'][o_orderkey % 3 + 1] AS name, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS pos FROM orders GROUP BY 1)
         SELECT name, bearers, pos, rank FROM c JOIN w USING (name)""",
+    "quota_select": f"""WITH s AS (SELECT s_suppkey, s_nationkey % 5 AS region, floor(s_acctbal / 100)::BIGINT AS street, {fnv_sql("s_suppkey::VARCHAR")} AS h FROM supplier),
+        k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY region, street ORDER BY h, s_suppkey) <= 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY h, s_suppkey) AS r FROM k)
+        SELECT s_suppkey, region, street FROM r ORDER BY r > ceil(60 / (SELECT count(DISTINCT region) FROM k)), h, s_suppkey LIMIT 60""",
     "homograph_rows": """WITH n AS (SELECT string_split(p_name, ' ')[1] AS name, count(*) AS bearers FROM part GROUP BY 1 ORDER BY bearers DESC, name LIMIT 30), f AS (SELECT * FROM (VALUES (0, '{name} ringde'), (1, 'Hej {name}!'), (2, 'hos {name}')) t(frame, t))
         SELECT name, bearers, frame, replace(t, '{name}', name) AS text, (strpos(t, '{name}') - 1)::INT AS start, (strpos(t, '{name}') - 1 + length(name))::INT AS "end" FROM n, f""",
     "filler_tokens": r"""WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS w FROM benchmark),

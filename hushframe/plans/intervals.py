@@ -87,6 +87,12 @@ ORACLES = {
         WITH {GOLD}, r AS (SELECT *, max(e) OVER w AS reach FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY s, e DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e DESC, label ROWS UNBOUNDED PRECEDING) AS k FROM r)
         SELECT doc_id, min(s) AS start, max(e) AS "end", first(label ORDER BY s, e DESC, label) AS label FROM i GROUP BY doc_id, k""",
+    "resolve_overlaps": f"""
+        WITH RECURSIVE {GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, s - e, label) AS i FROM g),
+        f AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, -1 AS cur, 0 AS s, 0 AS e, '' AS label, FALSE AS kept FROM g
+            UNION ALL SELECT r.doc_id, r.i, CASE WHEN k THEN r.e ELSE cur END, greatest(r.s, cur), r.e, r.label, k
+            FROM (SELECT r.*, f.cur, r.s >= f.cur OR r.e - f.cur >= 2 AS k FROM f JOIN r ON r.doc_id = f.doc_id AND r.i = f.i + 1) r)
+        SELECT doc_id, s AS start, e AS "end", label FROM f WHERE kept""",
     "merge_adjacent": f"""
         WITH {GOLD}, r AS (SELECT *, max(e) OVER w AS reach FROM g WINDOW w AS (PARTITION BY doc_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM r)

@@ -113,6 +113,16 @@ _EXACT = f"""{GOLD}, {TYPED}, gc AS (SELECT doc_id, s, e, count(*) AS g FROM g G
     b AS (SELECT doc_id, s, e, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM gc FULL JOIN pc USING (doc_id, s, e)),
     x AS (SELECT doc_id, sum(least(g, p))::BIGINT AS tp, sum(least(coalesce(t, 0), g, p))::BIGINT AS typed_tp, sum(p - least(g, p))::BIGINT AS fp, sum(g - least(g, p))::BIGINT AS fn FROM b LEFT JOIN tc USING (doc_id, s, e) GROUP BY doc_id)"""
 ORACLES = {
+    "score_greedy": f"""
+        WITH RECURSIVE {GOLD}, {TYPED}, a AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label) AS j FROM g),
+        b AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label) AS i FROM t),
+        l AS (SELECT doc_id, list({{'j': j, 's': s, 'e': e, 'label': label}} ORDER BY j) AS gs FROM a GROUP BY doc_id),
+        f AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::BIGINT[] AS used FROM b
+            UNION ALL SELECT doc_id, i, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END
+            FROM (SELECT b.doc_id, b.i, f.used, list_filter(coalesce(l.gs, []), lambda x: x.label = b.label AND x.s < b.e AND b.s < x.e AND NOT list_contains(f.used, x.j))[1].j AS j
+                FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i + 1 LEFT JOIN l ON l.doc_id = f.doc_id)),
+        h AS (SELECT doc_id, max(len(used)) AS tp, max(i) AS n FROM f GROUP BY doc_id)
+        SELECT doc_id, coalesce(tp, 0) AS tp, coalesce(n, 0) - coalesce(tp, 0) AS fp, coalesce(len(gs), 0) - coalesce(tp, 0) AS fn FROM h FULL JOIN l USING (doc_id)""",
     "score_exact": f"WITH {_EXACT} SELECT * FROM x",
     "score_micro": f"""WITH {_EXACT}, s AS (SELECT sum(tp)::BIGINT AS tp, sum(typed_tp)::BIGINT AS typed_tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM x)
         SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS f1, round(2.0 * typed_tp / (2 * tp + fp + fn), 6)::DOUBLE AS typed_f1 FROM s""",

@@ -104,7 +104,7 @@ def template_rows(spark, sf_dir):
     return g.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fnv_sql(c: str) -> str:
+def fnv_sql(c: str) -> str:
     """FNV-1a of an ASCII string."""
     return f"list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length({c}) + 1), lambda i: unicode(({c})[i])::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
 
@@ -122,11 +122,11 @@ ORACLES = {
         SELECT n, bad_tags, bad_lengths, orphans, distinct_rows, round((n - distinct_rows) / n, 6) AS duplicate_share, overlap_share FROM t, v""",
     "dedupe_first": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",
     "hash_shares": "SELECT c_custkey, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(c_name) + 1), lambda i: unicode(c_name[i])::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h FROM customer",
-    "hash_sample": f"SELECT doc_id FROM documents WHERE {_fnv_sql("'dev:' || doc_id")} / 4294967296.0 < 0.1",
-    "group_split": f"""WITH g AS (SELECT DISTINCT source FROM documents), h AS (SELECT source, row_number() OVER (ORDER BY {_fnv_sql('source')}, source) AS i, count(*) OVER () AS n FROM g)
+    "hash_sample": f"SELECT doc_id FROM documents WHERE {fnv_sql("'dev:' || doc_id")} / 4294967296.0 < 0.1",
+    "group_split": f"""WITH g AS (SELECT DISTINCT source FROM documents), h AS (SELECT source, row_number() OVER (ORDER BY {fnv_sql('source')}, source) AS i, count(*) OVER () AS n FROM g)
         SELECT doc_id, source, CASE WHEN i <= least(floor(n * 0.2 + 0.5), n - 1) THEN 'dev' ELSE 'train' END AS part FROM documents JOIN h USING (source)""",
-    "lower_augment": f"SELECT FALSE AS augmented, count(*) AS tokens FROM lineitem UNION ALL SELECT TRUE, count(*) FROM lineitem WHERE {_fnv_sql("'lower:' || l_orderkey")} / 4294967296.0 < 0.3",
-    "stratified_round_robin": f"""WITH h AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {_fnv_sql("o_orderkey::VARCHAR")}, o_orderkey) AS turn FROM orders)
+    "lower_augment": f"SELECT FALSE AS augmented, count(*) AS tokens FROM lineitem UNION ALL SELECT TRUE, count(*) FROM lineitem WHERE {fnv_sql("'lower:' || l_orderkey")} / 4294967296.0 < 0.3",
+    "stratified_round_robin": f"""WITH h AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {fnv_sql("o_orderkey::VARCHAR")}, o_orderkey) AS turn FROM orders)
         SELECT o_orderkey, o_orderstatus, o_orderpriority FROM h QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY turn, o_orderpriority) <= CASE o_orderstatus WHEN 'P' THEN 10 WHEN 'F' THEN 30 WHEN 'O' THEN 30 ELSE 0 END""",
     "manifest": """WITH h AS (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS h FROM customer),
         s AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {at}, {size}))::UBIGINT::HUGEINT) AS s{at}" for at, size in tr._PIECES) + """ FROM h)
