@@ -158,6 +158,12 @@ def is_whole(text: str, s: int, e: int) -> bool:
     return not (s > 0 and _LETTERS.match(text[s - 1])) and not (e < len(text) and _LETTERS.match(text[e]))
 
 
+def whole_word(text: Column, start: Column, end: Column) -> Column:
+    """M9 as an expression."""
+    letter = lambda at: F.substr(text, at, F.lit(1)).rlike(r"\A\p{L}")
+    return ~(((start > 0) & letter(start)) | letter(end + 1))
+
+
 def _widened(text: str, s: int, e: int, kind: str) -> tuple[int, int]:
     """Whole words, a genitive's s, and an address's number and entrance; less words that introduce an identifier."""
     while s > 0 and _LETTERS.match(text[s - 1]):

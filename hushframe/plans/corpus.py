@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import corpus as co
-from ..operators import detect
+from ..operators import detect, redact
 from ..operators import model_tokens as mt
 from ..sources.readers import quality_gate as gate
 from .common import spread, table
@@ -103,7 +103,9 @@ def quality_gate(spark, sf_dir):
 
 def whole_word(spark, sf_dir):
     """Documents where 'the' stands as a word."""
-    return table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"(?<!\p{L})the(?!\p{L})")).select("doc_id")
+    low = F.lower("text")
+    whole = F.exists(tx.matches(low, "the"), lambda m: mt.whole_word(low, m["start"], m["end"]))
+    return table(spark, sf_dir, "documents").where(whole).select("doc_id")
 
 
 _CLINICAL = [("Puls 72", ""), ("Alvedon forte 500", " mg x 3"), ("Alvedon forte 500", " stycken"), (" Penicillin", " hjälper"), ("Anna Berg", " mg"), ("Journalnr AB12-345C", ""), ("blodtryck: 120", "/80"), ("Pulsen 72", " mgr")]
@@ -136,10 +138,8 @@ def token_entities(spark, sf_dir):
 
 def conversation_numbers(spark, sf_dir):
     """Speakers' roles numbered within a conversation by first turn."""
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    return c.select("conv_id", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("first", "role")).alias("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("start"), F.lit("ROLE").alias("label"), F.col("role").alias("value"))
+    return redact.assign_placeholders(c, keys=("conv_id",)).select("conv_id", F.col("value").alias("role"), "n").distinct()
 
 
 def gazetteer_hybrid(spark, sf_dir):

@@ -55,7 +55,7 @@ def redact_from_spans(spark, sf_dir):
 
 def _values(name: str, source: str, key: str, column: str):
     def query(spark, sf_dir):
-        t = table(spark, sf_dir, source).select(F.col(key).alias("doc_id"), F.col(column).alias("text"))
+        t = spread(table(spark, sf_dir, source).select(F.col(key).alias("doc_id"), F.col(column).alias("text")))
         return detect.native_spans(t, name).select("doc_id", "start", "end", "value")
 
     return query
@@ -79,6 +79,18 @@ def luhn_sql(c: str) -> str:
     return f"(length({d}) > 0 AND list_sum(list_transform(range(1, length({d}) + 1), lambda k: CASE WHEN (length({d}) - k) % 2 = 0 THEN substr({d}, k, 1)::INT ELSE 2 * substr({d}, k, 1)::INT - 9 * (substr({d}, k, 1)::INT > 4)::INT END)) % 10 = 0)"
 
 
+_BANKGIRO_TEXT = "SELECT o_orderkey, 'betala till ' || o_orderkey || '-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || ' eller ' || (o_orderkey % 1000) || ' - ' || lpad((o_custkey * 7 % 10000)::VARCHAR, 4, '0') || '.' AS text FROM orders"
+
+
+def detect_bankgiro(spark, sf_dir):
+    """Payment texts made from orders' keys, a tenth of whose numbers have the right check digit."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    four = lambda x: F.lpad(x.cast("string"), 4, "0")
+    text = F.concat(F.lit("betala till "), k.cast("string"), F.lit("-"), four(c % 10000), F.lit(" eller "), (k % 1000).cast("string"), F.lit(" - "), four(c * 7 % 10000), F.lit("."))
+    t = table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
+    return detect.native_spans(t, "bankgiro").select("doc_id", "start", "end", "value")
+
+
 def detect_email(spark, sf_dir):
     return detect.spans(_documents(spark, sf_dir), names=["email"]).select("doc_id", "value")
 
@@ -195,7 +207,7 @@ def strip_invisible_documents(spark, sf_dir):
 
 def tokenize_documents(spark, sf_dir):
     """Tokens of documents' whole texts with their places."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("t")).select("doc_id", "t.start", "t.end", "t.value")
+    return _documents(spark, sf_dir).select("doc_id", F.explode(tx.tokenize(F.col("text"))).alias("t")).select("doc_id", "t.start", "t.end", "t.value")
 
 
 def label_counts_documents(spark, sf_dir):
@@ -216,7 +228,7 @@ QUERIES = {
     "redact_from_spans": redact_from_spans,
     "detect_ip": _values("ip", "documents", "doc_id", "text"),
     "detect_card": _values("card", "documents", "doc_id", "text"),
-    "detect_bankgiro": _values("bankgiro", "documents", "doc_id", "text"),
+    "detect_bankgiro": detect_bankgiro,
     "detect_url": _values("url", "pages", "page_id", "html"),
     "detect_email": detect_email,
     "detect_all": detect_all,
@@ -247,7 +259,7 @@ ORACLES = {
     "restore_text": "SELECT doc_id, TRUE AS same FROM documents",
     "detect_ip": _values_sql(rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", "documents", "doc_id", "text"),
     "detect_card": _values_sql(r"\b[0-9](?:[ -]?[0-9]){12,18}\b", "documents", "doc_id", "text", luhn_sql("value")),
-    "detect_bankgiro": _values_sql(r"\b[0-9]{3,4}\s{0,2}-\s{0,2}[0-9]{4}\b", "documents", "doc_id", "text", luhn_sql("value")),
+    "detect_bankgiro": _values_sql(r"\b[0-9]{3,4}\s{0,2}-\s{0,2}[0-9]{4}\b", f"({_BANKGIRO_TEXT})", "o_orderkey", "text", luhn_sql("value")),
     "detect_url": _values_sql(r"""(?i)\b(?:https?://|www\.)[^\s<>")]*[^\s<>").,;:!?]""", "pages", "page_id", "html"),
     "detect_email": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents",
     "label_counts": " UNION ALL ".join(f"SELECT '{t}' AS label, count(*) * {2 if t == 'EPOST' else 1} AS n FROM customer" for t in _TOKENS),
