@@ -173,10 +173,15 @@ def iso_dates(spark, sf_dir):
 
 
 def approved_fixtures(spark, sf_dir):
+    """Addresses, numbers and test values made from customers' keys, and which of them a fixture may hold."""
     k = F.col("c_custkey")
-    ip = F.concat(F.when(k % 2 == 0, "192.0.2.").otherwise("10.0.2."), (k % 256).cast("string"))
-    mail = F.concat(F.lit("a@"), F.when(k % 3 == 0, "mail.example.com").when(k % 3 == 1, "x.test").otherwise("example.com.invalidx"))
-    return table(spark, sf_dir, "customer").select("c_custkey", v.approved_ip(ip).alias("ip"), v.approved_email(mail).alias("email"))
+    pick = lambda *x: F.get(F.array(*map(F.lit, x)), (k % len(x)).cast("int"))
+    two = F.lpad((k % 100).cast("string"), 2, "0")
+    ip = F.concat(pick("192.0.2.", "10.0.2.", "172.31.1.", "172.32.1.", "8.8.4."), (k % 256).cast("string"))
+    mail = F.concat(F.lit("a@"), pick("mail.example.com", "X.test", "example.com.invalidx", "notexample.com"))
+    phone = F.concat(pick("+46 (0)70-174 06 ", "031-390 06 ", "+46 40 628 04 ", "08-123 456 "), two)
+    value, label = pick("850601-2387", "162021004748", "SE42 8000 0890 1191 4616 8423", "991-2347"), pick("PERSONNUMMER", "ORGANISATIONSNUMMER", "IBAN", "BANKGIRO")
+    return table(spark, sf_dir, "customer").select("c_custkey", v.approved_ip(ip).alias("ip"), v.approved_email(mail).alias("email"), v.approved_phone(phone).alias("phone"), v.approved_test_value(value, label).alias("test_value"))
 
 
 def privacy_issues(spark, sf_dir):
@@ -280,7 +285,7 @@ ORACLES = {
         SELECT o_orderkey, {luhn_sql("n")} AS luhn, {_dates_sql(0)} AS personal_shape, {_dates_sql(60)} AS coordination_shape,
                {_dates_sql(0)} AND {luhn_sql("n")} AS personal, {_dates_sql(60)} AND {luhn_sql("n")} AS coordination, substr(n, 3, 1) >= '2' AND {luhn_sql("n")} AS organisation FROM {_NUMBERS}""",
     "iso_dates": "SELECT o_orderkey, try_cast('2024-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS DATE) IS NOT NULL AS valid FROM orders",
-    "approved_fixtures": "SELECT c_custkey, c_custkey % 2 = 0 AS ip, c_custkey % 3 < 2 AS email FROM customer",
+    "approved_fixtures": "SELECT c_custkey, c_custkey % 5 < 3 AS ip, c_custkey % 4 < 2 AS email, CASE c_custkey % 4 WHEN 0 THEN c_custkey % 100 >= 5 WHEN 3 THEN FALSE ELSE TRUE END AS phone, c_custkey % 4 < 3 AS test_value FROM customer",
     "identifier_scrub": r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9]{6}[-+]?[0-9]{4}|@|(?i:https?://)|(?i:www\.)')",
     "token_ranges": "SELECT c_custkey AS doc_id, '[' || unnest(['" + "','".join(_TOKENS) + "']) || '_1]' AS value, unnest([" + ",".join("2" if t == "EPOST" else "1" for t in _TOKENS) + "])::BIGINT AS n FROM customer",
 }

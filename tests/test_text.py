@@ -128,7 +128,7 @@ def test_html_negotiation_and_difference():
 def test_unapproved_identifiers():
     from hushframe.operators.detect import unapproved
 
-    t = "ip 192.0.2.7 mejl a@example.com ring 070-174 06 05\nip 10.1.2.3 org 202100-4748"
+    t = "ip 192.0.2.7 mejl a@example.com ring 070-174 06 05\nip 11.1.2.3 org 202100-4748"
     assert [(d["label"], d["line"]) for d in unapproved(t, known=["202100-4748"])] == [("IP_ADRESS", 2)]
     assert unapproved(t, known=["202100-4748"], protected=[(50, 65)]) == []
 
