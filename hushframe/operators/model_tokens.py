@@ -22,9 +22,11 @@ from .redact import redact_found
 
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 _LETTERS, _NUMBERS = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
-_END = r"(?=$|[^\p{L}\p{N}])"
+_AN = r"[\p{L}\p{N}]"
+_END = f"(?!{_AN})"
 #: What may follow a street: its number, perhaps with a letter.
-HOUSE_NUMBER = regex.compile(rf"\s+(?:nr\s+)?[0-9]{{1,4}}(?:\s?[A-Da-d])?{_END}")
+_NUMBER = r"\s+(?:nr\s+)?[0-9]{1,4}(?:\s?[A-Da-d])?"
+HOUSE_NUMBER = regex.compile(_NUMBER + _END)
 _ENTRANCE = regex.compile(rf"\s+[A-Da-d]{_END}")
 _LABEL_WORD = regex.compile(r"(?i)[\s,;:(]{1,16}(?:org|(?:org|p|person)?nr)\.?\Z")
 _STREET_TAIL = regex.compile(r"(?i)(?:gata|gatan|väg|vägen|gränd|gränden|allé|allén|torg|torget|plan)\s+\p{N}")
@@ -314,8 +316,9 @@ def hybrid(text: str, model: list[dict], names: Iterable[str], keep: Callable[[d
 CARE_TERMS = frozenset({"vaken", "penicillin", "pneumoni", "hemrehab", "ordinera hemrehab", "dietist", "diabetes", "vfu huvudtrauma"})
 _READINGS = "puls|bt|blodtryck|temp|temperatur|sat|saturation|spo2|hb|crp|gcs|af|na|natrium|kalium|kreatinin|troponin|glukos|p-glukos|mottagning|vårdas[ \t]+avd"
 MEASURE = rf"(?i)\A(?:{_READINGS})(?![A-Za-z0-9_])[\s:=/-]*x?[0-9]"
-JOURNAL = r"(?i)\Ajournal(?:nummer|nr)(?![A-Za-z0-9_])[\s:#-]*(?:(?:[\p{L}\p{N}]{2,12}[-/]){1,3}[\p{L}\p{N}]{2,12}|[0-9]{5,20})\z"
-DOSE = r"\A\p{L}[\p{L}'’-]*(?:\s+\p{L}[\p{L}'’-]*){0,2}\s+[0-9]+(?:[.,][0-9]+)?\z"
+_PART, _NAME, _AMOUNT = f"{_AN}{{2,12}}", r"\p{L}(?:\p{L}|['’-])*", "[0-9]+(?:[.,][0-9]+)?"
+JOURNAL = rf"(?i)\Ajournal(?:nummer|nr)(?![A-Za-z0-9_])[\s:#-]*(?:{_PART}(?:[-/]{_PART}){{1,3}}|[0-9]{{5,20}})\z"
+DOSE = rf"\A{_NAME}(?:\s+{_NAME}){{0,2}}\s+{_AMOUNT}\z"
 UNIT_AFTER = r"(?i)\A\s*(?:mikrogram|mg/ml|mmol/l|mmhg|mg|ml|ie|g|[µμ]g)(?![\p{L}])"
 
 
@@ -343,7 +346,7 @@ def normalised(text: Column, start: Column, end: Column, label: Column, towns: I
     value = F.substring(text, start + 1, end - start)
     town = (label == "ORGANISATION") & (value == F.lower(value)) & value.isin(*towns)
     named = F.when(town, F.lit("PLATS")).otherwise(label)
-    number = F.regexp_extract(F.substring(text, end + 1, 64), r"\A(\s+(?:nr\s+)?[0-9]{1,4}(?:\s?[A-Da-d])?)(?=\z|[^\p{L}\p{N}])", 1)
+    number = F.regexp_extract(F.substring(text, end + 1, 64), rf"\A({_NUMBER}){_END}", 1)
     takes = named.isin("ADRESS", "PLATS", "ORGANISATION") & value.rlike(STREET) & (number != "")
     e = F.when(takes, end + F.length(number)).otherwise(end)
     return F.struct(start.alias("start"), e.alias("end"), F.substring(text, start + 1, e - start).alias("value"), F.when(takes, F.lit("ADRESS")).otherwise(named).alias("label"))
