@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.patterns import S
 from ..functions.text import safe_lower_text as safe_lower
 from .detect import FIELDS, SPAN, detect_text
 from .redact import redact_found
@@ -32,6 +33,9 @@ _LABEL_WORD = regex.compile(r"(?i)[\s,;:(]{1,16}(?:org|(?:org|p|person)?nr)\.?\Z
 _STREET_TAIL = regex.compile(r"(?i)(?:gata|gatan|väg|vägen|gränd|gränden|allé|allén|torg|torget|plan)\s+\p{N}")
 _NAMES = {"PER": "NAMN", "ORG": "ORGANISATION", "LOC": "PLATS", "ADR": "ADRESS"}
 MOST_GAP = 32
+#: How far before the middle a text is searched for white space to cut at.
+LOOK_BACK = 200
+_BLANK = regex.compile(S)
 #: Words a tagger takes for names where names use to stand; a span that is nothing else is dropped.
 DENIED = frozenset(
     """anhörig anhöriga aw bankgiro bankgirot betalkonto buss bussen butik butiken byrå byrån dotter dottern dr e-post ekonomi epost gamla goddag
@@ -43,23 +47,37 @@ DENIED = frozenset(
 ) | {"betalkonto iban"}
 
 
-def split_point(n: int, blanks: Iterable[int] = (), look_back: int = 200) -> tuple[int, int]:
-    """M2: (end of the first half, start of the second) of n characters, cut at white space near the middle."""
+def split_point(text: str) -> tuple[int, int]:
+    """M2: where the first part of a text ends and the second begins: they overlap around the white space that is nearest before the middle, if one is
+    near, and around the middle otherwise, so that both are shorter than the whole."""
+    n = len(text)
     half, lap = n // 2, min(100, n // 8)
-    at = max((b for b in blanks if half - look_back <= b <= half), default=half)
-    at = at if at - lap > 0 else half
-    return at, max(1, at - lap) if at > 1 else at
+    mid = next((i for i in range(half, max(half - LOOK_BACK, 1), -1) if i < n and _BLANK.match(text[i])), half)
+    mid = mid if lap < mid and mid + lap < n else half
+    return mid + lap, mid - lap
+
+
+def split_points(text: Column) -> Column:
+    """M2 as an expression: struct(left_end, right_start)."""
+    n = F.length(text)
+    half, lap = F.floor(n / 2).cast("int"), F.least(F.lit(100), F.floor(n / 8).cast("int"))
+    low = F.greatest(half - LOOK_BACK + 1, F.lit(2))
+    near = F.substr(text, low + 1, F.greatest(half - low + 1, F.lit(0)))
+    blank = F.when(near.rlike(S), low + F.length(F.regexp_extract(near, f"(?s)\\A(.*){S}", 1))).otherwise(half)
+    mid = F.when((lap < blank) & (blank + lap < n), blank).otherwise(half)
+    return F.struct((mid + lap).alias("left_end"), (mid - lap).alias("right_start"))
 
 
 def chunks(text: str, fits: Callable[[str], bool], offset: int = 0) -> Iterator[tuple[int, str]]:
-    """M1: pieces that fit, each with its place; both halves are shorter than the whole, so this ends."""
-    if len(text) < 2 or fits(text):
-        yield offset, text
-        return
-    end, start = split_point(len(text), [k for k, ch in enumerate(text) if ch.isspace()])
-    end, start = max(1, min(end, len(text) - 1)), max(1, min(start, len(text) - 1))
-    yield from chunks(text[:end], fits, offset)
-    yield from chunks(text[start:], fits, offset + start)
+    """M1: pieces that fit, each with its place; both parts are shorter than the whole, so this ends."""
+    todo = [(offset, text)]
+    while todo:
+        at, part = todo.pop()
+        if len(part) < 2 or fits(part):
+            yield at, part
+            continue
+        end, start = split_point(part)
+        todo += [(at + start, part[start:]), (at, part[:end])]
 
 
 def label_of(group: str, names: dict[str, str | None] | None = None) -> str | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.patterns import S
 from ..operators import corpus as co
 from ..operators import detect, redact
 from ..operators import model_tokens as mt
@@ -127,6 +128,12 @@ def normalise_labels(spark, sf_dir):
     return t.select("c_custkey", d.alias("d")).select("c_custkey", "d.end", "d.value", "d.label")
 
 
+def split_points(spark, sf_dir):
+    """Where each document would be cut in two for a tagger."""
+    at = mt.split_points(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", at.alias("s")).select("doc_id", "s.left_end", "s.right_start")
+
+
 def token_entities(spark, sf_dir):
     """Documents cut into word pieces whose capitalized ones are tagged, without places; spans by reconstruction."""
     piece = F.regexp_extract_all("text", F.lit(r"\p{L}+|[^\s\p{L}]"), F.lit(0))
@@ -151,7 +158,7 @@ def gazetteer_hybrid(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (eval_leak, benchmark_contained, absent_names, template_cross, lexicon_join, quota_select, homograph_rows, filler_tokens, corpus_rows, gold_issues, pack_chunks, pack_batches, html_to_markdown, quality_gate, whole_word, clinical_filter, normalise_labels, token_entities, conversation_numbers, gazetteer_hybrid)
+    for f in (eval_leak, benchmark_contained, absent_names, template_cross, lexicon_join, quota_select, homograph_rows, filler_tokens, corpus_rows, gold_issues, pack_chunks, pack_batches, html_to_markdown, quality_gate, whole_word, clinical_filter, normalise_labels, split_points, token_entities, conversation_numbers, gazetteer_hybrid)
 }
 _CARD, _BANKGIRO = r"\b[0-9](?:[ -]?[0-9]){12,18}\b", r"\b[0-9]{3,4}\s{0,2}-\s{0,2}[0-9]{4}\b"
 
@@ -212,6 +219,11 @@ ORACLES = {
     "normalise_labels": r"""WITH t AS (SELECT c_custkey, ['umeå', 'Umeå', 'Storgatan', 'Nya Torget', 'Bolaget'][c_custkey % 5 + 1] AS v, [' nr 12 B', ' 4', '', ' 7', ''][c_nationkey % 5 + 1] AS tail, CASE WHEN c_custkey % 7 = 0 THEN 'NAMN' ELSE 'ORGANISATION' END AS label FROM customer),
         k AS (SELECT *, label <> 'NAMN' AND v IN ('Storgatan', 'Nya Torget') AND tail <> '' AS takes FROM t)
         SELECT c_custkey, (4 + length(v) + CASE WHEN takes THEN length(tail) ELSE 0 END)::INT AS "end", v || CASE WHEN takes THEN tail ELSE '' END AS value, CASE WHEN takes THEN 'ADRESS' WHEN v = 'umeå' AND label = 'ORGANISATION' THEN 'PLATS' ELSE label END AS label FROM k""",
+    "split_points": f"""WITH t AS (SELECT doc_id, text, length(text) AS n, (length(text) // 2)::INT AS half, least(100, length(text) // 8)::INT AS lap FROM documents),
+        w AS (SELECT *, greatest(half - 199, 2) AS low, substring(text, greatest(half - 199, 2)::BIGINT + 1, greatest(half - greatest(half - 199, 2) + 1, 0)::BIGINT) AS near FROM t),
+        b AS (SELECT *, CASE WHEN regexp_matches(near, '{S}') THEN low + length(regexp_extract(near, '(?s)^(.*){S}', 1)) ELSE half END AS blank FROM w),
+        m AS (SELECT *, CASE WHEN lap < blank AND blank + lap < n THEN blank ELSE half END AS mid FROM b)
+        SELECT doc_id, (mid + lap)::INT AS left_end, (mid - lap)::INT AS right_start FROM m""",
     "token_entities": _values_sql(r"\p{L}+|[^\s\p{L}]", "documents", "doc_id", "text", "regexp_full_match(value, '[A-Z][a-z]+')").replace('AS "end", value FROM', "AS \"end\", value, 'NAMN' AS label FROM"),
     "conversation_numbers": "SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role)::INT AS n FROM conversations GROUP BY conv_id, role",
     "gazetteer_hybrid": """SELECT n_nationkey AS doc_id, unnest([0, 14])::INT AS start, unnest([9, 16])::INT AS "end", unnest(['Anna Berg', 'Bo']) AS value, 'NAMN' AS label FROM nation""",

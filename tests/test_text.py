@@ -234,3 +234,16 @@ def test_wide_signs_and_hosts_without_dots(spark):
     assert [d["value"] for d in detect_text("anna\uff20example.com http://localhost/x", ["email", "url"])] == ["anna\uff20example.com", "http://localhost/x"]
     df = spark.createDataFrame([(1, "se http://localhost/x nu")], "doc_id int, text string")
     assert [r.value for r in native_spans(df, "url").collect()] == ["http://localhost/x"]
+
+
+def test_split_points(spark):
+    texts = ["", "a", "ab", "x" * 9, "word " * 300, "y" * 1000 + " z", "a " + "b" * 500, "漢" * 700, "a\u00a0b" * 200, " " * 50, "q" * 401 + " " + "q" * 398]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: tuple(r.s) for r in df.select("k", mt.split_points(df.t).alias("s")).collect()}
+    for k, t in enumerate(texts):
+        end, start = mt.split_point(t)
+        assert got[k] == (end, start)
+        assert len(t) < 2 or (end < len(t) and 0 < start <= end)
+    assert mt.split_point("word " * 300)[0] - 100 == max(i for i in range(751) if ("word " * 300)[i] == " ")
+    deep = "x" * 100_000
+    assert sum(1 for _ in mt.chunks(deep, lambda s: len(s) < 500)) > 200
