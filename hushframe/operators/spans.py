@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import SPACE
+
 KEYS = ("doc_id",)
 
 
@@ -61,6 +63,20 @@ def merge_adjacent(df: DataFrame, gap: int = 1, keys=KEYS) -> DataFrame:
     return out.groupBy(*keys, "label", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def merge_blank_gaps(spans: DataFrame, texts: DataFrame, keys=KEYS, text: str = "text") -> DataFrame:
+    """I8: (keys, label, start, end): spans of a label that touch, overlap or have only white space between them become one."""
+    blank = f"\\A[{SPACE}]*\\z"
+    w = Window.partitionBy(*keys, "label").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # only the gaps are looked up in the texts, and with them the texts of rows that have spans
+    near = spans.withColumn("_reach", reach).join(texts.select(*keys, F.col(text).alias("_text")), list(keys))
+    gap = F.substr(F.col("_text"), F.col("_reach") + 1, F.greatest(F.col("start") - F.col("_reach"), F.lit(0)))
+    opens = F.col("_reach").isNull() | ~gap.rlike(blank)
+    marked = near.withColumn("_new", F.when(opens, 1).otherwise(0)).drop("_text", "_reach")
+    island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*keys, "label", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
 def subtract_intervals(a: DataFrame, b: DataFrame, keys=KEYS) -> DataFrame:
     """What of each span of ``a`` no span of ``b`` covers; a span may come back in pieces."""
     cover = merge_intervals(b.withColumn("label", F.lit("")) if "label" not in b.columns else b, keys)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import validators as v
 from ..operators import detect, redact
+from ..operators import spans as sp
 from .common import spread, table
 
 
@@ -91,6 +92,13 @@ def detect_bankgiro(spark, sf_dir):
     return detect.native_spans(t, "bankgiro").select("doc_id", "start", "end", "value")
 
 
+def merge_blank_gaps(spark, sf_dir):
+    """Runs of digits in documents, joined where only white space lies between."""
+    t = _documents(spark, sf_dir)
+    found = t.select("doc_id", F.explode(tx.matches(F.col("text"), "[0-9]+")).alias("s")).select("doc_id", F.lit("N").alias("label"), "s.start", "s.end")
+    return sp.merge_blank_gaps(found, t).select("doc_id", "start", "end")
+
+
 def detect_email(spark, sf_dir):
     return detect.spans(_documents(spark, sf_dir), names=["email"]).select("doc_id", "value")
 
@@ -236,6 +244,7 @@ QUERIES = {
     "detect_bankgiro": detect_bankgiro,
     "detect_url": _values("url", "pages", "page_id", "html"),
     "detect_email": detect_email,
+    "merge_blank_gaps": merge_blank_gaps,
     "detect_all": detect_all,
     "label_counts": label_counts,
     "assign_placeholders": assign_placeholders,
@@ -266,6 +275,7 @@ ORACLES = {
     "detect_card": _values_sql(r"\b[0-9](?:[ -]?[0-9]){12,18}\b", "documents", "doc_id", "text", luhn_sql("value")),
     "detect_bankgiro": _values_sql(r"\b[0-9]{3,4}\s{0,2}-\s{0,2}[0-9]{4}\b", f"({_BANKGIRO_TEXT})", "o_orderkey", "text", luhn_sql("value")),
     "detect_url": _values_sql(r"""(?i)\b(?:https?://|www\.)[^\s<>")]*[^\s<>").,;:!?]""", "pages", "page_id", "html"),
+    "merge_blank_gaps": "SELECT doc_id, start, \"end\" FROM (" + _values_sql(r"[0-9]+(?:\s+[0-9]+)*", "documents", "doc_id", "text") + ")",
     "detect_email": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents",
     "label_counts": " UNION ALL ".join(f"SELECT '{t}' AS label, count(*) * {2 if t == 'EPOST' else 1} AS n FROM customer" for t in _TOKENS),
     "assign_placeholders": f"""
