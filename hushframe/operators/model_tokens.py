@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.patterns import S
+from ..functions.patterns import HYBRID, S
 from ..functions.text import safe_lower_text as safe_lower
-from .detect import FIELDS, SPAN, detect_text
-from .redact import redact_found
+from .detect import CUSTOM, FIELDS, SPAN, detect_text, install
+from .redact import RESULT, redact_found, results
 
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 _LETTERS, _NUMBERS = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
@@ -331,6 +331,18 @@ def hybrid(text: str, model: list[dict], names: Iterable[str], keep: Callable[[d
     return redact_found(rules + subtract(text, [d for d in model if keep is None or keep(d)], rules), text)
 
 
+def redact_hybrid(text: Column, model: Column, names: Iterable[str] = tuple(HYBRID)) -> Column:
+    """M14 as a column: struct(text, redactions, map) of texts and a recognizer's spans (null: none), rules first."""
+    names, own = list(names), {n: CUSTOM[n] for n in names if n in CUSTOM}
+
+    @F.arrow_udf(RESULT)
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        install(own)
+        return results([None if t is None else hybrid(t, s or [], names) for t, s in zip(texts.to_pylist(), spans.to_pylist())])
+
+    return run(text, model)
+
+
 CARE_TERMS = frozenset({"vaken", "penicillin", "pneumoni", "hemrehab", "ordinera hemrehab", "dietist", "diabetes", "vfu huvudtrauma"})
 _READINGS = "puls|bt|blodtryck|temp|temperatur|sat|saturation|spo2|hb|crp|gcs|af|na|natrium|kalium|kreatinin|troponin|glukos|p-glukos|mottagning|vårdas[ \t]+avd"
 MEASURE = rf"(?i)\A(?:{_READINGS})(?![A-Za-z0-9_])[\s:=/-]*x?[0-9]"

@@ -128,12 +128,12 @@ def redact(c: Column, names: Iterable[str] = tuple(DEFAULT), template: str = TEM
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         install(own)
-        return _results([None if t is None else redact_text(t, names, template) for t in texts.to_pylist()])
+        return results([None if t is None else redact_text(t, names, template) for t in texts.to_pylist()])
 
     return run(c)
 
 
-def _results(rows: list[dict | None]) -> pa.Array:
+def results(rows: list[dict | None]) -> pa.Array:
     """Results as columns side by side, so that texts are copied once and not by way of row objects."""
     kind = to_arrow_type(RESULT)
     parts = [pa.array([r and r[f.name] if f.name != "map" else r and list(r["map"].items()) for r in rows], f.type) for f in kind]
@@ -162,7 +162,7 @@ def redact_spans(docs: DataFrame, spans: DataFrame, keys=("doc_id",), text: str
             if t is not None and (wrong := problems(f, t, template)):
                 raise ValueError("; ".join(wrong[:5]))
             rows.append(None if t is None else redact_found(f, t, template))
-        return _results(rows)
+        return results(rows)
 
     out = docs.select(*keys, text).join(each, list(keys), "left").select(*keys, run(F.col(text), F.col("_found")).alias("r"))
     return out.select(*keys, F.col("r.text").alias("redacted"), F.size("r.redactions").alias("n_redactions"), F.col("r.map").alias("map"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import validators as v
 from ..operators import detect, redact
+from ..operators import model_tokens as mt
 from ..operators import spans as sp
 from .common import spread, table
 
@@ -42,6 +43,15 @@ def redact_text(spark, sf_dir):
     return _notes(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", F.size("r.redactions").alias("n_redactions"), F.col("r.text").alias("redacted"))
 
 
+def redact_hybrid(spark, sf_dir):
+    """Notes with a recognizer's spans, one of a name and one that runs into a telephone number, of which the rules leave its first word."""
+    t = _notes(spark, sf_dir)
+    span = lambda s, e, label: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.substr("text", s + 1, e - s).alias("value"), F.lit(label).alias("label"))
+    name = F.length(F.concat(F.lit("Kund "), F.col("doc_id").cast("string")))
+    r = mt.redact_hybrid(F.col("text"), F.array(span(F.lit(0), name, "NAMN"), span(name + 2, name + 15, "PLATS")))
+    return t.select("doc_id", r.alias("r")).select("doc_id", F.size("r.redactions").alias("n_redactions"), F.col("r.text").alias("redacted"))
+
+
 def restore_text(spark, sf_dir):
     """Redacted documents restored, and whether they are as before."""
     both = _documents(spark, sf_dir).select("doc_id", "text", redact.redact(F.col("text")).alias("r"))
@@ -237,6 +247,7 @@ def token_ranges_documents(spark, sf_dir):
 QUERIES = {
     "redact_documents": redact_documents,
     "redact_text": redact_text,
+    "redact_hybrid": redact_hybrid,
     "restore_text": restore_text,
     "redact_from_spans": redact_from_spans,
     "detect_ip": _values("ip", "documents", "doc_id", "text"),
@@ -270,6 +281,7 @@ _EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}"
 _TOKENS = ["TELEFON", "EPOST", "BANKGIRO", "KORTNUMMER", "IP_ADRESS", "ORGANISATIONSNUMMER", "IBAN"]
 ORACLES = {
     "redact_text": f"SELECT c_custkey AS doc_id, 8 AS n_redactions, {_REDACTED} AS redacted FROM customer",
+    "redact_hybrid": "SELECT c_custkey AS doc_id, 10 AS n_redactions, " + _REDACTED.replace("'Kund ' || c_custkey || ': ring [TEL", "'[NAMN_1]: [PLATS_1] [TEL") + " AS redacted FROM customer",
     "restore_text": "SELECT doc_id, TRUE AS same FROM documents",
     "detect_ip": _values_sql(rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", "documents", "doc_id", "text"),
     "detect_card": _values_sql(r"\b[0-9](?:[ -]?[0-9]){12,18}\b", "documents", "doc_id", "text", luhn_sql("value")),
