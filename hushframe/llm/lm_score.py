@@ -51,7 +51,7 @@ from .warc import open_fs
 BEGIN, END = 1, 2
 KEEP = 1
 #: Characters of text a shard, tokens a chunk; results don't depend on either.
-SHARD_CHARS = 8 << 20
+SHARD_CHARS = 4 << 20
 CHUNK = 1 << 19
 #: Most partitions of the counting shuffle; beyond, a task takes several shards one after another.
 MAX_PARTITIONS = 20_000
@@ -177,6 +177,7 @@ def chunks(rows: DataFrame, shape_of) -> DataFrame:
                 ids, lens, parts, size, seq = [], [], [], 0, seq + 1
         if ids:
             yield row()
+        shape.codec.memo.clear()  # the worker's later tasks read ids and no words
 
     return written(rows.select("id", "text").mapInArrow(run, schema), "lm-chunks")
 
