@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.patterns import SPACE
+from ..functions.text import safe_lower_text
 
 from .spans import KEYS, covered_chars, overlap_join
 
@@ -155,22 +160,73 @@ def category_rollup(outcomes: DataFrame) -> DataFrame:
     return outcomes.rollup("category").agg(F.count(F.lit(1)).alias("n"), count("hit"), count("partial"), count("miss"))
 
 
-def classify_extra(c: Column) -> Column:
-    """What a redaction that no annotation asks for looks like."""
-    return (
-        F.when(c.rlike(r"\A[1-9][0-9]{2} ?[0-9]{2}\z"), "postcode")
-        .when(c.rlike(r"(?i)(kommun|region|stad|län)\z"), "place")
-        .when(c.rlike(r"(AB|HB|Ltd|Inc|kommun)\z"), "org")
-        .when(c.rlike(r"\A[A-ZÅÄÖ][\p{L}-]+( [A-ZÅÄÖ][\p{L}-]+)*\z"), "name-like")
-        .otherwise("candidate")
-    )
+_MARKS = r"""[.,;:!?()"']"""
+
+
+def _long_words(c: Column, least: int = 3) -> Column:
+    """Words of at least so many characters, in lower case and without punctuation."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.trim(c)), _MARKS, ""), f"[{SPACE}]+"), lambda w: F.length(w) >= least)
+
+
+def classify_extra(label: Column, value: Column) -> Column:
+    """Why a redaction that no annotation asks for may be right, by its label, or that it is a candidate for an error."""
+    kinds = {"POSTNUMMER": "postcode", "PLATS": "place", "ORGANISATION": "organisation"}
+    out = F.when((label == "NAMN") & value.rlike(NAME_LIKE), "name-like")
+    for name, kind in kinds.items():
+        out = out.when(label == name, kind)
+    return out.otherwise("candidate")
+
+
+_NAME = "[A-ZÅÄÖ][a-zåäöé'-]+"
+NAME_LIKE = rf"\A{_NAME}(?: {_NAME})+\z"
 
 
-def survival(text: str, value: str) -> str:
-    """By letters and digits: all of the value's runs of them survive, some do, or none does."""
-    runs = re.findall(r"[^\W_]+", value.lower())
-    left = [r for r in runs if re.search(rf"(?<![^\W_]){re.escape(r)}(?![^\W_])", text.lower())]
-    return "miss" if runs and len(left) == len(runs) else "partial" if left else "hit"
+def unannotated(redactions: DataFrame, expected: DataFrame, keys=KEYS) -> DataFrame:
+    """Redactions (keys, label, value) that share no word of three characters or more with the expected values (keys, value) of their text, classified."""
+    wanted = expected.select(*keys, F.explode(_long_words(F.col("value"))).alias("_w")).distinct()
+    rows = redactions.select(*keys, "label", "value").distinct()
+    shared = rows.select(*keys, "label", "value", F.explode(_long_words(F.col("value"))).alias("_w")).join(wanted, [*keys, "_w"], "left_semi").select(*keys, "label", "value").distinct()
+    return redactions.join(shared, [*keys, "label", "value"], "left_anti").withColumn("classification", classify_extra(F.col("label"), F.col("value")))
+
+
+_TOKEN = r"\[[A-ZÅÄÖ_]+_[0-9]+\]"
+SURVIVAL = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("material", T.IntegerType()), T.StructField("retained", T.IntegerType()), T.StructField("outcome", T.StringType())]))
+
+
+def survival(text: str, masked: str, values: list[str], token: str = _TOKEN) -> list[dict]:
+    """Of each gold value how many of its letters and digits stand in parts of the text that were not redacted: hit (none), partial or miss (all).
+
+    The masked text's plain parts must stand in the text in their order, each value in the text, and a value must have a letter or digit.
+    """
+    left, at, low, out = bytearray(len(text)), 0, safe_lower_text(text), []
+    for part in re.split(token, masked):
+        if part:
+            at = text.find(part, at)
+            if at < 0:
+                raise ValueError("a part that isn't redacted doesn't stand in the text")
+            left[at : at + len(part)] = b"\1" * len(part)
+            at += len(part)
+    for v in values:
+        start = low.find(safe_lower_text(v))
+        if start < 0:
+            raise ValueError("a gold value doesn't stand in the text")
+        places = [k for k in range(start, start + len(v)) if text[k].isalnum()]
+        if not places:
+            raise ValueError("a gold value has no letter or digit")
+        n = sum(left[k] for k in places)
+        out.append({"value": v, "material": len(places), "retained": n, "outcome": "hit" if not n else "miss" if n == len(places) else "partial"})
+    return out
+
+
+def surviving(text: Column, masked: Column, values: Column) -> Column:
+    """E16 as a column."""
+    kind = to_arrow_type(SURVIVAL)
+
+    @F.arrow_udf(SURVIVAL)
+    def run(texts: pa.Array, redacted: pa.Array, gold: pa.Array) -> pa.Array:
+        return pa.array([None if t is None or m is None else survival(t, m, v or []) for t, m, v in zip(texts.to_pylist(), redacted.to_pylist(), gold.to_pylist())], kind)
+
+    return run(text, masked, values)
 
 
 def quantiles(df: DataFrame, value: str, qs=(0.5, 0.95), margin: float = 0.001) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions import validators as v
 from ..operators import detect, redact
 from ..operators import model_tokens as mt
+from ..operators import score as sc
 from ..operators import spans as sp
 from .common import spread, table
 
@@ -52,6 +53,24 @@ def redact_hybrid(spark, sf_dir):
     return t.select("doc_id", r.alias("r")).select("doc_id", F.size("r.redactions").alias("n_redactions"), F.col("r.text").alias("redacted"))
 
 
+def survival(spark, sf_dir):
+    """What of three values of each note its redaction leaves: a whole e-mail address, a label with its number, and a name that rules don't know."""
+    k = F.col("doc_id").cast("string")
+    values = F.array(F.concat(F.lit("KUND"), k, F.lit("@example.com")), F.lit("bankgiro 991-2346"), F.concat(F.lit("Kund "), k))
+    s = sc.surviving(F.col("text"), redact.redact(F.col("text")).getField("text"), values)
+    return _notes(spark, sf_dir).select("doc_id", F.explode(s).alias("s")).select("doc_id", "s.value", "s.material", "s.retained", "s.outcome")
+
+
+def unannotated(spark, sf_dir):
+    """Redactions of notes that customers' expected values don't ask for."""
+    t = _notes(spark, sf_dir)
+    found = t.select("doc_id", F.explode(redact.redact(F.col("text")).getField("redactions")).alias("s")).select("doc_id", "s.label", "s.value")
+    k = F.col("doc_id").cast("string")
+    expected = t.select("doc_id", F.explode(F.array(F.concat(F.lit("kund"), k, F.lit("@example.com")), F.lit("bankgiro 991-2346"), F.lit("4242 4242"))).alias("value"))
+    more = found.where("label = 'IBAN'").select("doc_id", F.lit("NAMN").alias("label"), F.lit("Anna Berg").alias("value"))
+    return sc.unannotated(found.unionByName(more), expected).select("doc_id", "label", "classification")
+
+
 def restore_text(spark, sf_dir):
     """Redacted documents restored, and whether they are as before."""
     both = _documents(spark, sf_dir).select("doc_id", "text", redact.redact(F.col("text")).alias("r"))
@@ -248,6 +267,8 @@ QUERIES = {
     "redact_documents": redact_documents,
     "redact_text": redact_text,
     "redact_hybrid": redact_hybrid,
+    "survival": survival,
+    "unannotated": unannotated,
     "restore_text": restore_text,
     "redact_from_spans": redact_from_spans,
     "detect_ip": _values("ip", "documents", "doc_id", "text"),
@@ -281,6 +302,9 @@ _EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}"
 _TOKENS = ["TELEFON", "EPOST", "BANKGIRO", "KORTNUMMER", "IP_ADRESS", "ORGANISATIONSNUMMER", "IBAN"]
 ORACLES = {
     "redact_text": f"SELECT c_custkey AS doc_id, 8 AS n_redactions, {_REDACTED} AS redacted FROM customer",
+    "survival": r"""WITH v AS (SELECT c_custkey AS doc_id, unnest(['KUND' || c_custkey || '@example.com', 'bankgiro 991-2346', 'Kund ' || c_custkey]) AS value, unnest([0, 8, 99]) AS kept, unnest(['hit', 'partial', 'miss']) AS outcome FROM customer)
+        SELECT doc_id, value, length(regexp_replace(value, '[^\p{L}\p{N}]', '', 'g'))::INT AS material, least(kept, length(regexp_replace(value, '[^\p{L}\p{N}]', '', 'g')))::INT AS retained, outcome FROM v""",
+    "unannotated": "SELECT c_custkey AS doc_id, unnest(['TELEFON', 'IP_ADRESS', 'ORGANISATIONSNUMMER', 'IBAN', 'NAMN']) AS label, unnest(['candidate', 'candidate', 'candidate', 'candidate', 'name-like']) AS classification FROM customer",
     "redact_hybrid": "SELECT c_custkey AS doc_id, 10 AS n_redactions, " + _REDACTED.replace("'Kund ' || c_custkey || ': ring [TEL", "'[NAMN_1]: [PLATS_1] [TEL") + " AS redacted FROM customer",
     "restore_text": "SELECT doc_id, TRUE AS same FROM documents",
     "detect_ip": _values_sql(rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", "documents", "doc_id", "text"),

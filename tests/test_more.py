@@ -86,3 +86,21 @@ def test_sentence_streams_and_lists(spark, tmp_path):
     assert [tuple(r) for r in rd.read_lexicon_xml(spark, str(tmp_path / "l.xml")).collect()] == [("by", "nn")]
     (tmp_path / "r.txt").write_text("och 99\n\ni 50\n")
     assert sorted(tuple(r) for r in rd.read_ranks(spark, str(tmp_path / "r.txt")).collect()) == [("i", 2), ("och", 1)]
+
+
+def test_survival_of_characters(spark):
+    got = sc.survival("Ring Anna-Lo på 070 nu", "Ring [NAMN_1] på 0[X_1] nu", ["anna-lo", "på 070", "Ring", "070"])
+    assert [(r["material"], r["retained"], r["outcome"]) for r in got] == [(6, 0, "hit"), (5, 3, "partial"), (4, 4, "miss"), (3, 1, "partial")]
+    for text, masked, values in (("a b", "b a", ["a"]), ("a b", "a b", ["c"]), ("a - b", "a - b", [" - "])):
+        with pytest.raises(ValueError):
+            sc.survival(text, masked, values)
+    df = spark.createDataFrame([("Anna", "[NAMN_1]", ["Anna"]), (None, "x", []), ("a", "a", None)], "t string, m string, v array<string>")
+    assert [r.s and [tuple(x) for x in r.s] for r in df.select(sc.surviving(df.t, df.m, df.v).alias("s")).collect()] == [[("Anna", 4, 0, "hit")], None, []]
+
+
+def test_redactions_that_nothing_asks_for(spark):
+    rows = [(1, "NAMN", "Anna Berg"), (1, "NAMN", "anna"), (1, "POSTNUMMER", "123 45"), (1, "PLATS", "Umeå!"), (1, "TELEFON", "070"), (2, "NAMN", "Bo"), (2, "NAMN", "Bo")]
+    found = spark.createDataFrame(rows, "doc_id int, label string, value string")
+    expected = spark.createDataFrame([(1, "(umeå) kommun"), (1, "Bo")], "doc_id int, value string")
+    got = sorted((r.doc_id, r.value, r.classification) for r in sc.unannotated(found, expected).collect())
+    assert got == [(1, "070", "candidate"), (1, "123 45", "postcode"), (1, "Anna Berg", "name-like"), (1, "anna", "candidate"), (2, "Bo", "candidate"), (2, "Bo", "candidate")]
