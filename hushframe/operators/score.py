@@ -144,6 +144,12 @@ def address_coverage(gold: DataFrame, predicted: DataFrame, by: list[str], keys=
     return c.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("covered") == size).cast("int")).alias("full"), F.sum((F.col("covered") == 0).cast("int")).alias("missed"), F.try_divide(F.sum("covered"), F.sum(size)).alias("coverage"))
 
 
+def false_positives(gold: DataFrame, predicted: DataFrame, label: str, by: list[str], keys=KEYS) -> DataFrame:
+    """Predictions of a label that touch no gold span of it, counted by columns of theirs."""
+    p, g = predicted.where(F.col("label") == label), gold.where(F.col("label") == label)
+    return overlap_join(p, g, keys, "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def domain_score(rows: DataFrame, stopwords: list[str] = ()) -> DataFrame:
     """Of (id, category, redacted, value): miss if the value stands in the redacted text as words, partial if a word of 4 letters does."""
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

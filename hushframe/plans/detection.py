@@ -197,6 +197,14 @@ def validators(spark, sf_dir):
     )
 
 
+def invalid_ids(spark, sf_dir):
+    """Numbers made from order keys, written as personal ones are, that are neither such nor an organisation's."""
+    n = F.col("n")
+    t = _numbers(spark, sf_dir).select("o_orderkey", F.concat(F.lit("nr "), F.substring(n, 1, 6), F.lit("-"), F.substring(n, 7, 4), F.lit(".")).alias("text"))
+    found = detect.invalid_ids(F.col("text"), detect.detect_udf(["email"])(F.col("text")))
+    return t.select("o_orderkey", F.explode(found).alias("value"))
+
+
 def _dates_sql(shift: int) -> str:
     mm, dd, yy = "substr(n, 3, 2)::INT", f"(substr(n, 5, 2)::INT - {shift})", "substr(n, 1, 2)::INT"
     days = f"CASE WHEN {mm} = 2 THEN CASE WHEN {yy} % 4 = 0 THEN 29 ELSE 28 END WHEN {mm} IN (4, 6, 9, 11) THEN 30 ELSE 31 END"
@@ -286,6 +294,7 @@ QUERIES = {
     "tokenize_words": tokenize_words,
     "string_scalars": string_scalars,
     "validators": validators,
+    "invalid_ids": invalid_ids,
     "iso_dates": iso_dates,
     "approved_fixtures": approved_fixtures,
     "privacy_issues": privacy_issues,
@@ -330,6 +339,7 @@ ORACLES = {
     "validators": f"""
         SELECT o_orderkey, {luhn_sql("n")} AS luhn, {_dates_sql(0)} AS personal_shape, {_dates_sql(60)} AS coordination_shape,
                {_dates_sql(0)} AND {luhn_sql("n")} AS personal, {_dates_sql(60)} AND {luhn_sql("n")} AS coordination, substr(n, 3, 1) >= '2' AND {luhn_sql("n")} AS organisation FROM {_NUMBERS}""",
+    "invalid_ids": f"""SELECT o_orderkey, substr(n, 1, 6) || '-' || substr(n, 7, 4) AS value FROM {_NUMBERS} WHERE NOT ({_dates_sql(0)} OR {_dates_sql(60)} OR (substr(n, 3, 1) >= '2' AND {luhn_sql("n")}))""",
     "iso_dates": "SELECT o_orderkey, try_cast('2024-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS DATE) IS NOT NULL AS valid FROM orders",
     "approved_fixtures": "SELECT c_custkey, c_custkey % 5 < 3 AS ip, c_custkey % 4 < 2 AS email, CASE c_custkey % 4 WHEN 0 THEN c_custkey % 100 >= 5 WHEN 3 THEN FALSE ELSE TRUE END AS phone, c_custkey % 4 < 3 AS test_value FROM customer",
     "identifier_scrub": r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9]{6}[-+]?[0-9]{4}|@|(?i:https?://)|(?i:www\.)')",

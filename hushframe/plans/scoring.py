@@ -28,6 +28,12 @@ def score_greedy(spark, sf_dir):
     return sc.score_greedy(gold(spark, sf_dir), typed(spark, sf_dir))
 
 
+def false_positives(spark, sf_dir):
+    """Predictions of returned items that no such gold span touches, by the kind of their order."""
+    p = typed(spark, sf_dir).withColumn("kind", F.col("doc_id") % 3)
+    return sc.false_positives(gold(spark, sf_dir), p, "R", ["kind"])
+
+
 def redaction_recall(spark, sf_dir):
     r = sc.redaction_recall(gold(spark, sf_dir), typed(spark, sf_dir))
     return r.select("n_gold", "n_predicted", "masked", "typed", F.round("redaction_recall", 6).alias("redaction_recall"), F.round("typed_precision", 6).alias("typed_precision"), F.round("typed_recall", 6).alias("typed_recall"))
@@ -105,7 +111,7 @@ def label_agreement(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (score_exact, score_micro, score_by_label, score_greedy, redaction_recall, leak_rate_grouping_sets, token_retention, flagged_terms, address_coverage, domain_score, category_rollup, latency_quantiles, vocab_topk, label_agreement)
+    for f in (score_exact, score_micro, score_by_label, score_greedy, false_positives, redaction_recall, leak_rate_grouping_sets, token_retention, flagged_terms, address_coverage, domain_score, category_rollup, latency_quantiles, vocab_topk, label_agreement)
 }
 
 _EXACT = f"""{GOLD}, {TYPED}, gc AS (SELECT doc_id, s, e, count(*) AS g FROM g GROUP BY ALL), pc AS (SELECT doc_id, s, e, count(*) AS p FROM t GROUP BY ALL),
@@ -113,6 +119,7 @@ _EXACT = f"""{GOLD}, {TYPED}, gc AS (SELECT doc_id, s, e, count(*) AS g FROM g G
     b AS (SELECT doc_id, s, e, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM gc FULL JOIN pc USING (doc_id, s, e)),
     x AS (SELECT doc_id, sum(least(g, p))::BIGINT AS tp, sum(least(coalesce(t, 0), g, p))::BIGINT AS typed_tp, sum(p - least(g, p))::BIGINT AS fp, sum(g - least(g, p))::BIGINT AS fn FROM b LEFT JOIN tc USING (doc_id, s, e) GROUP BY doc_id)"""
 ORACLES = {
+    "false_positives": f"WITH {GOLD}, {TYPED} SELECT doc_id % 3 AS kind, count(*) AS n FROM t WHERE label = 'R' AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = t.doc_id AND g.label = 'R' AND g.s < t.e AND t.s < g.e) GROUP BY 1",
     "score_greedy": f"""
         WITH RECURSIVE {GOLD}, {TYPED}, a AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label) AS j FROM g),
         b AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label) AS i FROM t),
