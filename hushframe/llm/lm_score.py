@@ -6,8 +6,8 @@ successors, ``P(w | h) = count(h w) / (c + T) + rest * P(w | shorter h)``. All d
 n-grams count. With ``keep`` above 1 trigrams seen less often are counted in c and T and then left
 out; ``rest`` is what the kept ones leave, so each context still sums to one.
 
-1. *Chunks.* One pass tokenises the documents into chunks of about ``CHUNK`` tokens, which are
-   written; everything later reads ids and no text.
+1. *Chunks.* One pass tokenises the documents into chunks of about ``CHUNK`` tokens (more for very
+   large corpora, see ``granularity``), which are written; everything later reads ids and no text.
 2. *Counts.* Each chunk sorts its n-grams and sends every shard one block of distinct keys and
    counts. A shard merges its blocks; it remembers which of its keys each chunk has. A context
    (u, v) and its successors lie in one shard. A word's contexts and bigrams are dealt over
@@ -35,6 +35,8 @@ row by row; an empty table gives no rows. Extra columns aren't read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -50,9 +52,11 @@ from .warc import open_fs
 
 BEGIN, END = 1, 2
 KEEP = 1
-#: Characters of text a shard, tokens a chunk; results don't depend on either.
+#: Characters of text a shard and tokens a chunk, at least; results don't depend on either.
 SHARD_CHARS = 4 << 20
 CHUNK = 1 << 19
+#: N-grams that a chunk has for a shard, about and at least: both grow with the square root of the input beyond.
+BLOCK_GRAMS = 20
 #: Most partitions of the counting shuffle; beyond, a task takes several shards one after another.
 MAX_PARTITIONS = 20_000
 STEP = 0.08  # of the codes, in natural logarithms
@@ -150,7 +154,17 @@ def _by(shard: np.ndarray):
         yield int(s[i]), order[i:j]
 
 
-def chunks(rows: DataFrame, shape_of) -> DataFrame:
+def granularity(chars: int) -> tuple[int, int]:
+    """(shards, tokens a chunk) for so many characters.
+
+    With n tokens there are n / chunk times n / shard blocks of chunk * shard / n n-grams; that stays at ``BLOCK_GRAMS`` or more,
+    so the number of blocks is in proportion to the input at any size.
+    """
+    side = math.isqrt(BLOCK_GRAMS * (chars // 2))  # some two characters a token
+    return max(4, -(-chars // max(SHARD_CHARS, 2 * side))), max(CHUNK, side)
+
+
+def chunks(rows: DataFrame, shape_of, chunk: int = CHUNK) -> DataFrame:
     """(chunk, ids, lens, tokens) of rows (id, text); lens holds a null for a null text. Written."""
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.BinaryType())])
@@ -172,7 +186,7 @@ def chunks(rows: DataFrame, shape_of) -> DataFrame:
             length[some] = n
             ids.append(b.column(0)), lens.append(pa.array(length, pa.int32(), mask=~some)), parts.append(x.tobytes())
             size += len(x)
-            if size >= CHUNK or sum(map(len, ids)) >= CHUNK:
+            if size >= chunk or sum(map(len, ids)) >= chunk:
                 yield row()
                 ids, lens, parts, size, seq = [], [], [], 0, seq + 1
         if ids:
@@ -354,7 +368,7 @@ class Trained:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, vocab: str, keep: int) -> None:
         spark: SparkSession = docs.sparkSession
         text = F.col(f"`{text_col}`").cast("string")
-        shards = max(4, -(-int(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD_CHARS))
+        shards, chunk = granularity(int(docs.agg(F.sum(F.length(text))).first()[0] or 0))
 
         def shape_of() -> Shape:
             return Shape(vocab, shards)
@@ -362,7 +376,7 @@ class Trained:
         self.shards, self.shape_of, self.keep, self.folder = shards, shape_of, keep, fresh_path(spark, "lm")
         shape = shape_of()
         bits, mask = shape.bits, shape.mask
-        self.chunks = chunks(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), shape_of)
+        self.chunks = chunks(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), shape_of, chunk)
         self.table = merged(blocks(self.chunks, shape_of), shards)
 
         def unigrams(items):

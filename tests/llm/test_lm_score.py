@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from hushframe.llm.elias_fano import EliasFano, build, bundle, unbundle
-from hushframe.llm.lm_score import BEGIN, END, STEP, lm_scores, train
+from hushframe.llm.lm_score import BEGIN, END, STEP, granularity, lm_scores, train
 from hushframe.llm.sstable import token_ids
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,24 @@ def test_edges(spark):
             # two codes, each off by half a step at most, make a token's probability
             assert abs(got[i, n].log_prob - lp) / n <= STEP
     assert lm_scores(df.where("false")).count() == 0
+
+
+def test_blocks_stay_in_proportion():
+    for chars in (0, 10**6, 10**9, 3 * 10**10, 10**12, 10**14):
+        shards, chunk = granularity(chars)
+        tokens = chars / 2
+        assert shards >= 4 and chunk >= 1 << 19
+        if chars > 10**9:
+            assert chunk * (tokens / shards) / tokens >= 19  # n-grams a block
+    assert granularity(10**14)[1] < 1 << 25
+
+
+@pytest.mark.parametrize("shard_chars,chunk", [(300, 64), (10**6, 200)])
+def test_any_granularity_gives_the_same_scores(spark, monkeypatch, shard_chars, chunk):
+    from hushframe.llm import lm_score
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    want = {r.doc_id: r.log_prob for r in lm_scores(docs).collect()}
+    monkeypatch.setattr(lm_score, "granularity", lambda chars: (max(4, min(40, chars // shard_chars)), chunk))
+    got = {r.doc_id: r.log_prob for r in lm_scores(docs.repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + abs(want[i])) for i in want)
