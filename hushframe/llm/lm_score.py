@@ -244,7 +244,7 @@ def merged(found: DataFrame, shards: int) -> DataFrame:
                 places.append(len(k).to_bytes(8, "little") + pack_small(np.diff(at, prepend=-1)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([shard], [pack_keys(keys)], [pack_small(n)], [[r[1] for r in rows]], [places]), schema)], schema=schema)
 
-    parts = min(2 * shards, MAX_PARTITIONS)
+    parts = min(shards, MAX_PARTITIONS)  # a task takes its shards one after another
     placed = found.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "chunk")
     return written(placed.mapInArrow(run, "shard int, keys binary, counts binary, chunks array<long>, places array<binary>"), "lm-shards")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, mix
-from .vocab import PIECES, SPACE, pieces
+from .vocab import PIECES, SPACE, pieces, settled
 
 LONG = 64
 NONE = np.int32(2**31 - 1)
@@ -106,6 +106,7 @@ _MERGES: dict[str, Merges] = {}
 def merges(path: str = PIECES) -> Merges:
     if path not in _MERGES:
         _MERGES[path] = Merges(path)
+        settled()
     return _MERGES[path]
 
 

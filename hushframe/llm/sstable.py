@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import batches, written
-from .vocab import PIECES, SPACE, loaded
+from .vocab import PIECES, SPACE, loaded, settled
 from .warc import open_fs
 
 BLOCK = 32 << 10
@@ -179,6 +179,7 @@ _IDS: dict[str, TokenIds] = {}
 def token_ids(path: str = PIECES) -> TokenIds:
     if path not in _IDS:
         _IDS[path] = TokenIds(path)
+        settled()
     return _IDS[path]
 
 

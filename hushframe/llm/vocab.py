@@ -10,6 +10,7 @@ A character that no piece covers counts as its UTF-8 bytes (byte fallback).
 
 from __future__ import annotations
 
+import gc
 from array import array
 from collections import deque
 
@@ -137,4 +138,11 @@ def loaded(path: str = PIECES) -> tuple[Pieces, LongestMatch]:
     if path not in _LOADED:
         p = pieces(path)
         _LOADED[path] = p, LongestMatch(p.normal, p.bytes)
+        settled()
     return _LOADED[path]
+
+
+def settled() -> None:
+    """Keeps what was loaded for good out of the collector's way, which would go through all of it at every task."""
+    gc.collect()
+    gc.freeze()
