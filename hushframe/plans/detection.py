@@ -15,16 +15,20 @@ from ..operators import detect, redact
 from ..operators import model_tokens as mt
 from ..operators import score as sc
 from ..operators import spans as sp
-from .common import spread, table
+from .common import dealt, spread, table
+
+#: Keys whose notes are one task's work: a few seconds of redaction.
+_NOTES = 25_000
 
 
 def _notes(spark, sf_dir) -> DataFrame:
-    k = F.col("c_custkey")
+    """Notes made from customers' keys. The keys alone are dealt: a file of them is small, and would be one task's work."""
+    k = F.col("doc_id")
     text = F.concat(
         F.lit("Kund "), k.cast("string"), F.lit(": ring 070-174 06 "), F.lpad((k % 95 + 5).cast("string"), 2, "0"), F.lit(", mejl kund"), k.cast("string"),
         F.lit("@example.com eller kund"), k.cast("string"), F.lit("@example.com, bankgiro 991-2346, kort 4242 4242 4242 4242, ip 192.0.2."), (k % 256).cast("string"), F.lit(", org 202100-4748, iban SE4280000890119146168423."),
     )
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
+    return dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), "doc_id", _NOTES).select(k, text.alias("text"))
 
 
 _REDACTED = "'Kund ' || c_custkey || ': ring [TELEFON_1], mejl [EPOST_1] eller [EPOST_1], bankgiro [BANKGIRO_1], kort [KORTNUMMER_1], ip [IP_ADRESS_1], org [ORGANISATIONSNUMMER_1], iban [IBAN_1].'"
@@ -64,11 +68,14 @@ def survival(spark, sf_dir):
 def unannotated(spark, sf_dir):
     """Redactions of notes that customers' expected values don't ask for."""
     t = _notes(spark, sf_dir)
-    found = t.select("doc_id", F.explode(redact.redact(F.col("text")).getField("redactions")).alias("s")).select("doc_id", "s.label", "s.value")
+    pair = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
+    each = t.select("doc_id", redact.redact(F.col("text")).getField("redactions").alias("r"))
+    # the name beside an IBAN is made from the same array: a union would redact all notes again
+    more = F.transform(F.filter("r", lambda s: s["label"] == "IBAN"), lambda s: pair(F.lit("NAMN"), F.lit("Anna Berg")))
+    found = each.select("doc_id", F.explode(F.concat(F.transform("r", lambda s: pair(s["label"], s["value"])), more)).alias("s")).select("doc_id", "s.label", "s.value")
     k = F.col("doc_id").cast("string")
     expected = t.select("doc_id", F.explode(F.array(F.concat(F.lit("kund"), k, F.lit("@example.com")), F.lit("bankgiro 991-2346"), F.lit("4242 4242"))).alias("value"))
-    more = found.where("label = 'IBAN'").select("doc_id", F.lit("NAMN").alias("label"), F.lit("Anna Berg").alias("value"))
-    return sc.unannotated(found.unionByName(more), expected).select("doc_id", "label", "classification")
+    return sc.unannotated(found, expected).select("doc_id", "label", "classification")
 
 
 def restore_text(spark, sf_dir):
