@@ -189,10 +189,10 @@ NAME_LIKE = rf"\A{_NAME}(?: {_NAME})+\z"
 
 def unannotated(redactions: DataFrame, expected: DataFrame, keys=KEYS) -> DataFrame:
     """Redactions (keys, label, value) that share no word of three characters or more with the expected values (keys, value) of their text, classified."""
-    wanted = expected.select(*keys, F.explode(_long_words(F.col("value"))).alias("_w")).distinct()
-    rows = redactions.select(*keys, "label", "value").distinct()
-    shared = rows.select(*keys, "label", "value", F.explode(_long_words(F.col("value"))).alias("_w")).join(wanted, [*keys, "_w"], "left_semi").select(*keys, "label", "value").distinct()
-    return redactions.join(shared, [*keys, "label", "value"], "left_anti").withColumn("classification", classify_extra(F.col("label"), F.col("value")))
+    wanted = expected.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(_long_words(F.col("value"))))).alias("_w"))
+    # a text's words come to its redactions, so that these, which may be costly, are read once
+    shared = F.coalesce(F.arrays_overlap(_long_words(F.col("value")), F.col("_w")), F.lit(False))
+    return redactions.join(wanted, list(keys), "left").where(~shared).drop("_w").withColumn("classification", classify_extra(F.col("label"), F.col("value")))
 
 
 _TOKEN = r"\[[A-ZÅÄÖ_]+_[0-9]+\]"

@@ -1,16 +1,26 @@
 """Queries whose work a task holds stays the same as their tables grow: how it is dealt, and that nothing costly is done twice."""
 
+import re
+
 from hushframe import registry
 from hushframe.plans import common, detection
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dealt_grows_with_rows(spark):
     cores = spark.sparkContext.defaultParallelism
     assert [common.dealt(spark.range(n), "id", 10).rdd.getNumPartitions() for n in (0, 5, 10 * cores, 10 * cores + 1, 1000)] == [cores, cores, cores, cores + 1, 100]
 
 
+def test_unannotated_redacts_once(spark):
+    assert len(re.findall(r"(?m)^.*ArrowEvalPython", plan(registry.QUERIES["unannotated"](spark, SMALL)))) == 1
+
+
 def test_notes_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(detection, "_NOTES", 1)
     n = spark.read.parquet(f"{SMALL}/customer.parquet").count()
