@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import spans as sp
-from .common import table
+from .common import dealt, table
+
+#: Items of orders that are one task's work.
+_ITEMS = 200_000
+
+
+def items(spark, sf_dir) -> DataFrame:
+    """Items dealt by order: what is made of them and meets by order has no other shuffle."""
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", _ITEMS)
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = items(spark, sf_dir)
     start = (F.col("l_partkey") % 60).cast("int")
     return li.select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 2 + F.col("l_suppkey") % 9).cast("int").alias("end"), F.col("l_returnflag").alias("label")).distinct()
 
 
 def predicted(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = items(spark, sf_dir)
     start = (F.col("l_partkey") % 60 + F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(F.col("l_suppkey") % 7)).cast("int")
     return li.where("l_suppkey % 5 > 0").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 2 + F.col("l_suppkey") % 9).cast("int").alias("end"), F.col("l_linestatus").alias("label"), F.col("l_returnflag").alias("flag")).distinct()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import score as sc
 from .common import table
-from .intervals import GOLD, PRED, TYPED, gold, predicted, typed
+from .intervals import GOLD, PRED, TYPED, gold, items, predicted, typed
 
 
 def score_exact(spark, sf_dir):
@@ -50,7 +50,7 @@ def leak_rate_grouping_sets(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = items(spark, sf_dir)
     start = (F.col("l_linenumber") * 10).cast("int")
     return li.select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 4).alias("end"), F.col("l_shipdate").cast("date").cast("string").alias("value")).distinct()
 
