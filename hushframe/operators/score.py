@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 import pyarrow as pa
@@ -50,18 +52,24 @@ def resolve_spans(docs: DataFrame, gold: DataFrame, keys=KEYS, text: str = "text
     return out.withColumn("_p", here).select(*keys, "value", "label", F.col("_p.start").alias("start"), F.col("_p.end").alias("end"))
 
 
+def _counted(gold: DataFrame, predicted: DataFrame, keys) -> DataFrame:
+    """(keys, start, end, label, g, p): how often each span stands in either. A union that is counted: a join would sort both sides again for each set of its columns."""
+    by = [*keys, "start", "end", "label"]
+    side = lambda df, g, p: df.select(*by, F.lit(g).alias("g"), F.lit(p).alias("p"))
+    return side(gold, 1, 0).unionByName(side(predicted, 0, 1)).groupBy(*by).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+
+
+def _known(*columns: str) -> Column:
+    """Whether none of the columns is null: what is null equals nothing."""
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
 def score_exact(gold: DataFrame, predicted: DataFrame, keys=KEYS) -> DataFrame:
     """(keys, tp, typed_tp, fp, fn): equal boundaries, one to one, in order of label among repeats."""
-    by = [*keys, "start", "end"]
-    g = gold.groupBy(*by).agg(F.count(F.lit(1)).alias("g"))
-    p = predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("p"))
-    gl = gold.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("gl"))
-    pl = predicted.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("pl"))
-    typed = gl.join(pl, [*by, "label"]).groupBy(*by).agg(F.sum(F.least("gl", "pl")).alias("t"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    both = g.join(p, by, "full").join(typed, by, "left").select(*by, zero("g").alias("g"), zero("p").alias("p"), zero("t").alias("t"))
-    tp = F.least("g", "p")
-    return both.groupBy(*keys).agg(F.sum(tp).alias("tp"), F.sum(F.least(F.col("t"), tp)).alias("typed_tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"))
+    typed = F.when(F.col("label").isNotNull(), F.least("g", "p")).otherwise(0)
+    each = _counted(gold, predicted, keys).groupBy(*keys, "start", "end").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum(typed).alias("t"))
+    tp = F.when(_known(*keys, "start", "end"), F.least("g", "p")).otherwise(0)
+    return each.groupBy(*keys).agg(F.sum(tp).alias("tp"), F.sum(F.least(F.col("t"), tp)).alias("typed_tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"))
 
 
 def micro(scores: DataFrame, *by: str, empty: float = 1.0) -> DataFrame:
@@ -74,10 +82,8 @@ def micro(scores: DataFrame, *by: str, empty: float = 1.0) -> DataFrame:
 
 def score_by_label(gold: DataFrame, predicted: DataFrame, keys=KEYS) -> DataFrame:
     """Exact precision and recall of each label, both sides filtered to it."""
-    by = [*keys, "start", "end", "label"]
-    g = gold.groupBy(*by).agg(F.count(F.lit(1)).alias("g"))
-    p = predicted.groupBy(*by).agg(F.count(F.lit(1)).alias("p"))
-    both = g.join(p, by, "full").na.fill(0, ["g", "p"]).groupBy("label").agg(F.sum(F.least("g", "p")).alias("tp"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"))
+    tp = F.when(_known(*keys, "start", "end", "label"), F.least("g", "p")).otherwise(0)
+    both = _counted(gold, predicted, keys).groupBy("label").agg(F.sum(tp).alias("tp"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"))
     return both.select("label", "tp", "n_gold", "n_predicted", ratio(F.col("tp"), F.col("n_predicted")).alias("precision"), ratio(F.col("tp"), F.col("n_gold")).alias("recall"))
 
 
@@ -139,7 +145,8 @@ def token_retention(tokens: DataFrame, predicted: DataFrame, keys=KEYS, top: int
 
 def address_coverage(gold: DataFrame, predicted: DataFrame, by: list[str], keys=KEYS) -> DataFrame:
     """Characters of gold spans that predictions cover, fully and partly covered spans."""
-    c = covered_chars(gold, predicted, keys).join(gold.select(*keys, "start", "end", "label", *by).distinct(), [*keys, "start", "end", "label"])
+    own = list(dict.fromkeys([*keys, "start", "end", "label", *by]))
+    c = covered_chars(gold.select(*own).distinct(), predicted, keys, own)
     size = F.col("end") - F.col("start")
     return c.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("covered") == size).cast("int")).alias("full"), F.sum((F.col("covered") == 0).cast("int")).alias("missed"), F.try_divide(F.sum("covered"), F.sum(size)).alias("coverage"))
 

@@ -5,6 +5,8 @@ All operators are equi-joins or windows on the document's keys, so spans shuffle
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,13 @@ def subtract_intervals(a: DataFrame, b: DataFrame, keys=KEYS) -> DataFrame:
     return cuts.select(*rest, F.explode(pieces).alias("p")).select(*rest, F.col("p.x").alias("start"), F.col("p.y").alias("end"))
 
 
-def covered_chars(gold: DataFrame, predicted: DataFrame, keys=KEYS) -> DataFrame:
-    """Of each gold span, how many characters predictions cover."""
+def covered_chars(gold: DataFrame, predicted: DataFrame, keys=KEYS, own: Sequence[str] | None = None) -> DataFrame:
+    """Of each gold span, how many characters predictions cover; ``own``: the columns that make a gold span, its keys, place and label if not given."""
     union = merge_intervals(predicted.withColumn("label", F.lit("")), keys)
     part = F.when(F.col("b.start").isNotNull(), F.least("a.end", "b.end") - F.greatest("a.start", "b.start"))  # least() passes over nulls
     near = gold.alias("a").join(union.alias("b"), _on(keys, overlap()), "left")
-    own = [F.col(f"a.{c}") for c in (*keys, "start", "end", "label")]
-    return near.groupBy(*own).agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered"))
+    columns = [F.col(f"a.{c}") for c in own or (*keys, "start", "end", "label")]
+    return near.groupBy(*columns).agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered"))
 
 
 def merge_sources(first: DataFrame, second: DataFrame, keys=KEYS) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from hushframe import registry
-from hushframe.plans import common, detection
+from hushframe.operators import score
+from hushframe.plans import common, detection, intervals
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,3 +29,32 @@ def test_notes_are_dealt(spark, monkeypatch):
     n = spark.read.parquet(f"{SMALL}/customer.parquet").count()
     for name in ("redact_text", "redact_hybrid", "survival"):
         assert registry.QUERIES[name](spark, SMALL).rdd.getNumPartitions() == n
+
+
+def exchanges(df):
+    return [x for x in re.findall(r"(?m)^.*?Exchange (\w+)", plan(df)) if x == "hashpartitioning"]
+
+
+def test_spans_shuffle_once(spark):
+    """Items are dealt by order, once a side; nothing that is made of them is shuffled again but the sums by label."""
+    most = {"score_exact": 2, "score_micro": 2, "score_by_label": 3, "address_coverage": 3, "merge_adjacent": 1, "merge_intervals": 1, "subtract_intervals": 2, "score_greedy": 2, "interval_overlap_join": 2, "leaks": 2}
+    assert {n: len(exchanges(registry.QUERIES[n](spark, SMALL))) for n in most} == most
+
+
+def test_items_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "_ITEMS", 100)
+    n = -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100)
+    for name in ("merge_adjacent", "score_exact"):
+        assert f", {n})" in plan(registry.QUERIES[name](spark, SMALL))
+
+
+def test_nulls_and_repeats_of_spans(spark):
+    """What is null equals nothing; a gold span that stands twice, or with another of ``by``, is covered once."""
+    kind = "doc_id int, start int, end int, label string"
+    gold = spark.createDataFrame([(1, 0, 4, "A"), (1, 0, 4, "A"), (1, 5, 9, None), (1, None, 9, "A"), (None, 0, 4, "A"), (2, 0, 4, "B")], kind)
+    pred = spark.createDataFrame([(1, 0, 4, "A"), (1, 0, 4, "B"), (1, 5, 9, None), (1, None, 9, "A"), (None, 0, 4, "A"), (3, 0, 4, "B")], kind)
+    assert {tuple(r) for r in score.score_exact(gold, pred).collect()} == {(1, 3, 1, 1, 1), (None, 0, 0, 1, 1), (2, 0, 0, 0, 1), (3, 0, 0, 1, 0)}
+    assert {tuple(r)[:4] for r in score.score_by_label(gold, pred).collect()} == {("A", 1, 4, 3), ("B", 0, 1, 2), (None, 0, 1, 1)}
+    both = gold.where("doc_id = 1 and start = 0").unionByName(spark.createDataFrame([(1, 5, 9, None)], kind)).withColumn("k", F.lit(1))
+    got = score.address_coverage(both.unionByName(both.withColumn("k", F.lit(2))), pred, ["k"]).collect()
+    assert {tuple(r) for r in got} == {(1, 2, 2, 0, 1.0), (2, 2, 2, 0, 1.0)}
