@@ -104,8 +104,8 @@ def duplicate_key(texts: pd.Series) -> pd.Series:
 
 
 def safe_lower_text(text: str) -> str:
-    low = text.lower()
-    return low if len(low) == len(text) and low.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    low = text.lower()  # a character at a time but for the final sigma
+    return low if len(low) == len(text) and "\u03a3" not in text else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 @F.pandas_udf(T.StringType())

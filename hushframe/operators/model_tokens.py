@@ -7,6 +7,7 @@ per worker process. ``gazetteer`` stands in for a model where none is at hand.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -130,20 +131,30 @@ def _own_span(group: list[dict], size: int) -> tuple[int, int] | None:
     return (s, e) if 0 <= s < e <= size else None
 
 
-def _find_group(text: str, low: str, group: list[dict], cursor: int, adjacent: bool, fold: bool) -> tuple[int, int] | None:
+def _find_group(text: str, lower: Callable[[], str], group: list[dict], cursor: int, adjacent: bool, fold: bool, gone: set) -> tuple[int, int] | None:
     """M7: the first place from the cursor on where the group's pieces stand in a row, blanks allowed before whole words.
 
     An adjacent group follows the token that ended at the cursor, so only blanks may be skipped to it; where that finds
-    nothing the group has no place, rather than that of a like word further on.
+    nothing the group has no place, rather than that of a like word further on. ``gone``: groups without a place from an
+    earlier cursor on, which have none from this one either and needn't be sought through the rest of the text again.
     """
-    hay, norm = (low, safe_lower) if fold else (text, str)
-    words = [norm(_piece(t)) for t in group]
+    words = [_piece(t) for t in group]
     if not words[0]:
         return None
-    start = hay.find(words[0], cursor)
+    key = fold, *(t["word"] for t in group)
+    if key in gone:
+        return None
+    hay = text
+    if fold:
+        hay, words = lower(), list(map(safe_lower, words))
+    last = len(hay)
+    if adjacent:  # further places only skip more than blanks
+        near = cursor
+        while near < len(text) and text[near].isspace():
+            near += 1
+        last = near + len(words[0])
+    start = hay.find(words[0], cursor, last)
     while start >= 0:
-        if adjacent and not _blank(text, cursor, start):
-            return None  # further places only skip more
         at = start + len(words[0])
         for t, word in zip(group[1:], words[1:]):
             if not t["word"].startswith("##"):
@@ -155,20 +166,23 @@ def _find_group(text: str, low: str, group: list[dict], cursor: int, adjacent: b
             at += len(word)
         else:
             return start, at
-        start = hay.find(words[0], start + 1)
+        start = hay.find(words[0], start + 1, last)
+    if not adjacent:
+        gone.add(key)
     return None
 
 
-def _past(text: str, low: str, token: dict, cursor: int) -> int:
-    """The end of a token's place from the cursor on, or the cursor: where it has none, or only one behind other text."""
-    if token.get("end") is not None:
-        return max(cursor, min(token["end"], len(text)))
-    word = _piece(token)
+def _past(text: str, lower: Callable[[], str], word: str, cursor: int) -> int:
+    """The end of a word's place from the cursor on, or the cursor: where it has none, or only one behind other text."""
+    word = word.removeprefix("##")
     if not word:
         return cursor
-    for hay, w in ((text, word), (low, safe_lower(word))):
-        i = hay.find(w, cursor)
-        if i >= 0 and i - cursor <= MOST_GAP and _blank(text, cursor, i):
+    if text.startswith(word, cursor):
+        return cursor + len(word)
+    for fold in (False, True):
+        hay, w = (lower(), safe_lower(word)) if fold else (text, word)
+        i = hay.find(w, cursor, cursor + MOST_GAP + len(w))
+        if i >= 0 and _blank(text, cursor, i):
             return i + len(w)
     return cursor
 
@@ -200,47 +214,98 @@ def _widened(text: str, s: int, e: int, kind: str) -> tuple[int, int]:
     return s, e
 
 
-def _groups(tokens: list[dict]) -> Iterator[tuple[str, list[dict]]]:
-    """(kind, tokens) in order; kind "" for tokens outside of entities, one by one."""
-    i = 0
-    while i < len(tokens):
-        tag = tokens[i].get("entity") or tokens[i].get("entity_group") or "O"
-        if tag == "O":
-            yield "", [tokens[i]]
-            i += 1
+class Stream:
+    """A text's tokens as columns, of which only those of entities are made into dicts."""
+
+    __slots__ = ("words", "tags", "indexes", "ends", "token")
+
+    def __init__(self, words: list, tags: list, indexes: list, ends: list | None, token: Callable[[int], dict]) -> None:
+        self.words, self.tags, self.indexes, self.ends, self.token = words, tags, indexes, ends, token
+
+
+def _stream(tokens: list[dict]) -> Stream:
+    column = lambda name: [t.get(name) for t in tokens]
+    return Stream(column("word"), [t.get("entity") or t.get("entity_group") for t in tokens], column("index"), column("end"), tokens.__getitem__)
+
+
+def _streams(each: pa.ListArray) -> Iterator[Stream | None]:
+    """A stream a row of a column of ``TOKENS``; None for null."""
+    flat, cuts = each.values, each.offsets.to_pylist()
+    fields = {f.name: flat.field(f.name) for f in to_arrow_type(TOKENS).value_type}
+    absent = {n for n, c in fields.items() if c.null_count == len(c)}
+    text = {"entity", "word"}
+    for valid, a, b in zip(each.is_valid().to_pylist(), cuts, cuts[1:]):
+        if not valid:
+            yield None
             continue
-        kind, group = regex.sub("^[BI]-", "", tag), [tokens[i]]
-        for k in range(i + 1, len(tokens)):
-            t, last = tokens[k], tokens[k - 1]
-            tag = t.get("entity") or t.get("entity_group") or ""
-            same = regex.sub("^[BI]-", "", tag) == kind
-            index, before = (x.get("index") if x.get("index") is not None else n for x, n in ((t, k), (last, k - 1)))
-            goes_on = t["word"].startswith("##") or same and tag.startswith("I-") or same and tag.startswith("B-") and not _LETTERS.search(_piece(last))
-            if index != before + 1 or not goes_on:
-                break
-            group.append(t)
-        yield kind, group
-        i += len(group)
 
+        def column(name: str) -> list:
+            c = fields[name].slice(a, b - a)
+            return c.to_numpy(zero_copy_only=False).tolist() if name in text or not c.null_count else c.to_pylist()
+
+        own = {n: None if n in absent else column(n) for n in fields}
+        none = [None] * (b - a)
+        token = lambda k, own=own: {n: c and c[k] for n, c in own.items()}
+        yield Stream(own["word"] or none, own["entity"] or none, own["index"] or none, own["end"], token)
 
-def reconstruct(text: str, tokens: list[dict], min_score: float = 0.5, names: dict | None = None, denied: frozenset[str] = frozenset()) -> list[dict]:
+
+def _kind(tag: str) -> str:
+    return tag[2:] if tag.startswith(("B-", "I-")) else tag
+
+
+def _group_end(s: Stream, i: int) -> int:
+    """The end of the group that begins at an entity's token."""
+    kind, k = _kind(s.tags[i]), i + 1
+    while k < len(s.words):
+        tag = s.tags[k] or ""
+        same = _kind(tag) == kind
+        index, before = (n if s.indexes[n] is None else s.indexes[n] for n in (k, k - 1))
+        if index != before + 1 or not (s.words[k].startswith("##") or same and (tag.startswith("I-") or tag.startswith("B-") and not _has_letter(s.words[k - 1].removeprefix("##")))):
+            break
+        k += 1
+    return k
+
+
+@lru_cache(1 << 16)
+def _has_letter(word: str) -> bool:
+    return bool(_LETTERS.search(word))
+
+
+def reconstruct(text: str, tokens: list[dict] | Stream, min_score: float = 0.5, names: dict | None = None, denied: frozenset[str] = frozenset()) -> list[dict]:
     """M8: spans of a tagger's tokens (word, score, entity, and index, start, end where known).
 
     Tokens are grouped (a word's pieces, I- after its kind, B- only after a connector), edges without letters are trimmed
     (an address keeps its number), the mean score is checked, the group is placed (``_own_span``, ``_find_group``), widened
     to whole words and joined with a neighbouring part of an address. A group of one word's inner piece, or one that
-    isn't whole, is dropped. ``denied``: words that are no span on their own (M4).
+    isn't whole, is dropped. ``denied``: words that are no span on their own (M4). Time is linear in the text but for
+    groups that aren't adjacent and are sought further on, each different one of which reads the rest of it once at most.
     """
     check_score(min_score)
-    low, cursor, last_index, exact, out = safe_lower(text), 0, None, False, []
-    for kind, group in _groups(tokens):
-        if not kind:
-            now = _past(text, low, group[0], cursor)
-            exact, cursor, last_index = now != cursor, now, group[0].get("index")
+    s = tokens if isinstance(tokens, Stream) else _stream(tokens)
+    words, tags, ends, size, folded, gone, labels = s.words, s.tags, s.ends, len(text), [], set(), {}
+
+    def low() -> str:
+        if not folded:
+            folded.append(safe_lower(text))
+        return folded[0]
+
+    cursor, last_index, exact, out, i = 0, None, False, [], 0
+    while i < len(words):
+        tag = tags[i] or "O"
+        if tag == "O":
+            if ends is not None and ends[i] is not None:
+                now = max(cursor, min(ends[i], size))
+            else:
+                now = _past(text, low, words[i], cursor)
+            exact, cursor, last_index = now != cursor, now, s.indexes[i]
+            i += 1
             continue
-        while group and not (_LETTERS.search(_piece(group[-1])) or kind == "ADR" and _NUMBERS.search(_piece(group[-1])) and any(_LETTERS.search(_piece(t)) for t in group[:-1])):
+        kind, end = _kind(tag), _group_end(s, i)
+        group = [s.token(k) for k in range(i, end)]
+        i = end
+        while group and not (_has_letter(_piece(group[-1])) or kind == "ADR" and _NUMBERS.search(_piece(group[-1])) and any(_has_letter(_piece(t)) for t in group[:-1])):
             group = group[:-1]
-        while group and not _LETTERS.search(_piece(group[0])):
+        while group and not _has_letter(_piece(group[0])):
             group = group[1:]
         if not group:
             continue
@@ -248,18 +313,20 @@ def reconstruct(text: str, tokens: list[dict], min_score: float = 0.5, names: di
         if sum(t["score"] for t in group) / len(group) >= min_score:
             head = group[0].get("index")
             adjacent = exact and last_index is not None and head is not None and head == last_index + 1
-            span = _own_span(group, len(text)) or _find_group(text, low, group, cursor, adjacent, False) or _find_group(text, low, group, cursor, adjacent, True)
+            span = _own_span(group, len(text)) or _find_group(text, low, group, cursor, adjacent, False, gone) or _find_group(text, low, group, cursor, adjacent, True, gone)
         if span:
-            s, e = _widened(text, *span, kind)
-            label = label_of(kind, names)
-            if label and e > s and is_whole(text, s, e) and not (len(group) == 1 and group[0]["word"].startswith("##")):
-                out.append({"start": s, "end": e, "value": text[s:e], "label": label})
+            b, e = _widened(text, *span, kind)
+            if kind not in labels:
+                labels[kind] = label_of(kind, names)
+            label = labels[kind]
+            if label and e > b and is_whole(text, b, e) and not (len(group) == 1 and group[0]["word"].startswith("##")):
+                out.append({"start": b, "end": e, "value": text[b:e], "label": label})
             cursor = max(cursor, e)
             exact = cursor == e == span[1]
         else:
             exact = True
             for t in group:
-                now = _past(text, low, t, cursor)
+                now = max(cursor, min(t["end"], size)) if t.get("end") is not None else _past(text, low, t["word"], cursor)
                 exact, cursor = exact and now != cursor, now
         last_index = group[-1].get("index")
     address, joined = label_of("ADR", names), []
@@ -284,7 +351,8 @@ def reconstructed(text: Column, tokens: Column, min_score: float = 0.5, names: d
 
     @F.arrow_udf(SPAN)
     def run(texts: pa.Array, each: pa.Array) -> pa.Array:
-        return pa.array([None if t is None or x is None else reconstruct(t, x, min_score, names, denied) for t, x in zip(texts.to_pylist(), each.to_pylist())], kind)
+        # tokens become Python objects a text at a time: a batch of them takes many times the memory of its texts
+        return pa.array([None if t is None or x is None else reconstruct(t, x, min_score, names, denied) for t, x in zip((t.as_py() for t in texts), _streams(each))], kind)
 
     return run(text, tokens)
 

@@ -1,10 +1,14 @@
 """Queries whose work a task holds stays the same as their tables grow: how it is dealt, and that nothing costly is done twice."""
 
 import re
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hushframe import registry
+from hushframe.operators import model_tokens as mt
 from hushframe.operators import score
 from hushframe.plans import common, detection, intervals
 
@@ -58,3 +62,19 @@ def test_nulls_and_repeats_of_spans(spark):
     both = gold.where("doc_id = 1 and start = 0").unionByName(spark.createDataFrame([(1, 5, 9, None)], kind)).withColumn("k", F.lit(1))
     got = score.address_coverage(both.unionByName(both.withColumn("k", F.lit(2))), pred, ["k"]).collect()
     assert {tuple(r) for r in got} == {(1, 2, 2, 0, 1.0), (2, 2, 2, 0, 1.0)}
+
+
+def test_missing_groups_are_sought_once():
+    """20,000 entities that a text of a million characters hasn't: each search for them would read it to its end."""
+    token = lambda i, w, tag: {"word": w, "entity": tag, "score": 0.9, "index": i}
+    text, tokens = "ab cd " * 170_000 + "Bo", [token(i, "Zoe", "B-PER") for i in range(0, 40_000, 2)] + [token(50_000, "Bo", "B-PER")]
+    began = time.process_time()
+    assert [(d["start"], d["value"]) for d in mt.reconstruct(text, tokens)] == [(len(text) - 2, "Bo")]
+    assert time.process_time() - began < 2
+
+
+def test_tokens_as_columns():
+    tokens = [{"entity": tag, "score": 0.9, "index": i, "word": w, "start": None, "end": None} for i, (w, tag) in enumerate([("Hej", None), ("Ann", "B-PER"), ("##a", "I-PER"), ("Berg", "I-PER"), ("!", "O")])]
+    none, some, empty = mt._streams(pa.array([None, tokens, []], to_arrow_type(mt.TOKENS)))
+    assert none is None and mt.reconstruct("x", empty) == []
+    assert mt.reconstruct("Hej Anna Berg!", some) == mt.reconstruct("Hej Anna Berg!", tokens) == [{"start": 4, "end": 13, "value": "Anna Berg", "label": "NAMN"}]
