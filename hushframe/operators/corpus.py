@@ -34,7 +34,11 @@ def eval_leak(train: DataFrame, held_out: DataFrame, text: str = "text", id_col:
 
 
 def contained(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """X2 turned about: (doc, item) where a run of ``width`` words of the item stands in the document. An equi-join on runs of words."""
+    """X2 turned about: (doc, item) where a run of ``width`` words of the item stands in the document. An equi-join on runs of words.
+
+    While the items' runs are few (``_FEW_RUNS``) they go to all tasks and only what is found is shuffled; else runs of both are shuffled as
+    SHA-256, 32 bytes whatever their words.
+    """
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
 
     def runs(df: DataFrame, key: str) -> DataFrame:
@@ -44,11 +48,18 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "
 
         # the words are bound once a row: a lambda would split the text again for each run
         found = F.element_at(F.transform(F.array(words(F.col("text"))), of), 1)
-        return df.select(F.col(key), F.explode(found).alias("run")).distinct()
+        return df.select(F.col(key), F.explode(found).alias("run"))
 
-    return runs(docs, id_col).join(runs(items, item_col), "run").select(id_col, item_col).distinct()
+    here, sought = runs(docs, id_col), runs(items, item_col)
+    if sought.limit(_FEW_RUNS + 1).count() <= _FEW_RUNS:
+        sought = F.broadcast(sought.distinct())
+    else:
+        here, sought = (df.withColumn("run", F.unhex(F.sha2("run", 256))).distinct() for df in (here, sought))
+    return here.join(sought, "run").select(id_col, item_col).distinct()
 
 
+#: Runs of items that every task may hold: some 30 MB.
+_FEW_RUNS = 200_000
 _RUN = r"[\p{L}\p{M}-]+"
 
 

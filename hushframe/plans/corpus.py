@@ -23,7 +23,7 @@ def eval_leak(spark, sf_dir):
 
 def benchmark_contained(spark, sf_dir):
     """Documents that hold a run of 8 words of a benchmark item."""
-    return co.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return co.contained(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 _RUNS = r"""list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hushframe import registry
+from hushframe.operators import corpus
 from hushframe.operators import model_tokens as mt
 from hushframe.operators import score
 from hushframe.plans import common, detection, intervals
@@ -78,3 +79,14 @@ def test_tokens_as_columns():
     none, some, empty = mt._streams(pa.array([None, tokens, []], to_arrow_type(mt.TOKENS)))
     assert none is None and mt.reconstruct("x", empty) == []
     assert mt.reconstruct("Hej Anna Berg!", some) == mt.reconstruct("Hej Anna Berg!", tokens) == [{"start": 4, "end": 13, "value": "Anna Berg", "label": "NAMN"}]
+
+
+def test_contained_shuffles_no_run_of_documents(spark, monkeypatch):
+    run = registry.QUERIES["benchmark_contained"]
+    df = run(spark, SMALL)
+    assert "SortMergeJoin" not in plan(df) and len(exchanges(df)) == 2  # items' runs, found pairs
+    rows = {tuple(r) for r in df.collect()}
+    assert rows
+    monkeypatch.setattr(corpus, "_FEW_RUNS", 1)
+    df = run(spark, SMALL)
+    assert "sha2" in plan(df) and {tuple(r) for r in df.collect()} == rows
