@@ -6,7 +6,9 @@ Offsets count code points throughout.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -85,22 +87,31 @@ class Canonical:
         return lo, max(lo, o + (end - c) if linear else e)
 
 
-@F.pandas_udf(T.StringType())
-def canonicalize(texts: pd.Series) -> pd.Series:
+def _each(texts: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """f of each text, of which one is a Python object at a time; null for null."""
+    out = _Strings()
+    for t in texts:
+        t = t.as_py()
+        out.append(None if t is None else f(t))
+    return out.array()
+
+
+@F.arrow_udf(T.StringType())
+def canonicalize(texts: pa.Array) -> pa.Array:
     """C1 for a column: invisible characters dropped, the rest folded by NFKC."""
-    return texts.map(lambda t: None if t is None else Canonical(t).text)
+    return _each(texts, lambda t: Canonical(t).text)
 
 
-@F.pandas_udf(T.StringType())
-def nfkc_lower(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkc_lower(texts: pa.Array) -> pa.Array:
     """C7."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+    return _each(texts, lambda t: unicodedata.normalize("NFKC", t).lower())
 
 
-@F.pandas_udf(T.StringType())
-def duplicate_key(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def duplicate_key(texts: pa.Array) -> pa.Array:
     """NFKC, one blank for white space, lower case."""
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).lower())
+    return _each(texts, lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).lower())
 
 
 def safe_lower_text(text: str) -> str:
@@ -167,23 +178,50 @@ _MATCH = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 
 
 def matches(c: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of a pattern's matches that aren't empty, in time linear in the text (a fold of expressions would copy its result at each match)."""
+    """Array of (start, end, value) of a pattern's matches that aren't empty, in time linear in the text (a fold of expressions would copy its result at each match).
+
+    A text and its matches are Python objects one at a time; those of a batch would take many times its memory.
+    """
+    return F.arrow_udf(match_array(pattern), _MATCH)(c)
+
+
+def match_array(pattern: str) -> Callable[[pa.Array], pa.Array]:
+    """What ``matches`` does to an Arrow array."""
     kind = to_arrow_type(_MATCH)
     items = kind.value_type
 
-    @F.arrow_udf(_MATCH)
     def run(texts: pa.Array) -> pa.Array:
-        find, starts, ends, values, cuts, null = regex.compile(pattern).finditer, [], [], [], [0], []
-        for t in texts.to_pylist():
-            null.append(t is None)
-            for m in find(t or ""):
+        find, starts, ends, values, cuts = regex.compile(pattern).finditer, array("i"), array("i"), _Strings(), array("i", [0])
+        for t in texts:
+            for m in find(t.as_py() or ""):
                 if m.end() > m.start():
                     starts.append(m.start()), ends.append(m.end()), values.append(m.group())
             cuts.append(len(starts))
-        flat = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string())], fields=list(items))
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32(), mask=np.array([*null, False])), flat).cast(kind)
+        ints = [pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (starts, ends)]
+        flat = pa.StructArray.from_arrays([*ints, values.array()], fields=list(items))
+        null = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(cuts, np.int32), mask=null), flat).cast(kind)
 
-    return run(c)
+    return run
+
+
+class _Strings:
+    """An Arrow array of strings in the making, as bytes."""
+
+    def __init__(self) -> None:
+        self.ends, self.data, self.valid = array("i", [0]), bytearray(), bytearray()
+
+    def append(self, value: str | None) -> None:
+        if value:
+            self.data += value.encode()
+        self.ends.append(len(self.data))
+        self.valid.append(value is not None)
+
+    def array(self) -> pa.Array:
+        n, here = len(self.valid), None
+        if 0 in self.valid:
+            here = pa.array(np.frombuffer(self.valid, np.uint8).astype(bool)).buffers()[1]
+        return pa.Array.from_buffers(pa.string(), n, [here, pa.py_buffer(self.ends), pa.py_buffer(self.data)])
 
 
 def genitive(c: Column) -> Column:
