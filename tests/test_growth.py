@@ -2,12 +2,14 @@
 
 import re
 import time
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hushframe import registry
+from hushframe.functions import text
 from hushframe.operators import corpus
 from hushframe.operators import model_tokens as mt
 from hushframe.operators import score
@@ -68,9 +70,9 @@ def test_nulls_and_repeats_of_spans(spark):
 def test_missing_groups_are_sought_once():
     """20,000 entities that a text of a million characters hasn't: each search for them would read it to its end."""
     token = lambda i, w, tag: {"word": w, "entity": tag, "score": 0.9, "index": i}
-    text, tokens = "ab cd " * 170_000 + "Bo", [token(i, "Zoe", "B-PER") for i in range(0, 40_000, 2)] + [token(50_000, "Bo", "B-PER")]
+    long, tokens = "ab cd " * 170_000 + "Bo", [token(i, "Zoe", "B-PER") for i in range(0, 40_000, 2)] + [token(50_000, "Bo", "B-PER")]
     began = time.process_time()
-    assert [(d["start"], d["value"]) for d in mt.reconstruct(text, tokens)] == [(len(text) - 2, "Bo")]
+    assert [(d["start"], d["value"]) for d in mt.reconstruct(long, tokens)] == [(len(long) - 2, "Bo")]
     assert time.process_time() - began < 2
 
 
@@ -90,3 +92,25 @@ def test_contained_shuffles_no_run_of_documents(spark, monkeypatch):
     monkeypatch.setattr(corpus, "_FEW_RUNS", 1)
     df = run(spark, SMALL)
     assert "sha2" in plan(df) and {tuple(r) for r in df.collect()} == rows
+
+
+def test_matches_hold_few_objects():
+    """Matches of a batch are kept as Arrow has them: some 20 bytes each, where Python objects take over 150."""
+    rows = [["ab c", None, "", "é", "1d"], [], [None], ["x" * 3, "é𝄞 é"]]
+    find = lambda t: [{"start": m.start(), "end": m.end(), "value": m.group()} for m in re.finditer(r"[^\W\d]+|𝄞", t)]
+    for r in rows:
+        assert text.match_array(r"[^\W\d]+|𝄞|\b")(pa.array(r, pa.string())).to_pylist() == [None if t is None else find(t) for t in r]
+        assert text.match_array(r"[^\W\d]+|𝄞|\b")(pa.array(["zz", *r], pa.string())[1:]).to_pylist() == [None if t is None else find(t) for t in r]
+    texts = pa.array(["ab " * 1000] * 300)
+    tracemalloc.start()
+    got = text.match_array("[a-z]+")(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got.values) == 300_000 and peak < 30 * len(got.values)
+
+
+def test_texts_one_at_a_time(spark):
+    df = spark.createDataFrame([("A\u00ad ｘ  Σ",), (None,), ("",)], "t string")
+    got = df.select(text.canonicalize("t"), text.nfkc_lower("t"), text.duplicate_key("t")).collect()
+    assert [tuple(r) for r in got] == [("A x  Σ", "a\u00ad x  σ", "a\u00ad x σ"), (None, None, None), ("", "", "")]
+    assert "PandasUDF" not in plan(df.select(text.duplicate_key("t"))) and "sha2" in plan(registry.QUERIES["gold_issues"](spark, SMALL))
