@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.llm import lm_score as lm
+from hushframe.llm.common import batches
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -65,3 +66,32 @@ def test_chunk_of_nulls(spark):
     """A chunk of nulls alone has no tokens, and scores to nulls."""
     df = spark.createDataFrame([(i, None) for i in range(5)], "doc_id long, text string")
     assert lm.lm_scores(df).where(F.col("log_prob").isNull()).count() == 5
+
+
+def test_groups_of_chunks_share_blocks(spark, monkeypatch):
+    """Chunks that follow each other in a task send a shard one block for all of them, with each n-gram once."""
+    monkeypatch.setattr(lm, "granularity", lambda chars: (4, 1))
+    monkeypatch.setattr(lm, "batches", lambda items, rows, nbytes: batches(items, 1))  # a chunk a document
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3, "doc_id")
+    trained = lm.Trained(docs, "doc_id", "text", lm.PIECES, lm.KEEP)
+    rows = trained.chunks.select("chunk", "group", "file", "start", "size", trained.task.alias("task")).collect()
+    members = {}
+    for r in rows:
+        members.setdefault(r.group, []).append(r)
+    assert len(rows) >= lm.GROUP * spark.sparkContext.defaultParallelism and len(members) == trained.parts < len(rows) / 4
+    for of in members.values():
+        seq = sorted(r.chunk for r in of)
+        assert len(seq) <= lm.GROUP and seq == list(range(seq[0], seq[0] + len(seq))) and len({(r.file, r.task) for r in of}) == 1
+    assert all(0 <= r.task < trained.parts for r in rows)
+    shape = trained.shape_of()
+    want = {g: len(np.unique(np.concatenate([shape.grams(lm.tokens_of(shape, r.file, r.start, r.size))[0] for r in of]))) for g, of in members.items()}
+    got, total = {}, 0
+    for r in lm.blocks(trained.chunks, trained.shape_of, trained.parts, trained.task).collect():
+        keys = lm.unpack_keys(bytes(r["keys"]))
+        if r.shard < 4:
+            got[r.group] = got.get(r.group, 0) + len(keys)
+            total += int(lm.unpack_small(bytes(r.counts), len(keys)).sum())
+    assert got == want and total == sum(len(shape.grams(lm.tokens_of(shape, r.file, r.start, r.size))[0]) for r in rows)
+    scores = {r.doc_id: r.log_prob for r in lm.lm_scores(docs).collect()}
+    monkeypatch.undo()
+    assert scores == pytest.approx({r.doc_id: r.log_prob for r in lm.lm_scores(docs).collect()}, rel=1e-9)
